@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, urls
+from . import decontaminate, language, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op6_url_rules": urls.op6_url_rules,
     "op7_winnowing": decontaminate.op7_winnowing,
+    "op8_importance": quality.op8_importance,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_language": language.op10_language,
 }
 ORACLES = {"op6_url_rules": urls.OP6_SQL, "op7_winnowing": decontaminate.OP7_SQL}
