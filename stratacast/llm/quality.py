@@ -101,7 +101,7 @@ def count_features(rows: DataFrame) -> DataFrame:
     )
 
 
-def ratio_table(counts: pd.DataFrame, significance: float = 4.0, prior: float = 0.5, least: float = 3.0) -> np.ndarray:
+def ratio_table(counts: pd.DataFrame, significance: float = 4.0, prior: float = 0.5, least: float = 2.3) -> np.ndarray:
     """Log ratio of the target's model to the raw one for each bucket, 0 where it is below ``least`` or not significant.
 
     The share of raw text that the target stands for is the median over
