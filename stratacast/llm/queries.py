@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import archives, decontaminate, language, mixing, pagetext, quality, secrets, simhash, urls
+from . import archives, decontaminate, embeddings, language, mixing, pagetext, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_arc_to_warc": archives.op3_arc_to_warc,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op5_page_text": pagetext.op5_page_text,
     "op6_url_rules": urls.op6_url_rules,
     "op7_winnowing": decontaminate.op7_winnowing,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_arc_to_warc": archives.OP3_SQL,
+    "op4_embeddings": embeddings.OP4_SQL,
     "op5_page_text": pagetext.OP5_SQL,
     "op6_url_rules": urls.OP6_SQL,
     "op7_winnowing": decontaminate.OP7_SQL,
