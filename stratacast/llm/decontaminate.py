@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, read_table
+from .runtime import checkpointed, read_table, written
 
 #: Words are runs of ASCII letters, digits and all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -259,3 +259,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id has no contaminated row; other columns as they are.
+
+    Rows with a null id are judged together like rows of any id.
+    """
+    found = contamination(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
+    hits = written(found, "contaminated")
+    return docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]), "left_anti")
