@@ -126,6 +126,10 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int,
     return texts.groupBy("length", "print").agg(F.collect_list(F.struct("text", "items")).alias("windows")), short
 
 
+def _tagged(prints: str, length: int) -> Column:
+    return F.transform(F.array_distinct(prints), lambda h: F.struct(F.lit(length).alias("length"), h.alias("print")))
+
+
 def _hits(window: int, gram: int, short: list[int]) -> Column:
     """Of a document row joined to a print: ``(start, length, items)`` of each window text found around it."""
 
@@ -181,10 +185,7 @@ def contamination(
         words_of(F.col(text_col)).alias("words"),
     )
     rows = with_prints(rows, window, gram, short)
-    tagged = [F.transform(F.array_distinct("mins"), lambda h: F.struct(F.lit(window).alias("length"), h.alias("print")))]
-    tagged += [
-        F.transform(F.array_distinct(f"grams_{n}"), lambda h, n=n: F.struct(F.lit(n).alias("length"), h.alias("print"))) for n in short
-    ]
+    tagged = [_tagged("mins", window), *(_tagged(f"grams_{n}", n) for n in short)]
     none = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("print")))
     rows = rows.withColumn("found", F.explode(F.concat(none, *tagged)))
     rows = rows.select("*", "found.length", "found.print").drop("found", "mins")
