@@ -123,6 +123,7 @@ def vector_links(classes: DataFrame, threshold: float, depth: int, probes: int,
     if not size:
         return classes.sparkSession.createDataFrame([], "kind int, a long, b long")
     chosen = choose_pivots(classes, size)
+    need = min(min_shared, len(chosen))  # with few pivots all vectors share all of them
     pivots = classes.sparkSession.sparkContext.broadcast(chosen)  # bounded by MAX_PIVOTS and PIVOT_BYTES
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def vector_links(classes: DataFrame, threshold: float, depth: int, probes: int,
             rows = rows.sort_values("cid")
             vectors = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), width // 8)
             counts, links = search_list(
-                rows["cid"].to_numpy(), rows["n"].to_numpy(), np.stack(rows["perm"]), vectors, rows["side"].to_numpy(), pivot, probes, min_shared, threshold
+                rows["cid"].to_numpy(), rows["n"].to_numpy(), np.stack(rows["perm"]), vectors, rows["side"].to_numpy(), pivot, probes, need, threshold
             )
             out.append(pd.DataFrame({"kind": 0, "a": counts[0], "b": counts[1]}))
             out.append(pd.DataFrame({"kind": 1, "a": links[0], "b": links[1]}))
