@@ -1,0 +1,266 @@
+"""Operators against brute force, SQL, exact round trips and held-out accuracy."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import same
+from pyspark.sql import functions as F
+
+from stratacast.llm import archives, components, decontaminate, embeddings, language, mixing, neardup, pagetext, quality, secrets, simhash
+from stratacast.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_duckdb(spark, duck, sf_dir, name):
+    same(QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df())
+
+
+# components
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 100), (100, 100), (None, 3), (7, 300)]
+    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in [*range(41), 300]} | {100: 100, 105: 100}
+
+
+# SimHash
+
+def _components(ids, linked):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def _plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_equals_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r.doc_id: _plain_fingerprint(r.text) for r in rows}
+    links = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    roots = _components(prints, links)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op1_simhash"](spark, sf_dir).collect()}
+    assert got == {i: (f"{prints[i]:016x}", roots[i]) for i in prints}
+
+
+@pytest.mark.parametrize("limit", [4, 64, 4096])
+def test_dense_balls_of_fingerprints(spark, limit):
+    """Nodes far beyond the limit are cut by further masks and lose no link."""
+    rng = np.random.default_rng(limit)
+    centre = int(rng.integers(0, 1 << 62))
+    values = {centre} | {centre ^ 1 << int(i) for i in rng.integers(0, 63, 40)} | {centre ^ int(rng.integers(0, 1 << 20)) for _ in range(60)} | {int(x) for x in rng.integers(0, 1 << 62, 60)}
+    roots = _components(values, [(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 2])
+    links = simhash.hamming_links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, limit).collect()
+    assert _components(values, [(r.a, r.b) for r in links]) == roots
+
+
+def test_gray_rank_counts_up():
+    codes = np.array([i ^ i >> 1 for i in range(1000)], dtype=np.uint64)
+    assert (simhash.gray_rank(codes) == np.arange(1000)).all()
+
+
+# near duplicates
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = docs.limit(60).select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat("text", F.lit(" tail")).alias("text"), "lang", "source", "n_chars")
+    docs = docs.unionByName(extra)
+    sets = {r.doc_id: set(neardup.shingle_set(r.text.encode(), 5).tolist()) for r in docs.select("doc_id", "text").collect()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = set(_components(sets, links).values())
+    got = {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()}
+    assert got >= want and len(got - want) <= 0.02 * len(links) + 1
+
+
+def test_block_boundaries_keep_links(monkeypatch, spark):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, base + f" x{i}") for i in range(10)] + [(99, "other words entirely " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect()) == [0, 99]
+
+
+# mixing
+
+def test_mixing_of_unequal_sources_matches_sql(spark, duck):
+    rows = [(i, "a b c " * (1 + i % 5), "big" if i % 10 else f"s{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).toPandas()
+    pdf = docs.toPandas()  # noqa: F841
+    con = duck.cursor()
+    con.execute("create temp view documents as select * from pdf")
+    same(got, con.sql(mixing.OP2_SQL).df())
+    assert got.groupby("doc_id").size().max() > 1  # small sources are repeated
+
+
+def test_mixing_weights_and_limits(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "a" if i < 950 else "b") for i in range(1000)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, block_tokens=5000, max_repeats=2.0, target_entropy=1.0).toPandas()
+    tokens = out.groupby("source")["n_tokens"].sum()
+    assert abs(tokens["b"] / 5000 - 1.0) <= 1.05  # 2500 tokens, used at most twice
+    assert out.groupby("doc_id").size().max() <= 2
+    assert out.groupby("block")["n_tokens"].sum().std() < 200
+
+
+# archives
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_round_trip(version):
+    pages = [("1", "http://a/ b", b"x\n\ny"), (None, None, b""), ("3", "http://c/", bytes(range(256)))]
+    records = list(archives.read_arc(archives.arc_bytes(pages, version, "t.arc", "19990102030405")))
+    assert [r.body.partition(b"\r\n\r\n")[2] for r in records[1:]] == [p for _, _, p in pages]
+    warcs = [archives.convert(r) for r in records]
+    assert [w.headers["WARC-Type"] for w in warcs] == ["warcinfo", "response", "response", "response"]
+    assert warcs[1].headers["WARC-Date"] == "1999-01-02T03:04:05Z"
+    back = list(archives.read_warc(b"".join(map(archives.warc_bytes, warcs))))
+    assert back == warcs
+
+
+def test_bad_arcs():
+    with pytest.raises(ValueError):
+        list(archives.read_arc(b"no length here\nbody"))
+    with pytest.raises(ValueError):
+        list(archives.read_arc(archives.arc_bytes([], 1, "x").replace(b"1 0 ", b"9 0 ")))
+    other = archives.ArcRecord({"URL": "dns:a", "IP-address": "0", "Archive-date": "199901", "Content-type": "text/dns"}, b"a IN A")
+    assert archives.convert(other).headers["WARC-Type"] == "resource"
+    assert archives.warc_date("199901") == "1999-01-01T00:00:00Z"
+
+
+# embeddings
+
+def test_embedding_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 32))
+    rows, labels = [], []
+    for i in range(1500):
+        c = centres[0 if i % 3 == 0 else rng.integers(30)]  # a third of all rows around one point
+        v = c + rng.normal(size=32) * (0.05 if i % 2 else 0.6)
+        rows.append((i, [float(x) for x in v], int(i % 2)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    want = links.sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, block_rows=64).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.97 * want.sum() > 0
+
+
+# page text
+
+def test_page_text_of_various_pages():
+    page = pagetext.Page(
+        "<html><body><header>Site</header><div class='cookie-notice'>We use cookies</div><aside>Side</aside><main><article><h1>T&eacute;st</h1>"
+        "<p>First <b>bold</b>\n line.<ul><li>one<li>two</ul><form>Sign up</form><script>var a='<p>no</p>';</script><!-- no --><div class=ad-box>Buy</div></article>"
+        "<section id='comments'><p>I agree</p></section></main><footer>End</footer></body></html>"
+    )
+    assert page.text_at(None) == "Tést\nFirst bold line.\none\ntwo"
+    assert pagetext.Page("plain &lt;text&gt; 1 < 2").text_at(None) == "plain <text> 1 < 2"
+    assert pagetext.Page("<a title='x>y'>" + "<b " * 5000).text_at(None)
+
+
+# secrets
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('a token = "abcdefghijkl" b', "assign:2:23"),
+        ("Password:shortone", ""),
+        ("password=token: abcdefghijklmnop", ""),
+        ("AKIAABCDEFGHIJKLMN x 0123456789abcdef0", "access:0:18,hex:21:38"),
+        ("a" * 16, "hex:0:16"),
+        ("toKen=abcdefghijklm", ""),
+        ('base = "Zx9kQ2mVw8Lp"\ndb_pwd = base', "named:8:20"),
+        ('{"client_secret": "hUn7er-2x9!Q"}', "named:19:31"),
+        ("the secret of : the garden = is old", ""),
+        ("secretary: nobody12345x knows", ""),
+        ('password = "changeme-please"', "assign:0:27"),
+    ],
+)
+def test_spans(text, want):
+    base, spans = secrets.all_spans(text)
+    assert secrets._joined(spans) == want
+    assert set(base) <= set(spans)
+
+
+def test_redaction():
+    assert secrets.redacted('x token = "abcdefghijkl" y') == 'x [SECRET]" y'
+    assert secrets.base_spans(secrets.redacted("api_key=0123456789abcdef0123")) == []
+
+
+def test_long_words_are_linear():
+    secrets.all_spans("password " + "a" * 300_000 + "=" + "x" * 300_000)
+
+
+# language
+
+def test_language_accuracy_on_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    out = language.op10_language(spark, sf_dir.replace("sf0.001", "sf0.01")).join(docs.select("doc_id", "lang"), "doc_id")
+    right = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.97
+    assert out.where("score < 0 or score > 1").isEmpty()
+
+
+def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
+    model = language.Model(["x"], np.full((1, 1 << 8), 1, dtype=np.uint8), np.zeros(1), 0)
+    text = "abc defg hi " * 40
+    whole = language.language_counts(text, model, 8)
+    monkeypatch.setattr(language, "CHUNK", 17)
+    assert language.language_counts(text, model, 8)[1] == whole[1] == whole[0][0]
+
+
+# quality
+
+def test_quality_keeps_good_and_rejects_bad(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 80)) + (" idiot scum" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows if i % 2], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.selected for r in quality.select_documents(docs, labels).collect()}
+    good = [i for i, _, t in rows if not t]
+    bad = [i for i, _, t in rows if t]
+    assert sum(got[i] for i in good) >= 0.97 * len(good)
+    assert sum(got[i] for i in bad) <= 0.05 * len(bad)
+
+
+def test_top_k_threshold_is_exact(spark):
+    rng = np.random.default_rng(9)
+    values = np.round(np.concatenate([rng.normal(size=500), np.full(200, 0.25), [1e9, -1e9]]), 3)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for k in (1, 2, 150, 300, 702):
+        assert quality.top_k_threshold(df, "v", k, fan=16) == sorted(values, reverse=True)[k - 1]
+    assert quality.top_k_threshold(df, "v", 0) is None
+
+
+# pipeline
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+    mixed = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert len(mixed) and set(mixed["doc_id"]) <= {r[0] for r in docs.select("doc_id").collect()}
+    hits = {r.doc_id for r in decontaminate.op7_winnowing(spark, sf_dir).where("contaminated").collect()}
+    assert not hits & set(mixed["doc_id"])
