@@ -15,7 +15,7 @@ def replace_in_order(x: Column, pairs: list[tuple[str, str]]) -> Column:
     return x
 
 
-#: Station names and the prefixes that stand for them, the longer name first.
+#: Station names and the prefixes that stand for them, the longer name first.
 STATION_NAMES = [("Pronto shop 2", "PS-2"), ("Pronto shop", "PS-1"), ("8D OPS 02", "OPS-1")]
 
 

@@ -256,7 +256,7 @@ def separate_levels(rows: DataFrame, features: list[str], params: Params, level:
     return {n: fit(rows.where(F.col(level) == n), features, params, **options) for n in names}
 
 
-#: Experiments: setting (1: one model for all levels, 2: one per level, 3: bottom level and sums), objective, metric, hierarchy of the loss.
+#: Fixed values, the experiments: setting (1: one model for all levels, 2: one per level, 3: bottom level and sums), objective, metric, hierarchy of the loss.
 EXPERIMENTS = {
     "globalall_objse_evalmse": (1, Objective.L2, Metric.L2, ()),
     "sepagg_objse_evalmse": (2, Objective.L2, Metric.L2, ()),
@@ -274,6 +274,16 @@ EXPERIMENTS = {
 }
 
 
+def experiment_grid(seeds: range = range(10)) -> list[tuple[str, int]]:
+    """All experiments times seeds; each is a job of its own."""
+    return [(name, seed) for name in EXPERIMENTS for seed in seeds]
+
+
+def training_window(rows: DataFrame, end, n_years: int = 3, date: str = "date") -> DataFrame:
+    """The rows of the ``n_years`` years of 366 days up to ``end``, both ends included."""
+    return rows.where(F.col(date).between(F.date_sub(F.lit(end), 366 * n_years), F.lit(end)))
+
+
 def experiment(name: str, base: Params) -> tuple[int, Params, tuple[str, ...]]:
     """Setting, parameters and sides of the loss's hierarchy of a named experiment."""
     if name not in EXPERIMENTS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds of mean weekly sales of the buckets; the last bucket is open.
+#: Upper bounds of mean weekly sales of the buckets; the last bucket is open.
 BUCKETS = (1, 10, 100, 500)
 
 

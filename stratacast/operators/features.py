@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import calendar_parts, price_change
 from .hierarchy import Hierarchy, aggregate_levels, mean_over_members, membership
 
+#: Lags and windows of the features.
 LAGS = (1, 2, 3, 4, 5, 6, 7, 28, 56, 364)
 WINDOWS = (7, 28, 56)
 SERIES = ("aggregation", "value")

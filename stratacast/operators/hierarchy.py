@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column sets of the store level, of all stores, and of time.
+#: Column sets of the store level, of all stores, and of time.
 STORE_LEVELS = [["cat_id_enc"], ["dept_id_enc"], ["item_id_enc"]]
 ALL_LEVELS = [
     ["state_id_enc"],

@@ -11,7 +11,7 @@ from ..functions import scalars as X
 from ..operators import baselines, boost, evaluate, features, hierarchy, loss, reconcile
 from ..operators.hierarchy import membership, node_sizes
 from ..sources.tables import cut_lineage, table
-from .panels import DAILY, MONTHLY, daily_facts, daily_panel, dated, monthly_facts, naive_errors, time_membership
+from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, naive_errors, time_membership
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -526,6 +526,20 @@ def _seeds(spark, d):
     return evaluate.over_seeds(errors, "rmse").select("scenario", "aggregation", r6("mean").alias("mean"), r6("std").alias("std"), "n_seeds")
 
 
+@query("seed_mean_by_method", f"WITH {SEEDS} SELECT scenario, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse), 6) AS std, count(*) AS n_seeds FROM z GROUP BY ALL")
+def _method_means(spark, d):
+    rows = _scored(spark, d).withColumn("seed", F.year("date"))
+    errors = evaluate.level_errors(rows, "rmse", ("method", "seed")).where("aggregation <> 'All series'").withColumnRenamed("method", "scenario")
+    return evaluate.over_seeds(errors, "rmse", ("scenario",)).select("scenario", r6("mean").alias("mean"), r6("std").alias("std"), "n_seeds")
+
+
+@query("training_window", f"WITH {PANEL} SELECT member, CAST(date AS VARCHAR) AS date, y FROM p WHERE date BETWEEN (SELECT max(date) FROM p) - 366 AND (SELECT max(date) FROM p)")
+def _window(spark, d):
+    rows = daily_panel(spark, d)
+    last = rows.agg(F.max("date")).first()[0]
+    return boost.training_window(rows, last, 1).select("member", day(), "y")
+
+
 @query("missing_seeds", "SELECT 'naive' AS scenario, 1990 AS seed")
 def _missing(spark, d):
     rows = _scored(spark, d).withColumn("seed", F.year("date"))

@@ -146,6 +146,7 @@ def test_boosting_learns_and_stops(spark):
     assert model.scores[-1] < 0.1 * model.scores[0] + 1e-6
     wrong = model.predict(df).where("abs(yhat - y) > 0.5").count()
     assert wrong == 0
+    assert len(boost.experiment_grid()) == 130
     with pytest.raises(ValueError):
         boost.experiment("unknown", boost.Params())
     with pytest.raises(ValueError):
