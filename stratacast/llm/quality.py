@@ -38,7 +38,7 @@ def features(text: str | None) -> np.ndarray:
     """
     tokens = TOKEN.findall((text or "").lower())
     if not tokens:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
     crc = zlib.crc32
     ids = {t: crc(t.encode("utf-8", "surrogatepass")) for t in set(tokens)}
     one = np.fromiter(map(ids.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
@@ -49,7 +49,8 @@ def features(text: str | None) -> np.ndarray:
     heads = np.fromiter([crc(b"^" + p.encode("utf-8", "surrogatepass")) for p in parts], dtype=np.uint64, count=len(parts))
     tenths = np.arange(2, 2 + int(10 * same.mean()) if len(same) else 2, dtype=np.uint64)
     every = np.concatenate((one * np.uint64(0xD6E8FEB86659FD93), two, heads * np.uint64(0xA0761D6478BD642F), tenths))
-    return np.unique((every ^ every >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+    found = np.sort(((every ^ every >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 class Weights(NamedTuple):
