@@ -172,6 +172,21 @@ def contamination(
     id make hits but are not counted as items; repeated document rows stay
     repeated; empty tables on either side give rows without hits, or none.
     """
+    return _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window, gram, block_bytes).drop("text_key")
+
+
+def _judged(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str,
+    text_col: str,
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    gram: int = 5,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``contamination`` with the key of each row's text."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     bench, short = benchmark_windows(items, item_id_col, item_text_col, window, gram)
@@ -224,6 +239,7 @@ def contamination(
     each = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
         "doc_id",
+        "text_key",
         "n_words",
         F.size("places").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -263,10 +279,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated row; other columns as they are.
+    """The rows of ``docs`` that are not contaminated; other columns as they are.
 
-    Rows with a null id are judged together like rows of any id.
+    Rows are told apart by id and text, so a clean text stays whatever other rows have its id.
     """
-    found = contamination(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
+    found = _judged(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_hit_id"), "text_key").distinct()
     hits = written(found, "contaminated")
-    return docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]), "left_anti")
+    return docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]) & (F.xxhash64(docs[text_col]) == hits["text_key"]), "left_anti")

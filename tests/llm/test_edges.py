@@ -158,3 +158,21 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "6", "None"]
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_are_dropped_by_id_and_text(spark, items):
+    def prose(tag, n=30):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    copied = prose("c")
+    rows = [
+        (1, copied), (None, copied), (None, prose("p")), (None, prose("q")), (None, prose("q")), (None, prose("q") + " tail"),
+        (7, copied), (7, prose("r")), (7, prose("s")), (7, prose("s")),
+    ]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in kept)
+    assert got == sorted([("1", "c0"), ("None", "p0"), ("None", "q0"), ("7", "r0"), ("7", "s0")])
+    leak = "quick brown fox jumps over the lazy dog near the river"
+    rows = [(None, leak), (None, "a clean text"), (7, leak), (7, "another clean text"), (7, "another clean text")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(r.text for r in kept) == ["a clean text", "another clean text", "another clean text"]
