@@ -97,6 +97,21 @@ def test_block_boundaries_keep_links(monkeypatch, spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect()) == [0, 99]
 
 
+@pytest.mark.parametrize("rows_of_node", [2, 5, 4096])
+def test_nodes_keep_the_links_of_a_chain(monkeypatch, spark, rows_of_node):
+    monkeypatch.setattr(neardup, "NODE_ROWS", rows_of_node)
+    # each print differs from the next in 3 bits; far ends in many; nodes of 40 rows, and small ones around
+    prints = [(n, 100 * n + i, (1 << 3 * i) - 1 if i < 21 else -1, 0 if i < 21 else (1 << 3 * (i - 20)) - 1) for n in (1, 4) for i in range(40)]
+    prints += [(n, 100 * n + i, i * 7, 0) for n in (0, 2, 3) for i in range(3)]
+    prints = [prints[i] for i in np.random.default_rng(3).permutation(len(prints))]
+    df = spark.createDataFrame(prints, "node long, fid long, f0 long, f1 long").coalesce(1)
+    got = dict(tuple(r) for r in components.connected_components(neardup.node_links(df, 3)).collect())
+    rows = {fid: (n, f0 % (1 << 64), f1) for n, fid, f0, f1 in prints}
+    near = [(a, b) for a, b in itertools.combinations(rows, 2) if rows[a][0] == rows[b][0] and (rows[a][1] ^ rows[b][1]).bit_count() + (rows[a][2] ^ rows[b][2]).bit_count() <= 3]
+    want = _components(rows, near)
+    assert {fid: got.get(fid, fid) for fid in rows} == want and len(set(want.values())) < len(rows)
+
+
 # mixing
 
 def test_mixing_of_unequal_sources_matches_sql(spark, duck):
