@@ -5,9 +5,10 @@ exponent is bisected: the largest one whose weights reach the target entropy,
 raised as far as needed for no source to be repeated more often than allowed.
 
 A source's documents form a stream: epoch after epoch, each in an order of its
-own.  Every block takes the same number of tokens of each stream, its quota, so
-a document's block is its start in the stream divided by the quota.  Starts are
-prefix sums over ``BUCKETS`` hash buckets of each source and epoch, so that no
+own.  A source's budget, its weight's share of all tokens, is rounded once and
+dealt evenly over the blocks, so the weights hold whatever the number of blocks: a
+document's block is its start in the stream times the blocks, divided by the budget.
+Starts are prefix sums over ``BUCKETS`` hash buckets of each source and epoch, so that no
 source, however large, is sorted in one task.
 """
 
@@ -105,12 +106,10 @@ def mix_sources(
     shares = sources.select("source", "tokens", (F.col("tokens") / F.lit(float(max(total, 1)))).alias("p"))
     exponent = bisect(shares, budget / max(total, 1), target_entropy, max_repeats) / STEPS
     norm = shares.agg(F.sum(F.pow("p", F.lit(exponent)))).first()[0] or 1.0
-    per_block = budget / blocks
-    quotas = shares.select(
-        "source",
-        "tokens",
-        F.greatest(F.lit(1), F.floor(F.round(F.pow("p", F.lit(exponent)) / F.lit(norm) * F.lit(per_block), 6))).cast("long").alias("quota"),
-    ).withColumn("epochs", F.ceil(F.col("quota") * blocks / F.col("tokens").cast("double")).cast("int"))
+    exact = F.greatest(F.lit(1), F.floor(F.round(F.pow("p", F.lit(exponent)) / F.lit(norm) * F.lit(float(budget)), 6))).cast("long")
+    most = F.greatest(F.lit(1), F.floor(F.col("tokens") * F.lit(float(max_repeats)))).cast("long")
+    quotas = shares.select("source", "tokens", F.least(exact, most).alias("quota"))
+    quotas = quotas.withColumn("epochs", F.ceil(F.col("quota") / F.col("tokens").cast("double")).cast("int"))
     quotas = written(quotas, "quotas")
 
     uses = (
@@ -127,8 +126,8 @@ def mix_sources(
         uses.withColumn("inside", F.coalesce(F.sum("n_tokens").over(in_bucket), F.lit(0)))
         .join(offsets, ["source", "epoch", "bucket"])
         .withColumn("start", F.col("epoch") * F.col("tokens") + F.col("offset") + F.col("inside"))
-        .filter(F.col("start") < F.col("quota") * blocks)
-        .withColumn("block", F.expr("start div quota"))
+        .filter(F.col("start") < F.col("quota"))
+        .withColumn("block", F.expr(f"cast(start as decimal(19, 0)) * cast({blocks} as decimal(18, 0)) div quota"))
     )
     in_block = Window.partitionBy("block").orderBy(order_key(F.col("doc_id"), F.col("epoch"), F.col("block")), "doc_id", "n_tokens", "source")
     return placed.select(

@@ -134,6 +134,16 @@ def test_mixing_weights_and_limits(spark):
     assert out.groupby("block")["n_tokens"].sum().std() < 200
 
 
+def test_mixing_weights_do_not_depend_on_the_blocks(spark):
+    sizes = {"a": 9000, "b": 900, "c": 90, "d": 10}
+    docs = spark.createDataFrame([(f"{s}{i}", "w", s) for s, n in sizes.items() for i in range(n)], "doc_id string, text string, source string")
+    one, many = (mixing.mix_sources(docs, block_tokens=b).toPandas() for b in (1_000_000, 25))
+    assert (one.groupby("source")["n_tokens"].sum() == many.groupby("source")["n_tokens"].sum()).all()
+    assert many.groupby("doc_id").size().max() <= mixing.MAX_REPEATS
+    assert set(many["block"]) == set(range(400)) and abs(many.groupby("block")["n_tokens"].sum() - 25).max() <= len(sizes)
+    assert (many.groupby("source")["block"].nunique() >= many.groupby("source").size().clip(upper=400) * 0.9).all()
+
+
 # archives
 
 @pytest.mark.parametrize("version", [1, 2])
