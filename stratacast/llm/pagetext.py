@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from .runtime import read_table, written
 from .urls import host_of
 
+#: A quoted value after ``=`` may be of any length; a stray quote, which may lack its partner, reaches 4000 characters at most.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[=\"'])*+)>",
     re.DOTALL,
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Every attribute, so that what another one's value holds is not read as a class.
+ATTR = re.compile(r"(?<![^\s\"'/=])([^\s\"'/=]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAMED = re.compile(r"\b(class|id|role)\Z", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 CONTAINERS = frozenset("html body main article section div td th table tbody tr ul ol dl blockquote center details figure".split())
@@ -123,7 +126,7 @@ class Page:
         _, node, dropped = self._open[-1]
         words: list[str] = []
         if attrs:
-            for m in ATTR.finditer(attrs):
+            for m in filter(lambda m: NAMED.search(m[1]), ATTR.finditer(attrs)):
                 words += re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
         if tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(words):
             dropped = dropped or tag not in ("html", "body")

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -201,6 +202,18 @@ def test_page_text_of_various_pages():
     assert pagetext.Page("<a title='x>y'>" + "<b " * 5000).text_at(None)
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_values_are_not_text(quote):
+    inner = "<p class=menu>x > y</p> " * 1000
+    page = f"<body><div data-state={quote}{inner}{quote} class=ad-box>Buy</div><article data-x = {quote}{inner}{quote}><p>Text</article></body>"
+    got = pagetext.Page(page)
+    assert got.text_at(None) == "Text" and [n[0] for n in got.nodes] == ["", ">body", ">body>article"]
+    for part in ('<x "="', "<x '=", "<x =\"' ", '<x ="', "=\"' ", 'a="" ', "a ", "a=' <x "):
+        began = time.perf_counter()
+        pagetext.Page("<a " + part * 20_000)
+        assert time.perf_counter() - began < 5, part
+
+
 # secrets
 
 @pytest.mark.parametrize(
