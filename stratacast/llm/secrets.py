@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,25 +74,41 @@ def literal_weight(value: str, quoted: bool) -> float:
 
 
 def named_literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that sensitive names are given, directly or through constants."""
-    found: dict[tuple[int, int], None] = {}
-    known: dict[str, list[tuple[int, int, bool]]] = {}
-    for pair in PAIR.finditer(text):
-        leaves: list[tuple[int, int, bool]] = []
+    """Spans of literals that sensitive names are given, directly or through constants.
+
+    An assignment keeps its own literals and the assignments that the names in it stood
+    for, not a copy of what those hold, so the work is linear in the text however constants
+    are built on each other.  A literal counts with the heaviest target that it reaches.
+    """
+    literals: list[list[tuple[int, int, bool]]] = []
+    origins: list[list[int]] = []
+    targets: list[tuple[float, int]] = []
+    known: dict[str, int] = {}
+    for number, pair in enumerate(PAIR.finditer(text)):
+        own: list[tuple[int, int, bool]] = []
+        behind: dict[int, None] = {}
         for leaf in LEAF.finditer(text, *pair.span("expr")):
             if leaf["string"]:
-                leaves.append((leaf.start() + 1, leaf.end() - 1, True))
+                own.append((leaf.start() + 1, leaf.end() - 1, True))
             elif leaf["bare"] in known:
-                leaves += known[leaf["bare"]]
+                behind[known[leaf["bare"]]] = None
             else:
-                leaves.append((*leaf.span(), False))
-        known[pair["name"]] = leaves
-        weight = name_weight(pair["name"])
-        if weight:
-            for a, b, quoted in leaves:
-                if weight * literal_weight(text[a:b], quoted) >= THRESHOLD:
-                    found[a, b] = None
-    return list(found)
+                own.append((*leaf.span(), False))
+        literals.append(own)
+        origins.append(list(behind))
+        known[pair["name"]] = number
+        if weight := name_weight(pair["name"]):
+            targets.append((weight, number))
+    found, seen = [], set()
+    for weight, target in sorted(targets, key=lambda t: -t[0]):
+        reached = [target]
+        while reached:
+            if (number := reached.pop()) in seen:
+                continue
+            seen.add(number)
+            reached += origins[number]
+            found += [(a, b) for a, b, quoted in literals[number] if weight * literal_weight(text[a:b], quoted) >= THRESHOLD]
+    return sorted(found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,7 +126,9 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text)
     if not ("=" in text or ":" in text) or not STEMS.search(text.lower()):
         return base, base
-    more = [(a, 3, b) for a, b in named_literals(text) if not any(s <= a and b <= e for s, _, e in base)]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    # a base span that starts at or before a, and the furthest end of those
+    more = [(a, 3, b) for a, b in named_literals(text) if not (at := bisect_right(starts, a)) or reach[at - 1] < b]
     return base, sorted(base + more)
 
 
