@@ -6,10 +6,11 @@ the body.  The converter reads header lines by those fields, takes bodies by
 their declared lengths and makes the WARC record that stands for each: an
 identifier derived from what the record holds, the date, a type and digests.
 
-WARC files are written by Spark's own text writer (record bytes as lines that
-end in CRLF), hence through its commit protocol and to any file system that
-Spark writes to; a lost executor leaves no half-written archive behind.  One row
-is one file of about ``FILE_BYTES``.
+WARC files are written by Spark's own text writer (the bytes of a file are one
+line), hence through its commit protocol and to any file system that Spark
+writes to; a lost executor leaves no half-written archive behind.  One row is
+one file of about ``FILE_BYTES``, in which every record is a gzip member of its
+own, as readers that seek to a record expect.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ CRLF = b"\r\n"
 class ArcRecord(NamedTuple):
     fields: dict[str, str]
     body: bytes
+    #: Name of the file and the byte at which the record starts.
+    place: tuple[str, int] = ("", 0)
+    #: Whether it is the record that opens the file, whatever its URL looks like.
+    opens: bool = False
 
 
 class WarcRecord(NamedTuple):
@@ -75,7 +82,7 @@ def _arc_line(version: int, url: str, kind: str, length: int, offset: int, name:
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC file, ``filedesc`` first; a body that ends early is cut where the file ends."""
-    at, names = 0, None
+    at, names, file = 0, None, ""
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -88,7 +95,9 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if not length.isdecimal():
             raise ValueError(f"no declared length in the ARC header line at byte {at}")
         body = data[end + 1 : end + 1 + int(length)]
+        opens = names is None
         if names is None:
+            file = line.split(" ")[0].removeprefix("filedesc://")
             intro = body.decode("utf-8", "replace").split("\n")
             version = int(intro[0].split(" ")[0])
             if version not in FIELDS:
@@ -97,7 +106,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         values = line.rsplit(" ", len(names) - 1)
         if len(values) != len(names):
             raise ValueError(f"{len(values)} of {len(names)} fields in the ARC header line at byte {at}")
-        yield ArcRecord(dict(zip(names, values, strict=True)), body)
+        yield ArcRecord(dict(zip(names, values, strict=True)), body, (file, at), opens)
         at = end + 1 + int(length) + 1
 
 
@@ -109,15 +118,15 @@ def warc_date(stamp: str) -> str:
 
 
 def convert(record: ArcRecord) -> WarcRecord:
-    """The WARC record of an ARC record; its identifier is a function of URL, date and body."""
+    """The WARC record of an ARC record; its identifier is a function of its place, URL, date and body."""
     url, date = record.fields["URL"], warc_date(record.fields["Archive-date"])
     headers = {
         "WARC-Type": "resource",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {base32_sha1(record.body)}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record.place} {url} {date} {base32_sha1(record.body)}')}>",
         "WARC-Date": date,
     }
-    if url.startswith("filedesc:"):
-        headers |= {"WARC-Type": "warcinfo", "WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}
+    if record.opens:
+        headers |= {"WARC-Type": "warcinfo", "WARC-Filename": record.place[0], "Content-Type": "application/warc-fields"}
         return WarcRecord(headers, b"software: stratacast\r\nformat: WARC File Format 1.1\r\n")
     headers |= {"WARC-Target-URI": url, "WARC-IP-Address": record.fields["IP-address"], "WARC-Block-Digest": f"sha1:{base32_sha1(record.body)}"}
     if not record.body.startswith(b"HTTP/"):
@@ -144,6 +153,12 @@ def warc_bytes(record: WarcRecord) -> bytes:
     return CRLF.join([*lines, b"Content-Length: %d" % len(record.block), b"", record.block, b"", b""])
 
 
+def packed(record: bytes) -> bytes:
+    """A gzip member."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return squeeze.compress(record) + squeeze.flush()
+
+
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
     """The records of a WARC file, plain or gzipped, by their declared lengths."""
     if data[:2] == b"\x1f\x8b":
@@ -175,10 +190,10 @@ def arc_files(pages: DataFrame, id_col: str, url_col: str, html_col: str, versio
     """``(arc binary)``: pages as legacy archives of about ``FILE_BYTES``, of both versions in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held, size = 0, [], 0
+        task, n, held, size = TaskContext.get(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            data = arc_bytes(held, version or 1 + n % 2, f"pages-{n:05d}.arc")
+            data = arc_bytes(held, version or 1 + n % 2, f"pages-{task.partitionId() if task else 0:05d}-{n:05d}.arc")
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["arc"])
 
         for batch in batches:
@@ -229,21 +244,27 @@ def converted(arcs: DataFrame, with_blocks: bool) -> DataFrame:
     return arcs.mapInArrow(run, CONVERTED if with_blocks else CONVERTED.rpartition(", headers")[0])
 
 
-def write_warcs(records: DataFrame, path: str, compression: str) -> None:
+def write_warcs(records: DataFrame, path: str, gzipped: bool) -> None:
     """Write ``(headers, block, refers_to_id)`` rows as WARC files, revisits where ``refers_to_id`` is set."""
+    # what any file ends with: the length of the last member, low byte first, or the last empty line
+    line_end = b"\0" if gzipped else CRLF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = warc_bytes(convert(next(read_arc(arc_bytes([], 1, "stratacast.arc")))))
+        pack = packed if gzipped else bytes
+        info = pack(warc_bytes(convert(next(read_arc(arc_bytes([], 1, "stratacast.arc"))))))
         held, size = [info], 0
 
         def flush() -> pa.RecordBatch:
-            data = b"".join(held)[: -len(CRLF)]  # the writer ends each line with CRLF
+            data = b"".join(held)
+            if gzipped and data[-1:] != b"\0":  # a last record of 16 MB or more: end with an empty member
+                data += packed(b"")
+            data = data[: -len(line_end)]  # which the writer puts there again
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
         for batch in batches:
             for headers, block, of in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 record = WarcRecord(dict(headers.as_py()), block.as_py())
-                held.append(warc_bytes(record if of is None else revisit(record, of)))
+                held.append(pack(warc_bytes(record if of is None else revisit(record, of))))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()
@@ -252,11 +273,17 @@ def write_warcs(records: DataFrame, path: str, compression: str) -> None:
             yield flush()
 
     files = records.select("headers", "block", "refers_to_id").mapInArrow(run, "value binary")
-    files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n").option("compression", compression).text(path)
+    lines = files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
+    lines.option("lineSep", line_end.decode()).option("compression", "none").text(path)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """What the archives below ``path`` hold: ``page_id, record_id, record_type, refers_to_id, payload_bytes, payload_digest``."""
+    """What the archives below ``path`` hold: ``page_id, record_id, record_type, refers_to_id, payload_bytes, payload_digest``.
+
+    Length and digest of a response are those of the payload that was read, and a
+    payload that its record's digest does not fit is an error.  A revisit has no
+    payload; its row has what its headers declare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "record_id", "record_type", "refers_to_id", "payload_bytes", "payload_digest"]
@@ -266,10 +293,15 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
                 for r in read_warc(content.as_py()):
                     if r.headers["WARC-Type"] not in ("response", "revisit"):
                         continue
-                    page_id = http_header(r.block, b"X-Page-Id")
+                    page_id, declared = http_header(r.block, b"X-Page-Id"), r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    length, digest = int(http_header(r.block, b"Content-Length") or 0), declared
+                    if r.headers["WARC-Type"] == "response":
+                        payload = r.block.partition(CRLF + CRLF)[2]
+                        length, digest = len(payload), base32_sha1(payload)
+                        if digest != declared:
+                            raise ValueError(f"{r.headers['WARC-Record-ID']}: payload {digest}, declared {declared}")
                     rows.append((
-                        None if page_id is None else int(page_id), r.headers["WARC-Record-ID"], r.headers["WARC-Type"], r.headers.get("WARC-Refers-To"),
-                        int(http_header(r.block, b"Content-Length") or 0), r.headers["WARC-Payload-Digest"].removeprefix("sha1:"),
+                        None if page_id is None else int(page_id), r.headers["WARC-Record-ID"], r.headers["WARC-Type"], r.headers.get("WARC-Refers-To"), length, digest,
                     ))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -285,20 +317,20 @@ def archive_pages(
     url_col: str = "url",
     html_col: str = "html",
     min_bytes: int = 0,
-    compression: str = "gzip",
+    gzipped: bool = True,
 ) -> DataFrame:
     """Convert pages, as legacy archives, to WARC files below ``path`` and read those back.
 
-    Returns per page ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+    Returns per page row ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
     Of records with equal payloads of ``min_bytes`` or more, that with the smallest
-    page id is a response and the others are revisits without payload; rows that
-    repeat one page (id, URL and payload) are the same record and all responses.
+    page id is a response and the others are revisits without payload, whose length and digest are
+    those of the response's payload as read; of rows that repeat a page, one is the response.
     A null page id is kept as null and never referred to while its group has
-    others; a null html is an empty payload, a null URL ``about:blank``.  An
-    empty table writes no records and gives an empty result.
+    others; a null html is an empty payload, a null URL ``about:blank``; any URL, ``filedesc:`` too,
+    is a page's.  An empty table writes no records and gives an empty result.
     """
     spark = pages.sparkSession
-    arcs = arc_files(pages, id_col, url_col, html_col)
+    arcs = written(arc_files(pages, id_col, url_col, html_col), "arcs")  # read twice, so the same records both times
     first = (
         converted(arcs, with_blocks=False)
         .filter(F.col("payload_bytes") >= min_bytes)
@@ -310,13 +342,16 @@ def archive_pages(
     shared = written(first, "shared_payloads")
     records = converted(arcs, with_blocks=True).join(shared, "digest", "left")
     again = (F.col("first_id") != F.col("record_id")) & (F.col("payload_bytes") >= min_bytes)
-    write_warcs(records.withColumn("refers_to_id", F.when(again, F.col("first_id"))), path, compression)
+    write_warcs(records.withColumn("refers_to_id", F.when(again, F.col("first_id"))), path, gzipped)
     back = checkpointed(read_warcs(spark, path))
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     plain = back.filter("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")).select(out)
-    targets = back.filter("record_type = 'response'").groupBy(F.col("record_id").alias("target_id")).agg(F.min("page_id").alias("refers_to"))
-    referring = back.filter("refers_to_id is not null").join(targets, F.col("refers_to_id") == F.col("target_id"), "left").select(out)
-    return plain.unionByName(referring)
+    targets = back.filter("record_type = 'response'").select(
+        F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("read_bytes"), F.col("payload_digest").alias("read_digest")
+    )
+    referring = back.filter("refers_to_id is not null").join(targets, F.col("refers_to_id") == F.col("target_id"), "left")
+    referring = referring.withColumns({"payload_bytes": F.coalesce("read_bytes", "payload_bytes"), "payload_digest": F.coalesce("read_digest", "payload_digest")})
+    return plain.unionByName(referring.select(out))
 
 
 def op3_arc_to_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators against brute force, SQL, exact round trips and held-out accuracy."""
 
+import hashlib
 import itertools
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratacast.llm import archives, components, decontaminate, embeddings, language, mixing, neardup, pagetext, quality, secrets, simhash
 from stratacast.llm.queries import ORACLES, QUERIES
+from stratacast.llm.runtime import scratch_path
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -152,6 +155,7 @@ def test_arc_round_trip(version):
     pages = [("1", "http://a/ b", b"x\n\ny"), (None, None, b""), ("3", "http://c/", bytes(range(256)))]
     records = list(archives.read_arc(archives.arc_bytes(pages, version, "t.arc", "19990102030405")))
     assert [r.body.partition(b"\r\n\r\n")[2] for r in records[1:]] == [p for _, _, p in pages]
+    assert [r.opens for r in records] == [True, False, False, False]
     warcs = [archives.convert(r) for r in records]
     assert [w.headers["WARC-Type"] for w in warcs] == ["warcinfo", "response", "response", "response"]
     assert warcs[1].headers["WARC-Date"] == "1999-01-02T03:04:05Z"
@@ -169,6 +173,38 @@ def test_bad_arcs():
     assert archives.warc_date("199901") == "1999-01-01T00:00:00Z"
 
 
+def test_archives_keep_every_page_row(spark):
+    rows = [(1, "filedesc://x", "one"), (2, "http://a/", "two"), (2, "http://a/", "two"), (3, "http://b/", "two"), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for gzipped in (True, False):
+        path = scratch_path(spark, "warc")
+        out = archives.archive_pages(df, path, gzipped=gzipped).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out) == [
+            (1, 3, "response", None), (2, 3, "response", None), (2, 3, "revisit", 2), (3, 3, "revisit", 2), (4, 0, "response", None)
+        ]
+        assert {r.payload_digest for r in out if r.payload_bytes} == {archives.base32_sha1(b"one"), archives.base32_sha1(b"two")}
+        files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
+        ids = [r.headers["WARC-Record-ID"] for f in files for r in archives.read_warc(f) if r.headers["WARC-Type"] != "warcinfo"]
+        assert len(ids) == len(set(ids)) == 5
+        if gzipped:  # each record is a member of its own
+            members = 0
+            for rest in files:
+                while rest:
+                    unpack = zlib.decompressobj(31)
+                    assert len(list(archives.read_warc(unpack.decompress(rest)))) == 1
+                    members, rest = members + 1, unpack.unused_data
+            assert members == 5 + len(files)
+
+
+def test_a_changed_payload_is_found(spark):
+    record = archives.convert(list(archives.read_arc(archives.arc_bytes([("1", "http://a/", b"abc")], 1, "t.arc")))[1])
+    path = scratch_path(spark, "bad")
+    spark.createDataFrame([(dict(record.headers), record.block.replace(b"abc", b"abd"), None)], "headers map<string,string>, block binary, refers_to_id string").createOrReplaceTempView("bad")
+    archives.write_warcs(spark.table("bad"), path, True)
+    with pytest.raises(Exception, match="declared"):
+        archives.read_warcs(spark, path).collect()
+
+
 # embeddings
 
 def test_embedding_recall(spark):
@@ -238,6 +274,46 @@ def test_spans(text, want):
     assert set(base) <= set(spans)
 
 
+def test_constants_built_on_each_other_are_linear():
+    chain = 'x0 = "Zx9kQ2mVw8Lp"\n' + "".join(f"x{i} = x{i - 1} + x{i - 1}\n" for i in range(1, 3000)) + "db_pwd = x2999"
+    began = time.perf_counter()
+    assert secrets._joined(secrets.all_spans(chain)[1]) == "named:6:18"
+    grown = "".join(f'x{i} = x{i - 1} + "Zx9kQ2mVw8L{i}"\n' for i in range(1, 3000)) + "db_pwd = x2999\n" + 'token = "Zx9kQ2mVw8L"\n' * 3000
+    assert len(secrets.all_spans(grown)[1]) == 5999
+    assert time.perf_counter() - began < 5
+
+
+def _plain_spans(text):
+    """The contract's patterns, position by position."""
+    kinds = [
+        (0, re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 12),
+        (1, re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        (2, re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    ]
+    out = []
+    for kind, pattern, holds in kinds:
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m and holds(m):
+                out.append((m.start(), kind, m.end()))
+            at = m.end() if m else at + 1
+    return sorted(out)
+
+
+def test_base_spans_of_all_documents_equal_a_plain_scan(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in secrets.op9_secrets(spark, sf_dir).collect()}
+    found = 0
+    for i, text in texts.items():
+        want = _plain_spans(text)
+        found += len(want)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for _, k, _ in want) for kind in range(3)]
+        assert got[i].base_sha256 == hashlib.sha256(secrets._joined(want).encode()).hexdigest()
+        assert set(filter(None, secrets._joined(want).split(","))) <= set(got[i].spans.split(","))
+    assert found > 5
+
+
 def test_redaction():
     assert secrets.redacted('x token = "abcdefghijkl" y') == 'x [SECRET]" y'
     assert secrets.base_spans(secrets.redacted("api_key=0123456789abcdef0123")) == []

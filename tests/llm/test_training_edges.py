@@ -71,6 +71,7 @@ def test_archives(spark, pages):
     out = archives.archive_pages(pages, scratch_path(spark, "edge")).collect()
     assert len(out) == 6
     by = {(r.page_id, r.record_type): r for r in out}
+    assert sum(r.page_id == 2 for r in out) == 2
     assert by[2, "revisit"].refers_to == 1 and by[1, "response"].refers_to is None
     assert by[None, "revisit"].refers_to == 3 and by[3, "response"].payload_bytes == 0
     assert archives.archive_pages(pages.limit(0), scratch_path(spark, "none")).count() == 0
