@@ -165,16 +165,17 @@ expo AS (
           ELSE least(1073741824, (SELECT max(low) FROM by_repeats) + 1) END) / 1073741824.0::DOUBLE AS a FROM start),
 norm AS (SELECT sum(p ** a) AS z FROM shares, expo),
 quotas AS (
-  SELECT source, tokens, greatest(1, CAST(floor(round(p ** a / z * (budget / CAST(blocks AS DOUBLE)), 6)) AS BIGINT)) AS quota, blocks
+  SELECT source, tokens, blocks, least(greatest(1, CAST(floor(round(p ** a / z * CAST(budget AS DOUBLE), 6)) AS BIGINT)),
+                                       greatest(1, CAST(floor(tokens * 4.0::DOUBLE) AS BIGINT))) AS quota
   FROM shares, expo, norm, par),
 uses AS (
   SELECT doc_id, source, n_tokens, tokens, quota, blocks, epoch,
          md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), '17')) AS key
-  FROM (SELECT *, unnest(range(0, CAST(ceil(quota * blocks / CAST(tokens AS DOUBLE)) AS BIGINT))) AS epoch FROM base JOIN quotas USING (source))),
+  FROM (SELECT *, unnest(range(0, CAST(ceil(quota / CAST(tokens AS DOUBLE)) AS BIGINT))) AS epoch FROM base JOIN quotas USING (source))),
 placed AS (
   SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, n_tokens
                                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM uses)
 SELECT doc_id, source, n_tokens, epoch, block,
        row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), CAST(block AS VARCHAR))), doc_id, n_tokens, source) AS position
-FROM (SELECT *, CAST(start // quota AS BIGINT) AS block FROM placed WHERE start < quota * blocks)
+FROM (SELECT *, CAST(CAST(start AS HUGEINT) * blocks // quota AS BIGINT) AS block FROM placed WHERE start < quota)
 """

@@ -119,14 +119,15 @@ def test_nodes_keep_the_links_of_a_chain(monkeypatch, spark, rows_of_node):
 # mixing
 
 def test_mixing_of_unequal_sources_matches_sql(spark, duck):
-    rows = [(i, "a b c " * (1 + i % 5), "big" if i % 10 else f"s{i % 3}") for i in range(400)]
+    # some twelve million words, so that the mix has several blocks
+    rows = [(i, "a b c " * (10_000 * (1 + i % 5)), "big" if i % 10 else f"s{i % 3}") for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix_sources(docs).toPandas()
     pdf = docs.toPandas()  # noqa: F841
     con = duck.cursor()
     con.execute("create temp view documents as select * from pdf")
     same(got, con.sql(mixing.OP2_SQL).df())
-    assert got.groupby("doc_id").size().max() > 1  # small sources are repeated
+    assert got.groupby("doc_id").size().max() > 1 and got["block"].nunique() > 5  # small sources are repeated
 
 
 def test_mixing_weights_and_limits(spark):
