@@ -6,8 +6,10 @@ fingerprint.  Training fingerprints meet the benchmark's in a hash join; each
 hit is extended to the window texts around it and compared word for word, so
 collisions cannot survive.
 
-Documents are read once and never shuffled: a document's words travel with its
-fingerprints only as far as the join, which is in the same stage; what leaves
+Neighbouring windows mostly share their least hash, so a document has one row for each
+run of windows with one fingerprint, which carries the words of that run and no
+others: the work is linear in the length of a text.  Documents are read once and never
+shuffled: these rows go as far as the join, which is in the same stage; what leaves
 it is one row per document plus its verified hits.  The benchmark side is
 broadcast in blocks whose size is checked; a larger benchmark takes more passes
 over the documents, with the same result.
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .runtime import checkpointed, read_table, written
 
-#: Words are runs of ASCII letters, digits and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of lower-case ASCII letters, digits and all characters beyond ASCII; this is what lies between.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of benchmark windows that one broadcast may carry.
 BLOCK_BYTES = 32 << 20
+#: Windows of a text that are fingerprinted in one row; a longer text takes several.
+PIECE = 4096
 
 
 def lower_ascii(text: Column) -> Column:
@@ -36,61 +40,24 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), "")
 
 
-def _from(values: Column, start: int) -> Column:
-    """``values`` without its first ``start`` elements."""
-    return F.slice(values, start + 1, F.greatest(F.size(values) - start, F.lit(0)))
-
-
-def _zipped(a: Column, b: Column, shift: int, f) -> Column:
-    """``f(a[i], b[i + shift])`` for every i for which both exist."""
-    rest = _from(b, shift)
-    return F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(rest))), F.slice(rest, 1, F.least(F.size(a), F.size(rest))), f)
-
-
-def _combined(df: DataFrame, base: str, name: str, width: int, f, overlap: bool) -> DataFrame:
-    """Add ``name``: ``f`` folded over each run of ``width`` elements of ``base``, by doubling."""
-    df = df.withColumn(name, F.col(base))
-    have, powers = 1, {1: base}
-    while have < width:
-        if overlap:
-            step = min(have, width - have)
-            df = df.withColumn(name, _zipped(F.col(name), F.col(name), step, f))
-            have += step
-            continue
-        while max(powers) * 2 <= width:
-            p = max(powers)
-            df = df.withColumn(f"{name}_{2 * p}", _zipped(F.col(powers[p]), F.col(powers[p]), p, f))
-            powers[2 * p] = f"{name}_{2 * p}"
-        if have == 1:
-            have = max(powers)
-            df = df.withColumn(name, F.col(powers[have]))
-        else:
-            p = max(q for q in powers if q <= width - have)
-            df = df.withColumn(name, _zipped(F.col(name), F.col(powers[p]), have, f))
-            have += p
-    return df.drop(*[c for p, c in powers.items() if p > 1])
-
-
-def _hashed(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
-
-
-def _least(a: Column, b: Column) -> Column:
-    return F.least(a, b)
+def _over(values: str, width: int, f) -> Column:
+    """``f`` of each run of ``width`` elements of the column ``values``."""
+    if width == 1:
+        return F.col(values)
+    starts = F.slice(values, 1, F.greatest(F.size(values) - (width - 1), F.lit(0)))
+    return F.transform(starts, lambda x, i: f(x, *[F.get(values, i + j) for j in range(1, width)]))
 
 
 def with_prints(df: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
-    """Add ``grams`` (hash of the gram at each word), ``mins`` (least gram hash of
-    each window) and, for each window length in ``short``, ``grams_<length>``."""
-    df = df.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = _combined(df, "word_hashes", "grams", gram, _hashed, overlap=False)
-    df = _combined(df, "grams", "mins", window - gram + 1, _least, overlap=True)
-    for length in short:
-        df = _combined(df, "word_hashes", f"grams_{length}", length, _hashed, overlap=False)
-    return df.drop("word_hashes")
+    """Add ``mins`` (least gram hash of each window) and, for each window length in ``short``,
+    ``grams_<length>`` (hash of the gram at each word)."""
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("grams", _over("hashes", gram, F.xxhash64))
+    df = df.withColumn("mins", _over("grams", window - gram + 1, F.least))
+    return df.withColumns({f"grams_{n}": _over("hashes", n, F.xxhash64) for n in short}).drop("hashes", "grams")
 
 
 def _runs(words: Column, length: int) -> Column:
@@ -101,8 +68,13 @@ def _runs(words: Column, length: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _keyed(gram: Column, length: int) -> Column:
+    """The fingerprint of an item of only ``length`` words, apart from those of whole windows."""
+    return F.xxhash64(gram, F.lit(length))
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> tuple[DataFrame, list[int]]:
-    """``(length, print, windows)``, windows an array of ``(text, items)``; and the lengths below ``window``.
+    """``(print, windows)``, windows an array of ``(length, text, items)``; and the lengths below ``window``.
 
     An item of fewer than ``window`` words, but not none, is one window.
     """
@@ -119,39 +91,57 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int,
     for length in short:
         parts.append(
             prints.filter(F.size("words") == length).select(
-                "item", F.lit(length).alias("length"), F.concat_ws(" ", "words").alias("text"), F.col(f"grams_{length}")[0].alias("print")
+                "item", F.lit(length).alias("length"), F.concat_ws(" ", "words").alias("text"), _keyed(F.col(f"grams_{length}")[0], length).alias("print")
             )
         )
     texts = reduce(DataFrame.unionByName, parts).groupBy("length", "print", "text").agg(F.collect_set("item").alias("items"))
-    return texts.groupBy("length", "print").agg(F.collect_list(F.struct("text", "items")).alias("windows")), short
+    return texts.groupBy("print").agg(F.collect_list(F.struct("length", "text", "items")).alias("windows")), short
 
 
-def _tagged(prints: str, length: int) -> Column:
-    return F.transform(F.array_distinct(prints), lambda h: F.struct(F.lit(length).alias("length"), h.alias("print")))
+def _spans(window: int, short: list[int]) -> Column:
+    """``(print, length, start, span)`` for each run of a row's windows with one fingerprint; span is the text of those windows."""
 
+    def text(start: Column, words: Column) -> Column:
+        return F.concat_ws(" ", F.slice("words", start + 1, words))
 
-def _hits(window: int, gram: int, short: list[int]) -> Column:
-    """Of a document row joined to a print: ``(start, length, items)`` of each window text found around it."""
+    def run(start: Column, nth: Column) -> Column:
+        end = F.coalesce(F.get("starts", nth + 1), F.size("mins"))
+        return F.struct(
+            F.get("mins", start).alias("print"), F.lit(window).alias("length"), start.alias("start"), text(start, end - start + window - 1).alias("span")
+        )
 
-    def around(grams: str, length: int, before: int) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(grams), F.lit(1))), lambda p: F.col(grams)[p - 1] == F.col("print"))
-        starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - before, F.lit(1)), p))))
-        starts = F.filter(starts, lambda s: s + length - 1 <= F.size("words"))
-        at = F.transform(starts, lambda s: F.struct(s.alias("start"), F.concat_ws(" ", F.slice("words", s, length)).alias("text")))
-        return F.flatten(
-            F.transform(
-                at,
-                lambda x: F.transform(
-                    F.filter("windows", lambda w: w["text"] == x["text"]),
-                    lambda w: F.struct(x["start"].alias("start"), F.lit(length).alias("length"), w["items"].alias("items")),
-                ),
-            )
+    def one(length: int) -> Column:
+        return F.transform(
+            f"grams_{length}",
+            lambda h, i: F.struct(_keyed(h, length).alias("print"), F.lit(length).alias("length"), i.alias("start"), text(i, F.lit(length)).alias("span")),
         )
 
-    found = around("grams", window, window - gram)
-    for length in short:
-        found = F.when(F.col("length") == length, around(f"grams_{length}", length, 0)).otherwise(found)
-    return found
+    return F.concat(F.transform("starts", run), *map(one, short))
+
+
+def _hits() -> Column:
+    """Of a run joined to its fingerprint's windows: ``(start, length, items)`` of each window text found in it."""
+    words = F.split("span", " ")
+
+    def at(i: Column) -> Column:
+        text = F.concat_ws(" ", F.slice(words, i + 1, F.col("length")))
+        return F.transform(
+            F.filter("windows", lambda w: (w["length"] == F.col("length")) & (w["text"] == text)),
+            lambda w: F.struct((F.col("start") + i).alias("start"), F.col("length").alias("length"), w["items"].alias("items")),
+        )
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - F.col("length")), at))
+
+
+def _covered(ranges: Column) -> Column:
+    """Words in the union of ``(start, length)`` ranges."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def grown(state: Column, r: Column) -> Column:
+        end = F.greatest(state["end"], r["start"] + r["length"])
+        return F.struct((state["n"] + end - F.greatest(state["end"], F.least(r["start"], end))).alias("n"), end.alias("end"))
+
+    return F.aggregate(F.array_sort(ranges), none, grown, lambda state: state["n"])
 
 
 def contamination(
@@ -194,57 +184,51 @@ def _judged(
     bench = checkpointed(sized)
     blocks = max(1, math.ceil((bench.agg(F.sum("bytes")).first()[0] or 0) / block_bytes))
 
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("text_key"),
-        words_of(F.col(text_col)).alias("words"),
-    )
-    rows = with_prints(rows, window, gram, short)
-    tagged = [_tagged("mins", window), *(_tagged(f"grams_{n}", n) for n in short)]
-    none = F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("print")))
-    rows = rows.withColumn("found", F.explode(F.concat(none, *tagged)))
-    rows = rows.select("*", "found.length", "found.print").drop("found", "mins")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
+    from_word = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = texts.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.transform(from_word, lambda i: F.struct(i.alias("first"), F.slice("words", i + 1, PIECE + window - 1).alias("words")))).alias("piece"))
+    pieces = with_prints(pieces.select("doc_id", "text_key", "n_words", "piece.*"), window, gram, short)
+    changes = F.transform("mins", lambda x, i: F.when((i == 0) | (x != F.get("mins", i - 1)), i))
+    pieces = pieces.withColumn("starts", F.array_compact(changes))
+    # a row for the text itself, and one for each run; explode would have all this worked out twice, for a filter on the array's size
+    itself = F.when(F.col("first") == 0, F.array(F.struct(F.lit(None).cast("long").alias("print"), F.lit(0).alias("length"), F.lit(0).alias("start"), F.lit("").alias("span"))))
+    none = F.array().cast("array<struct<print:bigint,length:int,start:int,span:string>>")
+    rows = pieces.select("doc_id", "text_key", "n_words", "first", F.explode_outer(F.concat(F.coalesce(itself, none), _spans(window, short))).alias("run"))
+    rows = rows.select("doc_id", "text_key", "n_words", "run.print", "run.length", (F.col("first") + F.col("run.start")).cast("long").alias("start"), "run.span")
 
     passes = []
     for block in range(blocks):
-        side = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("length", "print"), F.lit(blocks)) == block)
+        side = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("print"), F.lit(blocks)) == block)
         # proven: a block holds about block_bytes of windows, whatever the benchmark's size
-        joined = rows.join(F.broadcast(side.drop("bytes")), ["length", "print"], "left")
+        joined = rows.join(F.broadcast(side.drop("bytes")), "print", "left")
         kept = F.col("windows").isNotNull() | (F.col("length") == 0) if block == 0 else F.col("windows").isNotNull()
-        hits = F.when(F.col("windows").isNotNull(), _hits(window, gram, short))
+        found = joined.filter(kept).select("doc_id", "text_key", "n_words", F.explode_outer(F.when(F.col("windows").isNotNull(), _hits())).alias("hit"), "length")
         passes.append(
-            joined.filter(kept)
-            .withColumn("hits", hits)
-            .filter((F.col("length") == 0) | (F.size("hits") > 0))
-            .select(
-                "doc_id",
-                "text_key",
-                F.when(F.col("length") == 0, F.size("words").cast("long")).alias("n_words"),
-                F.array_distinct(
-                    F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
-                ).alias("places"),
-                F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))).alias("items"),
+            found.filter((F.col("length") == 0) | F.col("hit").isNotNull()).select(
+                "doc_id", "text_key", F.when(F.col("length") == 0, F.col("n_words")).alias("n_words"), "hit.start", "hit.length", "hit.items"
             )
         )
-    merged = (
+    # repeated rows are counted before anything of theirs is gathered
+    places = (
         reduce(DataFrame.unionByName, passes)
-        .groupBy("doc_id", "text_key")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.count("n_words").alias("copies"),
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+        .groupBy("doc_id", "text_key", "start", "length")
+        .agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.first("items").alias("items"))
+    )
+    merged = places.groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum("copies").alias("copies"),
+        F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", F.col("length").cast("long").alias("length")))).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     each = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
         "doc_id",
         "text_key",
         "n_words",
-        F.size("places").cast("long").alias("n_hit"),
+        _covered(F.col("ranges")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("places") > 0).alias("contaminated"),
+        (F.size("ranges") > 0).alias("contaminated"),
     )
 
 

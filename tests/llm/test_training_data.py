@@ -379,3 +379,24 @@ def test_pipeline(spark, sf_dir):
     assert len(mixed) and set(mixed["doc_id"]) <= {r[0] for r in docs.select("doc_id").collect()}
     hits = {r.doc_id for r in decontaminate.op7_winnowing(spark, sf_dir).where("contaminated").collect()}
     assert not hits & set(mixed["doc_id"])
+
+
+# contamination
+
+def test_pieces_of_a_text_count_like_the_whole(monkeypatch, spark, duck, sf_dir):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    same(QUERIES["op7_winnowing"](spark, sf_dir).toPandas(), duck.sql(ORACLES["op7_winnowing"]).df())
+
+
+def test_contamination_is_linear_in_the_text(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = spark.createDataFrame([(1, passage), (2, "q q q")], "item_id long, text string")
+    text = f"{passage} " + "a b c d e " * 60_000 + "q " * 5000 + passage
+    took = []
+    for copies in (1, 4):
+        df = spark.createDataFrame([(1, " ".join([text] * copies))], "doc_id long, text string")
+        began = time.perf_counter()
+        row = decontaminate.contamination(df, items).first()
+        took.append(time.perf_counter() - began)
+        assert (row.n_words, row.n_hit, row.n_items) == (305_024 * copies, 5024 * copies, 2)
+    assert took[1] < 4.5 * took[0] + 2
