@@ -1,26 +1,31 @@
 """Newton boosting with hierarchical losses, validation, tuning and recursion.
 
 Each round takes gradient and hessian of the current predictions as DataFrame
-aggregations and fits one regression tree to ``-g / h`` weighted by ``h``, so a
-leaf is the Newton step.  Predictions are checkpointed each round, which cuts the
-lineage and survives lost executors.
+aggregations and fits one regression tree to ``-g / h`` weighted by ``h``; a leaf
+takes the regularised Newton step of its own sums.  Predictions are checkpointed
+each round, which cuts the lineage and survives lost executors.  Fitted trees are small
+arrays: a model of any number of trees is one vectorised function, and a table when saved.
 """
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
 from enum import Enum
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_parts, clipped, lag_number, window_number
-from ..sources.tables import cut_lineage
+from ..sources.tables import cut_lineage, exists
 from . import loss
+from .reconcile import bottom_up
 
 
 class Objective(Enum):
@@ -47,7 +52,9 @@ class Params:
     bins: int = 32
     row_share: float = 1.0
     feature_share: float = 1.0
+    l1: float = 0.0
     l2: float = 0.0
+    bagging_freq: int = 1
     power: float = 1.5
     max_levels: int = 10
     max_categories: int = 100
@@ -56,24 +63,108 @@ class Params:
     seed: int = 0
 
 
+TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, value double"
+
+
+@dataclass
+class Tree:
+    """Nodes of a tree, the root first; ``feature`` is -1 at leaves, and rows up to the threshold go left."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), dtype=np.int64)
+        while (inner := np.flatnonzero(self.feature[at] >= 0)).size:
+            here = at[inner]
+            at[inner] = np.where(x[inner, self.feature[here]] <= self.threshold[here], self.left[here], self.right[here])
+        return self.value[at]
+
+
+def grown(fitted, used: list[int], leaves: dict[int, float]) -> Tree:
+    """The arrays of a fitted tree over the features numbered ``used``, with values for its leaves, which are numbered from the left."""
+    nodes: list[list[float]] = []
+
+    def add(node) -> int:
+        at = len(nodes)
+        nodes.append([-1, 0.0, 0, 0, 0.0])
+        if node.subtreeDepth() == 0:
+            nodes[at][4] = leaves.get(sum(n[0] < 0 for n in nodes) - 1 - pending[0], 0.0)
+            return at
+        split = node.split()
+        pending[0] += 1  # an inner node looks like a leaf until both its sides are there
+        left = add(node.leftChild())
+        right = add(node.rightChild())
+        pending[0] -= 1
+        nodes[at] = [used[split.featureIndex()], split.threshold(), left, right, 0.0]
+        return at
+
+    pending = [0]
+    add(fitted._call_java("rootNode"))
+    columns = list(zip(*nodes, strict=True))
+    return Tree(*(np.array(c, dtype=k) for c, k in zip(columns, (np.int64, float, np.int64, np.int64, float), strict=True)))
+
+
 @dataclass
 class Booster:
-    """A fitted model: a start value and trees over the columns ``features``."""
+    """A fitted model: a start value and trees over the columns ``features``; ``t_train`` is the seconds it took."""
 
     params: Params
     features: list[str]
     start: float
-    trees: list = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
     scores: list[float] = field(default_factory=list)
+    t_train: float = 0.0
+
+    def values(self, x: np.ndarray, rounds: int | None = None) -> np.ndarray:
+        """Predictions of rows of features; missing ones count as -1."""
+        x = np.where(np.isnan(x), -1.0, x)
+        raw = np.full(len(x), self.start)
+        for tree in self.trees[:rounds]:
+            raw += self.params.rate * tree.predict(x)
+        return np.exp(raw) if self.params.objective is Objective.TWEEDIE else raw
 
     def predict(self, rows: DataFrame, name: str = "yhat", rounds: int | None = None) -> DataFrame:
         """``rows`` with predictions; null features count as -1."""
-        out = _assembled(rows, self.features).withColumn("_raw", F.lit(self.start))
-        for i, (tree, used) in enumerate(self.trees[:rounds]):
-            tree = tree.copy().setPredictionCol(f"_p{i}").setFeaturesCol("_f")
-            out = tree.transform(_assembled(out.drop("_f"), used)).withColumn("_raw", F.col("_raw") + F.lit(self.params.rate) * F.col(f"_p{i}")).drop(f"_p{i}")
-        raw = F.exp("_raw") if self.params.objective is Objective.TWEEDIE else F.col("_raw")
-        return out.withColumn(name, raw).drop("_f", "_raw")
+
+        @F.pandas_udf("double")
+        def run(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(self.values(x.to_numpy(dtype=float), rounds))
+
+        return rows.withColumn(name, run(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a table of tree nodes and one of the rest."""
+        rows = [
+            (t, n, int(x.feature[n]), float(x.threshold[n]), int(x.left[n]), int(x.right[n]), float(x.value[n])) for t, x in enumerate(self.trees) for n in range(len(x.value))
+        ]
+        spark.createDataFrame(rows, TREE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
+        params = asdict(self.params) | {"objective": self.params.objective.value, "metric": self.params.metric.value}
+        about = {"params": params, "features": self.features, "start": self.start, "scores": self.scores, "t_train": self.t_train}
+        spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Booster:
+        about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+        params = Params(**about["params"] | {"objective": Objective(about["params"]["objective"]), "metric": Metric(about["params"]["metric"])})
+        trees: dict[int, list] = {}
+        for r in spark.read.parquet(f"{path}/trees").orderBy("tree", "node").collect():
+            trees.setdefault(r["tree"], []).append(tuple(r)[2:])
+        arrays = [Tree(*(np.array(c, dtype=k) for c, k in zip(zip(*rows, strict=True), (np.int64, float, np.int64, np.int64, float), strict=True))) for rows in trees.values()]
+        return cls(params, about["features"], about["start"], arrays, about["scores"], about["t_train"])
+
+
+def fit_or_load(spark: SparkSession, path: str | None, make) -> Booster:
+    """The model saved at ``path``, with the time its training took then; made and saved first if there is none."""
+    if path is not None and exists(spark, f"{path}/about"):
+        return Booster.load(spark, path)
+    model = make()
+    if path is not None:
+        model.save(spark, path)
+    return model
 
 
 def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -102,51 +193,71 @@ def fit(
         raise ValueError("the hierarchical objective needs sc or st")
     if params.objective in (Objective.HIERARCHICAL, Objective.RANDOM):
         params = replace(params, feature_share=1.0)
+    began = time.perf_counter()
     mean = rows.agg(F.avg(target)).first()[0] or 0.0
     start = float(np.log(max(mean, 1e-6))) if params.objective is Objective.TWEEDIE else float(mean)
     model = Booster(params, features, start)
     rng = np.random.default_rng(params.seed)
-    data = cut_lineage(rows.select(key, date, F.col(target).cast("double").alias("y"), *[f for f in features if f not in (key, date)]).withColumn("raw", F.lit(start)))
-    st_t = None if st is None else st.withColumnRenamed("t", date) if "t" in st.columns else st
-    fixed = loss.hessian(data, sc, st_t, key, date) if params.objective is Objective.HIERARCHICAL else None
-    if fixed is not None:
-        fixed = cut_lineage(fixed)
-    check = None if valid is None else cut_lineage(valid.select(key, date, F.col(target).cast("double").alias("y"), *[f for f in features if f not in (key, date)]).withColumn("raw", F.lit(start)))
+    columns = [key, date, F.col(target).cast("double").alias("y"), *[f for f in features if f not in (key, date)], F.lit(start).alias("raw")]
+    data = cut_lineage(rows.select(*columns))
+    sc = None if sc is None else cut_lineage(loss.weighted(sc, key))
+    st = st.withColumnRenamed("t", date) if st is not None and "t" in st.columns else st
+    fixed = cut_lineage(loss.hessian(data, sc, _within(st, data, date), key, date)) if params.objective is Objective.HIERARCHICAL else None
+    check = None if valid is None else cut_lineage(valid.select(*columns))
+    own_st, check_st = _within(st, data, date), None if check is None else _within(st, check, date)
     best, since = None, 0
     for number in range(params.rounds):
         errors = data.select(key, date, (F.col("raw") - F.col("y")).alias("e"))
         if params.objective is Objective.TWEEDIE:
             step = loss.tweedie(data, params.power)
         elif params.objective is Objective.HIERARCHICAL:
-            step = data.join(loss.gradient(errors, sc, st_t, key, date), [key, date]).join(fixed, [key, date])
+            step = data.join(loss.gradient(errors, sc, own_st, key, date), [key, date]).join(fixed, [key, date])
         elif params.objective is Objective.RANDOM:
-            grad = loss.random_gradient(errors, params.max_levels, params.max_categories, params.hier_freq, params.seed, number, key, date)
-            step = data.join(grad, [key, date]).withColumn("hess", F.lit(1.0))
+            drawn = loss.random_gradient(errors, params.max_levels, params.max_categories, params.hier_freq, params.seed, number, key, date)
+            step = data.join(drawn, [key, date])
         else:
             step = data.withColumn("grad", F.col("raw") - F.col("y")).withColumn("hess", F.lit(1.0))
-        used = sorted(rng.choice(features, max(1, round(params.feature_share * len(features))), replace=False))
+        used = sorted(rng.choice(len(features), max(1, round(params.feature_share * len(features))), replace=False).tolist())
         if params.row_share < 1:
-            kept = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(number), F.col(key), F.col(date)), F.lit(1 << 20)) < int(params.row_share * (1 << 20))
+            turn = number // max(1, params.bagging_freq)
+            kept = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(turn), F.col(key), F.col(date)), F.lit(1 << 20)) < int(params.row_share * (1 << 20))
             step = step.where(kept)
-        step = step.withColumn("weight", F.greatest(F.col("hess") + params.l2, F.lit(1e-9))).withColumn("newton", -F.col("grad") / F.col("weight"))
-        tree = DecisionTreeRegressor(
-            labelCol="newton", featuresCol="_f", weightCol="weight", maxDepth=params.depth, maxBins=params.bins, minInstancesPerNode=params.min_rows, seed=params.seed
-        ).fit(_assembled(step, used))
-        model.trees.append((tree, used))
-        data = _advanced(data, tree, used, params.rate)
+        step = step.withColumn("weight", F.greatest(F.col("hess"), F.lit(1e-9))).withColumn("newton", -F.col("grad") / F.col("weight"))
+        names = [features[i] for i in used]
+        fitted = DecisionTreeRegressor(
+            labelCol="newton", featuresCol="_f", weightCol="weight", leafCol="_leaf", predictionCol="_p", maxDepth=params.depth, maxBins=params.bins, minInstancesPerNode=params.min_rows, seed=params.seed
+        ).fit(ready := cut_lineage(_assembled(step, names).select("_f", "newton", "weight", "grad")))
+        sums = fitted.transform(ready).groupBy("_leaf").agg(F.sum("grad").alias("g"), F.sum("weight").alias("h")).collect()  # a row for each leaf
+        leaves = {int(r["_leaf"]): newton_step(r["g"], r["h"], params.l1, params.l2) for r in sums}
+        model.trees.append(grown(fitted, used, leaves))
+        data = _advanced(data, fitted, names, leaves, params.rate)
         if check is not None:
-            check = _advanced(check, tree, used, params.rate)
-            model.scores.append(score(check, params, sc, st_t, key, date))
+            check = _advanced(check, fitted, names, leaves, params.rate)
+            model.scores.append(score(check, params, sc, check_st, key, date))
             if best is None or model.scores[-1] < best:
                 best, since = model.scores[-1], 0
             elif (since := since + 1) >= params.patience:
                 break
+    model.t_train = time.perf_counter() - began
     return model
 
 
-def _advanced(data: DataFrame, tree, used: list[str], rate: float) -> DataFrame:
-    moved = tree.copy().setPredictionCol("_p").transform(_assembled(data, used))
-    return cut_lineage(moved.withColumn("raw", F.col("raw") + F.lit(rate) * F.col("_p")).drop("_p", "_f"))
+def newton_step(g: float, h: float, l1: float = 0.0, l2: float = 0.0) -> float:
+    """The regularised minimum of ``g x + h x^2 / 2`` over a leaf's sums."""
+    return -float(np.sign(g)) * max(abs(g) - l1, 0.0) / max(h + l2, 1e-12)
+
+
+def _within(st: DataFrame | None, data: DataFrame, date: str) -> DataFrame | None:
+    """A temporal membership over the dates of ``data`` only, with the weights that its nodes have there."""
+    if st is None:
+        return None
+    return cut_lineage(loss.weighted(st.join(data.select(date).distinct(), date, "left_semi"), date))
+
+
+def _advanced(data: DataFrame, fitted, names: list[str], leaves: dict[int, float], rate: float) -> DataFrame:
+    steps = F.array([F.lit(leaves.get(i, 0.0)) for i in range(max(leaves, default=0) + 1)])
+    moved = fitted.transform(_assembled(data, names))
+    return cut_lineage(moved.withColumn("raw", F.col("raw") + F.lit(rate) * F.coalesce(F.get(steps, F.col("_leaf").cast("int")), F.lit(0.0))).drop("_p", "_f", "_leaf"))
 
 
 def score(rows: DataFrame, params: Params, sc: DataFrame | None, st: DataFrame | None, key: str, date: str) -> float:
@@ -177,8 +288,10 @@ def suggestions(n: int, base: Params, seed: int = 0) -> list[Params]:
     for _ in range(n):
         draw = replace(
             base,
+            l1=float(10 ** rng.uniform(-8, 1)),
             l2=float(10 ** rng.uniform(-8, 1)),
-            depth=int(rng.integers(3, 11)),
+            depth=int(rng.integers(3, 11)),  # 8 to 1024 leaves
+            bagging_freq=int(rng.integers(1, 8)),
             feature_share=float(rng.uniform(0.4, 1)),
             row_share=float(rng.uniform(0.4, 1)),
             min_rows=int(10 ** rng.uniform(np.log10(5), np.log10(5000))),
@@ -186,7 +299,7 @@ def suggestions(n: int, base: Params, seed: int = 0) -> list[Params]:
         if base.objective is Objective.TWEEDIE:
             draw = replace(draw, power=float(rng.uniform(1.1, 1.9)))
         if base.objective is Objective.RANDOM:
-            draw = replace(draw, max_levels=int(rng.integers(1, 11)), max_categories=int(rng.integers(2, 1001)), hier_freq=int(rng.integers(1, 11)))
+            draw = replace(draw, max_levels=int(rng.integers(2, 11)), max_categories=int(rng.integers(2, 1001)), hier_freq=int(rng.integers(1, 8)))
         out.append(draw)
     return out
 
@@ -207,7 +320,7 @@ def tune(rows: DataFrame, features: list[str], trials: list[Params], fold_rows:
 def recursive_predict(
     model: Booster,
     history: DataFrame,
-    known: DataFrame,
+    known: DataFrame | None,
     days: list,
     keys: list[str],
     target: str = "y",
@@ -220,40 +333,52 @@ def recursive_predict(
     ``known`` has covariates of future days.  Lags are looked up by rows back in time,
     at any horizon.  Rolling means follow ``m - m / w + y / w`` with
     ``means="recursive"``, or are true means of the window with ``"window"``.
+    A series' past and its covariates are one row, and the days are worked out in
+    one pass over batches of series, so the horizon costs no further jobs.
     """
     lags = {f: lag_number(f) for f in model.features if lag_number(f)}
     wides = {f: window_number(f) for f in model.features if window_number(f)}
     deep = max([*lags.values(), *wides.values(), 1])
+    future = history.sparkSession.createDataFrame([(i, d) for i, d in enumerate(days)], f"_day int, {date} date")
+    parts = calendar_parts(F.col(date))
+    given = [f for f in model.features if f not in lags and f not in wides]
+    missing = [f for f in given if f not in parts and f not in keys]
+    rows = history.select(*keys).distinct().join(F.broadcast(future))  # every series on the days asked for
+    if missing:
+        rows = rows.join(known.select(*keys, date, *missing), [*keys, date], "left")
+    rows = rows.withColumns({f: parts[f] for f in given if f in parts})
+    ahead = F.array([F.col(f).cast("double") for f in given]) if given else F.array().cast("array<double>")
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_day", ahead.alias("x")))).alias("ahead"))
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(date)))
-    state = history.withColumn("_n", back).where(F.col("_n") <= deep)
-    state = state.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(target).cast("double").alias("v")))), lambda x: x["v"]).alias("past"))
-    state = state.withColumns({f"_m_{f}": F.expr(f"aggregate(slice(past, 1, {n}), 0D, (s, x) -> s + x) / least(size(past), {n})") for f, n in wides.items()})
-    state, out = cut_lineage(state), None
-    for day in days:
-        rows = state.withColumn(date, F.lit(day))
-        rows = rows.withColumns({f: F.try_element_at("past", F.lit(n)) for f, n in lags.items()} | {f: F.col(f"_m_{f}") for f in wides})
-        parts = calendar_parts(F.col(date))
-        rows = rows.withColumns({f: parts[f] for f in model.features if f in parts})
-        missing = [f for f in model.features if f not in rows.columns]
-        if missing:
-            rows = rows.join(known.select(*keys, date, *missing), [*keys, date], "left")
-        done = model.predict(rows)
-        if clip:
-            done = done.withColumn("yhat", clipped(F.col("yhat")))
-        done = cut_lineage(done.select(*keys, date, "yhat", "past", *[f"_m_{f}" for f in wides]))
-        moved = {"past": F.slice(F.concat(F.array("yhat"), "past"), 1, deep)}
-        for f, n in wides.items():
-            moved[f"_m_{f}"] = F.col(f"_m_{f}") + (F.col("yhat") - F.col(f"_m_{f}")) / n if means == "recursive" else F.expr(f"aggregate(slice(concat(array(yhat), past), 1, {n}), 0D, (s, x) -> s + x) / least(size(past) + 1, {n})")
-        state = done.withColumns(moved).drop(date, "yhat")
-        step = done.select(*keys, date, "yhat")
-        out = step if out is None else out.unionByName(step)
-    return out
-
-
-def separate_levels(rows: DataFrame, features: list[str], params: Params, level: str = "aggregation", **options) -> dict[str, Booster]:
-    """One model for each aggregation level."""
-    names = [r[0] for r in rows.select(level).distinct().orderBy(level).collect()]  # one name per level
-    return {n: fit(rows.where(F.col(level) == n), features, params, **options) for n in names}
+    past = history.withColumn("_n", back).where(F.col("_n") <= deep)
+    past = past.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(target).cast("double").alias("v")))), lambda x: x["v"]).alias("past"))
+    state = past.join(rows, keys).select(*keys, "past", F.transform("ahead", lambda a: a["x"]).alias("ahead"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            # newest value first; missing ones are unknown
+            seen = np.full((len(batch), deep), np.nan)
+            for i, p in enumerate(batch["past"]):
+                seen[i, : len(p)] = [np.nan if v is None else v for v in p]
+            mean = {f: np.nanmean(seen[:, :n], axis=1) for f, n in wides.items()}
+            covariates = np.array([[[np.nan if v is None else v for v in x] for x in a] for a in batch["ahead"]], dtype=float).reshape(len(batch), len(days), len(given))
+            for d in range(len(days)):
+                x = np.empty((len(batch), len(model.features)))
+                for j, f in enumerate(model.features):
+                    x[:, j] = seen[:, lags[f] - 1] if f in lags else mean[f] if f in wides else covariates[:, d, given.index(f)]
+                y = model.values(x)
+                if clip:
+                    y = np.clip(y, 0.0, 1e9)
+                for f, n in wides.items():
+                    mean[f] = mean[f] + (y - mean[f]) / n if means == "recursive" else np.nanmean(np.column_stack([y, seen[:, : n - 1]]), axis=1)
+                seen = np.column_stack([y, seen[:, :-1]])
+                yield batch[keys].assign(_day=np.int32(d), yhat=y)
+
+    kinds = ", ".join(f"`{k}` {state.schema[k].dataType.simpleString()}" for k in keys)
+    out = state.mapInPandas(run, f"{kinds}, _day int, yhat double")
+    return out.join(F.broadcast(future), "_day").select(*keys, date, "yhat")
 
 
 #: Fixed values, the experiments: setting (1: one model for all levels, 2: one per level, 3: bottom level and sums), objective, metric, hierarchy of the loss.
@@ -297,32 +422,76 @@ def run_experiment(
     rows: DataFrame,
     features: list[str],
     base: Params,
-    sc: DataFrame | None = None,
-    st: DataFrame | None = None,
-    key: str = "member",
+    sc: DataFrame,
+    st: DataFrame,
+    end_train,
+    days: list,
+    n_years: int = 3,
+    fold_rows: list | None = None,
+    models: str | None = None,
+    level: str = "aggregation",
+    key: str = "value",
     date: str = "date",
-    test: DataFrame | None = None,
+    bottom: str = "bottom",
 ) -> tuple[DataFrame, dict[str, float]]:
-    """Fit one experiment on ``rows`` and predict ``test`` from its features; with times of both actions.
-
-    Settings 1 and 3 fit one model (3 on bottom members, whose sums the caller takes
-    over ``sc``), setting 2 one for each ``aggregation``.
+    """``(method, seed, aggregation, value, date, yhat, in_sample)`` of one experiment, and the seconds of its steps.
+
+    ``rows`` is the forecast set of all levels (``level``, ``key``, ``date``, ``y`` and ``features``).  Setting 1 fits one model
+    to all of them, setting 2 one to each level; both predict the past from its features
+    and the ``days`` ahead recursively.  Setting 3 fits the bottom level, predicts the days ahead
+    and sums up.  With ``fold_rows`` (of ``folds``) the number of rounds is where the experiment's metric
+    is best on average over the folds.  ``models`` is a folder of saved models; found ones are used, with the
+    time they took.  ``sc`` names members as ``member``, ``st`` dates as ``t``.
     """
     setting, params, sides = experiment(name, base)
-    random = loss.random_membership(rows.select(key), params.max_levels, params.max_categories, params.seed, key=key) if "random" in sides else None
-    # the sides of the hierarchy serve the objective, or the metric alone
-    used_sc = random if random is not None else sc if "cs" in sides else None
-    used_st = st if "t" in sides else None
+    window = rows.where(F.col(date) <= F.lit(end_train))
+    if setting == 3:
+        window = window.where(F.col(level) == bottom)
+    # a bottom member is named by its value, any other node by level and value
+    window = window.withColumn("member", F.col(key) if setting == 3 else F.concat_ws("\u0001", level, key))
+    own_sc = sc if "cs" in sides else loss.random_membership(window, params.max_levels, params.max_categories, params.seed) if "random" in sides else None
+    own_st = st if "t" in sides else None
+    groups = [None] if setting != 2 else [r[0] for r in rows.select(level).distinct().orderBy(level).collect()]  # a row for each level
+    began, trained, parts = time.perf_counter(), 0.0, []
+    for group in groups:
+        own = window if group is None else window.where(F.col(level) == group)
+
+        def make(own: DataFrame = own) -> Booster:
+            chosen = params
+            if fold_rows:
+                chosen = replace(params, rounds=max(1, tune(own, features, [params], fold_rows, own_sc, own_st, "member", date)[0][2]))
+            return fit(training_window(own, end_train, n_years, date), features, chosen, own_sc, own_st, "member", date)
+
+        model = fit_or_load(rows.sparkSession, None if models is None else f"{models}/{name}/seed={params.seed}/{group or 'all'}", make)
+        trained += model.t_train
+        ahead = recursive_predict(model, own, rows, days, [level, key], "y", date).withColumn("in_sample", F.lit(False))
+        if setting != 3:
+            back = model.predict(own).withColumn("yhat", clipped(F.col("yhat"))).select(level, key, date, "yhat", F.lit(True).alias("in_sample"))
+            ahead = ahead.unionByName(back)
+        parts.append(ahead)
+    tuned = time.perf_counter() - began - trained
     began = time.perf_counter()
-    if setting == 2:
-        models = separate_levels(rows, features, params, key=key, date=date)
-    else:
-        models = {None: fit(rows, features, params, used_sc, used_st, key, date)}
-    trained = time.perf_counter()
-    ahead = test if test is not None else rows
-    parts = [m.predict(ahead if n is None else ahead.where(F.col("aggregation") == n)) for n, m in models.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = cut_lineage(out.withColumn("method", F.lit(name)).withColumn("seed", F.lit(params.seed)))
-    return out, {"t_train": trained - began, "t_predict": time.perf_counter() - trained}
+    if setting == 3:
+        sums = bottom_up(out.select(F.col(key).alias("member"), date, "yhat"), sc, [date])
+        out = sums.select(F.col("aggregation").alias(level), F.col("value").alias(key), date, "yhat", F.lit(False).alias("in_sample"))
+    out = cut_lineage(out.select(F.lit(name).alias("method"), F.lit(params.seed).alias("seed"), level, key, date, "yhat", "in_sample"))
+    return out, {"t_tune": max(0.0, tuned), "t_train": trained, "t_predict": time.perf_counter() - began}
+
+
+def run_grid(names: list[str], seeds: range, run, path: str, spark: SparkSession) -> DataFrame:
+    """Run experiments ``run(name, seed)`` for every name and seed, each an independent job; forecasts and times are written below ``path``.
+
+    What a scenario and seed has written is not run again.  Returns the forecasts.
+    """
+    for name in names:
+        for seed in seeds:
+            place = f"scenario={name}/seed={seed}"
+            if exists(spark, f"{path}/timings/{place}"):
+                continue
+            out, times = run(name, seed)
+            out.drop("seed").write.mode("overwrite").parquet(f"{path}/forecasts/{place}")
+            spark.createDataFrame([tuple(map(float, times.values()))], ", ".join(f"{k} double" for k in times)).write.mode("overwrite").parquet(f"{path}/timings/{place}")
+    return spark.read.parquet(f"{path}/forecasts")

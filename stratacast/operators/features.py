@@ -114,7 +114,7 @@ def forecast_set(
     panel = add_calendar(add_rolling_means(add_lags(panel, target, forecast_day=forecast_day, date=date), target, forecast_day=forecast_day, date=date), date)
     extra = [c for c in (price, weeks) if c]
     if extra:
-        first = facts.groupBy(*hierarchy.bottom, date).agg(*[F.first(c).alias(c) for c in extra])
+        first = facts.groupBy(*hierarchy.bottom, date).agg(*[F.min(c).alias(c) for c in extra])  # of several rows, the least
         filled = dense.select(*hierarchy.bottom, date).join(first, [*hierarchy.bottom, date], "left")
         filled = filled.withColumns({c: filled_both_ways(c, hierarchy.bottom, date) for c in extra}).withColumn("member", hierarchy.key())
         means = mean_over_members(filled, membership(facts, hierarchy), [date], extra)

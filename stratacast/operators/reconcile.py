@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .hierarchy import aggregate_members
 
 METHODS = ("ols", "wls_struct", "wls_var", "mint_shrink", "erm")
-#: Nodes that a solve on the driver may have.
-MAX_NODES = 4000
+#: Cells of a matrix (nodes by members) that a solve on the driver may have.
+MAX_CELLS = 4_000_000
 NODE = ["aggregation", "value"]
 
 
@@ -23,10 +23,11 @@ def bottom_up(forecasts: DataFrame, sc: DataFrame, by: list[str], measure: str =
     return aggregate_members(forecasts, sc, by, measure, key)
 
 
-def summing_matrix(sc: DataFrame, key: str = "member", max_nodes: int = MAX_NODES) -> tuple[list[tuple[str, str]], list[str], np.ndarray]:
+def summing_matrix(sc: DataFrame, key: str = "member", max_cells: int = MAX_CELLS) -> tuple[list[tuple[str, str]], list[str], np.ndarray]:
     """Nodes (Total first, bottom last), members and the 0/1 matrix."""
-    if sc.select(*NODE).distinct().limit(max_nodes + 1).count() > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes; use bottom_up or reconcile_tree")
+    n_nodes, n_members = sc.select(*NODE).distinct().count(), sc.select(key).distinct().count()
+    if n_nodes * n_members > max_cells:
+        raise ValueError(f"{n_nodes} nodes by {n_members} members are more than {max_cells} cells; use bottom_up or reconcile_tree")
     rows = sc.select("level_id", *NODE, key).orderBy("level_id", "value", key).collect()
     nodes = list(dict.fromkeys((r["aggregation"], r["value"]) for r in rows))
     members = sorted({r[key] for r in rows})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,25 +110,26 @@ def _encode(spark, d):
     return coded.select("p_partkey", "p_brand", "p_type", F.col("p_brand_enc").cast("long"), F.col("event_enc").cast("long"))
 
 
+MONTHS = [f"{y}_{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]  # of the whole table
+
+
 def _wide(spark, d):
-    months = ["1995-02-01", "1995-03-01", "1995-04-01", "1995-05-01"]
-    facts = monthly_facts(spark, d).where(F.col("month").isin(months)).withColumn("d", F.concat(F.lit("m_"), F.month("month").cast("string")))
-    return facts.groupBy("region", "nation", "brand").pivot("d", ["m_2", "m_3", "m_4", "m_5"]).agg(F.sum("y"))
+    facts = monthly_facts(spark, d).withColumn("d", F.concat(F.lit("m_"), F.date_format("month", "yyyy_MM")))
+    return facts.groupBy("region", "nation", "brand").pivot("d", [f"m_{m}" for m in MONTHS]).agg(F.sum("y"))
 
 
 MONTHLY_SQL = """f AS (SELECT n_regionkey AS region, n_nationkey AS nation, p_brand AS brand, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS y
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
-@query("unpivot_wide", f"""WITH {MONTHLY_SQL} SELECT region, nation, brand, 'm_' || month(month) AS d, y AS sales FROM f
-WHERE month IN (DATE '1995-02-01', DATE '1995-03-01', DATE '1995-04-01', DATE '1995-05-01')""")
+@query("unpivot_wide", f"WITH {MONTHLY_SQL} SELECT region, nation, brand, strftime(month, 'm_%Y_%m') AS d, y AS sales FROM f")
 def _unpivot(spark, d):
-    return features.unpivoted(_wide(spark, d), ["region", "nation", "brand"], ["m_2", "m_3", "m_4", "m_5"], "d", "sales")
+    return features.unpivoted(_wide(spark, d), ["region", "nation", "brand"], [f"m_{m}" for m in MONTHS], "d", "sales")
 
 
-@query("pivot_fill", f"""WITH {MONTHLY_SQL} SELECT region, nation, brand, coalesce(sum(y) FILTER (month(month) = 2), 0) AS m_2, coalesce(sum(y) FILTER (month(month) = 3), 0) AS m_3,
-coalesce(sum(y) FILTER (month(month) = 4), 0) AS m_4, coalesce(sum(y) FILTER (month(month) = 5), 0) AS m_5 FROM f
-WHERE month IN (DATE '1995-02-01', DATE '1995-03-01', DATE '1995-04-01', DATE '1995-05-01') GROUP BY ALL""")
+@query("pivot_fill", f"WITH {MONTHLY_SQL} SELECT region, nation, brand, " + ", ".join(
+    f"coalesce(sum(y) FILTER (strftime(month, '%Y_%m') = '{m}'), 0) AS m_{m}" for m in MONTHS
+) + " FROM f GROUP BY ALL")
 def _pivot(spark, d):
     return _wide(spark, d).na.fill(0.0)
 
@@ -214,10 +216,10 @@ def _first(spark, d):
     return features.first_per_date(rows, "date", ["l_orderkey", "l_linenumber"]).select(day(), "l_orderkey", "l_linenumber")
 
 
-@query("semi_dates", f"WITH {FACTS} SELECT region, flag, status, CAST(date AS VARCHAR) AS date, y FROM f WHERE date IN (SELECT date FROM f WHERE y > 300)")
+@query("semi_dates", f"WITH {FACTS} SELECT region, flag, status, CAST(date AS VARCHAR) AS date, y FROM f WHERE date IN (SELECT date FROM f WHERE y > 45)")
 def _semi(spark, d):
     facts = daily_facts(spark, d)
-    return features.surviving_dates(facts, facts.where("y > 300")).select("region", "flag", "status", day(), "y")
+    return features.surviving_dates(facts, facts.where("y > 45")).select("region", "flag", "status", day(), "y")
 
 
 @query("last_dates", "SELECT CAST(date AS VARCHAR) AS date FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem ORDER BY 1 DESC LIMIT 28)")
@@ -410,14 +412,25 @@ def _hmse_b(spark, d):
     return loss.metric(e, membership(e, DAILY), times).select(r6("hmse").alias("hmse"))
 
 
-@query("random_membership")
+RANDOM_SQL = """, rm AS (SELECT DISTINCT member FROM p), rp AS (SELECT 1 + CAST('0x' || substr(md5('3:0:levels'), 1, 8) AS BIGINT) % 10 AS n),
+rl AS (SELECT i, 2 + CAST('0x' || substr(md5('3:0:size:' || i), 1, 8) AS BIGINT) % 99 AS size FROM rp, unnest(range(1, n + 1)) u(i)),
+rs AS (SELECT 0 AS level_id, 'Total' AS aggregation, 'Total' AS value, member FROM rm
+UNION ALL SELECT i, 'random' || i, CAST(CAST('0x' || substr(md5('3:0:' || i || ':' || member), 1, 8) AS BIGINT) % size AS VARCHAR), member FROM rm, rl
+UNION ALL SELECT n + 1, 'bottom', member, member FROM rm, rp),
+rd AS (SELECT level_id, value, 1.0::DOUBLE / ((SELECT n + 2 FROM rp) * count(*)) AS d FROM rs GROUP BY 1, 2)"""
+
+
+@query("random_membership", f"WITH {PANEL}{RANDOM_SQL} SELECT CAST(level_id AS INT) AS level_id, aggregation, value, member FROM rs")
 def _random_sc(spark, d):
     return loss.random_membership(daily_panel(spark, d), 10, 100, seed=3)
 
 
-@query("random_gradient")
+@query("random_gradient", f"""WITH {ERRORS}{RANDOM_SQL}, ra AS (SELECT level_id, value, date, sum(e) AS s FROM e JOIN rs USING (member) GROUP BY ALL)
+SELECT member, CAST(date AS VARCHAR) AS date, round(sum(s * d), 6) + 0.0 AS grad, round(sum(d), 9) AS hess
+FROM ra JOIN rd USING (level_id, value) JOIN rs USING (level_id, value) GROUP BY ALL""")
 def _random(spark, d):
-    return loss.random_gradient(naive_errors(spark, d), 10, 100, 1, seed=3, draw=0, time="date").select("member", day(), r6("grad").alias("grad"))
+    found = loss.random_gradient(naive_errors(spark, d), 10, 100, 1, seed=3, draw=0, time="date")
+    return found.select("member", day(), r6("grad").alias("grad"), F.round("hess", 9).alias("hess"))
 
 
 @query("tweedie_grad_hess", f"""WITH {ERRORS} SELECT member, CAST(date AS VARCHAR) AS date,
@@ -450,7 +463,7 @@ def _all_nodes(spark, d):
 def _reconciled(method):
     def run(spark, d):
         nodes, sc = _all_nodes(spark, d)
-        out = reconcile.reconcile(spark, nodes.where(F.year("date") == 2001), sc, method, nodes.where(F.year("date") < 2001))
+        out = reconcile.reconcile(spark, nodes, sc, method, nodes.where(F.year("date") < 2001))
         return out.select("level_id", "aggregation", "value", day(), F.round("yhat", 4).alias("yhat"))
 
     return run
@@ -475,7 +488,7 @@ def _seasonal(spark, d):
 
 def _classical(name):
     def run(spark, d):
-        rows = daily_panel(spark, d).where(F.year("date") >= 2001).select(F.lit("bottom").alias("aggregation"), F.col("member").alias("value"), "date", "y")
+        rows = hierarchy.aggregate_levels(daily_panel(spark, d), DAILY, ["date"], "y")
         return baselines.classical(rows, name, 28, fitted=name == "ets").withColumn("yhat", F.round("yhat", 4))
 
     return run
@@ -591,29 +604,31 @@ def _recursion(spark, d):
     return tail.select("member", F.lit(2002).alias("year"), r6("m").alias("next_mean7"), r6(F.col("m") - F.col("m") / 7 + F.col("last") / 7).alias("moved_mean7"))
 
 
-FEATURES = ["y_lag1", "y_lag2", "y_lag7", "y_lag28", "y_lag1_mavg7", "dayofweek", "monthofyear"]
+FEATURES = [*(f"y_lag{k}" for k in features.LAGS), *(f"y_lag1_mavg{n}" for n in features.WINDOWS), "dayofweek", "dayofmonth", "weekofyear", "monthofyear"]
+HORIZON = 28
+#: The rounds and folds of the registered experiments; README states them beside the original's.
+ROUNDS = boost.Params(rounds=6, rate=0.3, depth=4, patience=2)
+N_FOLDS = 1
 
 
-def _training(spark, d):
-    """Features of the bottom members over the last year before the test weeks, and those weeks' dates."""
-    rows = features.add_lags(daily_panel(spark, d), lags=(1, 2, 7, 28), series=("member",))
-    rows = features.add_calendar(features.add_rolling_means(rows, windows=(7,), series=("member",)))
-    rows = rows.withColumn("dayofweek", F.col("dayofweek").cast("double"))
+def _forecast_rows(spark, d):
+    """Targets and features of every node of the daily panel, the last day to train on, and the days ahead."""
+    rows = features.forecast_set(daily_facts(spark, d), DAILY)
+    rows = cut_lineage(rows.withColumns({f: F.col(f).cast("double") for f in FEATURES}))
     last = rows.agg(F.max("date").alias("x")).first()["x"]
-    return cut_lineage(rows.where(F.col("date") > F.date_sub(F.lit(last), 400)).na.drop("any")), last
-
-
-SMALL = boost.Params(rounds=3, rate=0.3, depth=3)
+    days = [r[0] for r in spark.range(HORIZON).select(F.date_sub(F.lit(last), HORIZON - 1 - F.col("id").cast("int"))).collect()]
+    return rows, days
 
 
 def _boosted(name):
     def run(spark, d):
-        rows, last = _training(spark, d)
-        train, test = rows.where(F.col("date") <= F.date_sub(F.lit(last), 28)), rows.where(F.col("date") > F.date_sub(F.lit(last), 28))
-        sc, st = membership(train, DAILY), time_membership(train)
-        train, test = (x.withColumn("aggregation", F.col("flag")) for x in (train, test))
-        out, _ = boost.run_experiment(name, train, FEATURES, SMALL, sc, st, test=test)
-        return out.select("member", day(), "method", "y", F.round("yhat", 6).alias("yhat"))
+        rows, days = _forecast_rows(spark, d)
+        facts = daily_facts(spark, d)
+        end = days[0] - dt.timedelta(days=1)
+        train = rows.where(F.col("date") <= F.lit(end))
+        folds = boost.folds(train, N_FOLDS, HORIZON).collect()
+        out, _ = boost.run_experiment(name, rows, FEATURES, ROUNDS, membership(facts, DAILY), time_membership(train), end, days, fold_rows=folds)
+        return out.select("method", "aggregation", "value", day(), "in_sample", F.round("yhat", 6).alias("yhat"))
 
     return run
 
@@ -624,16 +639,18 @@ for _m in boost.EXPERIMENTS:
 
 @query("recursive_forecast")
 def _recursive(spark, d):
-    rows, last = _training(spark, d)
-    model = boost.fit(rows, FEATURES, SMALL)
-    days = [r[0] for r in spark.range(1, 4).select(F.date_add(F.lit(last), F.col("id").cast("int"))).collect()]
-    return boost.recursive_predict(model, daily_panel(spark, d), None, days, ["member"]).select("member", day(), F.round("yhat", 6).alias("yhat"))
+    rows, days = _forecast_rows(spark, d)
+    bottom = rows.where("aggregation = 'bottom'")
+    train = bottom.where(F.col("date") < F.lit(days[0]))
+    model = boost.fit(boost.training_window(train, days[0]), FEATURES, ROUNDS, key="value")
+    out = boost.recursive_predict(model, train, bottom, days, ["value"])
+    return out.select(F.col("value").alias("member"), day(), F.round("yhat", 6).alias("yhat"))
 
 
 @query("tune_best")
 def _tune(spark, d):
-    rows, _ = _training(spark, d)
-    base = boost.Params(rounds=2, rate=0.3)
-    folds = boost.folds(rows, 1, 28, 1).collect()
-    found = boost.tune(rows, FEATURES, [boost.Params(rounds=2, rate=0.3, depth=k) for k in (2, 4)] + boost.suggestions(1, base), folds)
-    return spark.createDataFrame([(p.depth, s, r) for p, s, r in found], "depth int, score double, best_round int")
+    rows, days = _forecast_rows(spark, d)
+    bottom = rows.where((F.col("aggregation") == "bottom") & (F.col("date") < F.lit(days[0])))
+    trials = [ROUNDS, *boost.suggestions(2, ROUNDS)]
+    found = boost.tune(bottom, FEATURES, trials, boost.folds(bottom, 2, HORIZON).collect(), key="value")
+    return spark.createDataFrame([(p.depth, p.l1, p.l2, s, r) for p, s, r in found], "depth int, l1 double, l2 double, score double, best_round int")

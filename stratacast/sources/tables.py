@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -84,13 +85,26 @@ def load_or_fit(spark: SparkSession, path: str, fit: Callable, load: Callable):
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names (a private one only where it names none)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratacast-"))
+    """Checkpoint in the shared folder that the session names."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and scratch tables.
+
+    Where the session names none it is below the warehouse, which a cluster shares
+    too; a temporary folder serves only a session that runs in this one process.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        alone = re.fullmatch(r"local(\[.*\])?", context.master)
+        named = "file://" + tempfile.mkdtemp(prefix="stratacast-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stratacast-checkpoints"
+        context.setCheckpointDir(named)
+    return named
+
+
 def complete(df: DataFrame, *columns: str) -> DataFrame:
     """``df``, after a check that none of ``columns`` holds a null."""
     bad = F.lit(False)

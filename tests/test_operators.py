@@ -138,6 +138,92 @@ def test_classical_models_fall_back_and_repeat_a_season():
     assert np.allclose(baselines.croston(np.zeros(5), 3)[1], 0)
 
 
+def test_random_gradient_matches_matrices(small):
+    df, _, _, e, *_ = small
+    drawn = loss.random_membership(df, 4, 5, seed=2, draw=3).toPandas()
+    nodes = drawn.groupby(["level_id", "value"])["member"].apply(set)
+    s = np.array([[any(m.endswith(f"-{i}") for m in members) for i in range(6)] for members in nodes]).astype(float)
+    d = 1 / (drawn["level_id"].nunique() * s.sum(axis=1))
+    out = loss.random_gradient(df, 4, 5, 1, seed=2, draw=3)
+    assert np.allclose(_grid(out, "grad"), s.T @ np.diag(d) @ s @ e)
+    assert np.allclose(_grid(out, "hess"), np.outer(s.T @ d, np.ones(8)))
+
+
+def test_a_leaf_is_the_regularised_newton_step(spark):
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(t), float(t >= 5), 3.0 if t >= 5 else -1.0) for t in range(8)]
+    df = spark.createDataFrame(rows, "member string, date date, x double, y double")
+    model = boost.fit(df, ["x"], boost.Params(rounds=1, rate=1.0, depth=1, min_rows=1, l1=0.5, l2=2.0))
+    # the mean is 0.5; sums of gradients 7.5 over 5 rows and -7.5 over 3
+    got = {r["x"]: r["yhat"] for r in model.predict(df).collect()}
+    assert np.isclose(got[0.0], 0.5 - 7.0 / 7.0) and np.isclose(got[1.0], 0.5 + 7.0 / 5.0)
+
+
+def test_trees_as_arrays_predict_what_was_trained(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), dt.date(2020, 1, 1) + dt.timedelta(t), *map(float, rng.normal(size=3))) for i in range(6) for t in range(40)]
+    df = spark.createDataFrame(rows, "member string, date date, x double, z double, y double")
+    params = boost.Params(rounds=4, rate=0.5, depth=3, min_rows=1, feature_share=0.5, row_share=0.8, bagging_freq=2, l2=1.0)
+    model = boost.fit(df, ["x", "z"], params, valid=df)
+    found = model.predict(df).toPandas()
+    assert np.isclose(((found["yhat"] - found["y"]) ** 2).mean(), model.scores[-1])
+    model.save(spark, f"file://{tmp_path}/m")
+    calls = []
+    again = boost.fit_or_load(spark, f"file://{tmp_path}/m", lambda: calls.append(1))
+    assert not calls and again.params == params and again.t_train == model.t_train > 0
+    assert np.allclose(again.predict(df).toPandas()["yhat"], found["yhat"])
+
+
+def _experiment_panel(spark):
+    rng = np.random.default_rng(7)
+    rows = [("ab"[i % 2], str(i), dt.date(2020, 1, 1) + dt.timedelta(t), float(rng.poisson(3 + 2 * (t % 7 == 0) + i))) for i in range(4) for t in range(80)]
+    facts = spark.createDataFrame(rows, "g string, i string, date date, y double")
+    panel = hierarchy.aggregate_levels(facts, LEVELS, ["date"], "y")
+    panel = features.add_calendar(features.add_lags(panel, lags=(1, 7))).na.drop("any")
+    members = facts.withColumn("member", F.concat_ws("-", "g", "i"))
+    return panel, hierarchy.membership(members, LEVELS), [dt.date(2020, 3, 14) + dt.timedelta(i) for i in range(5)]
+
+
+def test_experiments_differ_by_level_metric_and_hierarchy(spark, tmp_path):
+    panel, sc, days = _experiment_panel(spark)
+    times = panel.select("date").distinct().withColumn("week", F.weekofyear("date"))
+    st = hierarchy.membership(times, hierarchy.Hierarchy((("week",),), ("date",), "day"), "t").withColumn("t", F.col("t").cast("date"))
+    end, names = days[0] - dt.timedelta(days=1), ["y_lag1", "y_lag7", "dayofweek"]
+    base = boost.Params(rounds=3, rate=0.5, depth=2, min_rows=2)
+    out = {}
+    for name in ("globalall_objse_evalmse", "sepagg_objse_evalmse", "bu_objmse_evalmse", "bu_objtweedie_evalmse", "bu_objhse_evalhmse", "bu_objhse_evalhmse_withtemp", "bu_objhse_evalhmse_withtemponly", "bu_objrhse_evalhmse", "bu_objhse_evalhmse_random"):
+        found, times_taken = boost.run_experiment(name, panel, names, base, sc, st, end, days)
+        found = found.toPandas()
+        ahead = found[~found["in_sample"]].set_index(["aggregation", "value", "date"])["yhat"].sort_index()
+        assert len(ahead) == 7 * 5 and found["in_sample"].any() == (not name.startswith("bu_"))
+        assert times_taken["t_train"] > 0
+        if name.startswith("bu_"):  # coherent
+            sums = ahead.groupby(level=["aggregation", "date"]).sum().unstack("aggregation")
+            assert np.allclose(sums["Total"], sums["bottom"]) and np.allclose(sums["g"], sums["bottom"])
+        out[name] = ahead
+    results = list(out.values())
+    assert all(not np.allclose(a, b) for i, a in enumerate(results) for b in results[:i])
+    # the metric decides what validation scores are, and with them the number of rounds
+    bottom = panel.where("aggregation = 'bottom'").withColumn("member", F.col("value"))
+    held = bottom.where(F.col("date") >= F.lit(days[0]))
+    scores = {}
+    for metric in (boost.Metric.L2, boost.Metric.HIERARCHICAL):
+        params = boost.Params(metric=metric, rounds=2, rate=0.5, depth=2, min_rows=2)
+        scores[metric] = boost.fit(bottom.where(F.col("date") < F.lit(days[0])), names, params, sc, valid=held).scores
+    assert not np.allclose(*scores.values())
+
+
+def test_the_grid_runs_each_seed_once(spark, tmp_path):
+    calls = []
+
+    def run(name, seed):
+        calls.append((name, seed))
+        return spark.createDataFrame([(name, seed, "Total", 1.5)], "method string, seed int, aggregation string, yhat double"), {"t_train": 1.0}
+
+    for _ in range(2):
+        out = boost.run_grid(["a", "b"], range(2), run, f"file://{tmp_path}/grid", spark)
+    assert len(calls) == 4 and sorted((r.scenario, r.seed) for r in out.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
 def test_boosting_learns_and_stops(spark):
     rng = np.random.default_rng(0)
     rows = [(str(i), dt.date(2020, 1, 1) + dt.timedelta(t), float(x := rng.integers(0, 5)), float(3 * x + 1)) for i in range(4) for t in range(30)]
