@@ -6,8 +6,10 @@ within one text are no further evidence.  A feature's weight is the log ratio of
 target count departs significantly from what the raw count leads to expect (so
 rare features weigh nothing).  A document's log weight is the sum over its
 features; documents are drawn without replacement by Gumbel top-k on the log
-weights, k being the number of documents on the good side of the cut that tells
-good from bad labelled documents best.
+weights.  k is a share of the documents that is asked for, or else the number of documents on the good
+side of the cut that tells good from bad labelled documents best.
+
+Plain ratios of all n-gram counts, drawn at temperature 1, are not used: see the README for what they keep and reject.
 """
 
 from __future__ import annotations
@@ -15,15 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, read_table
+from .runtime import checkpointed, free_name, read_table, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 19
@@ -53,33 +53,20 @@ def features(text: str | None) -> np.ndarray:
     return found[np.append(True, found[1:] != found[:-1])]
 
 
-class Weights(NamedTuple):
-    table: np.ndarray  # log ratio of each bucket
-    cut: float
-
-
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = LABEL_ROWS) -> DataFrame:
-    """``(id, text, good)``: documents with a label, good null where there is none.
-
-    At most ``rows`` labels are used, the first by a hash of the id: a bounded
-    table, so it is broadcast and the documents are not shuffled.
-    """
+def label_table(labels: DataFrame, rows: int = LABEL_ROWS) -> DataFrame:
+    """``(label_id, good)`` of at most ``rows`` labelled ids, the first by a hash of the id: a bounded table."""
     some = (
         labels.filter("doc_id is not null and quality is not null and toxic is not null")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("label_id"))
         .agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(rows)
-        .withColumnRenamed("doc_id", "_label_id")
     )
-    few = checkpointed(some)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(few), F.col("id") == F.col("_label_id"), "left"
-    ).drop("_label_id")
+    return checkpointed(some)
 
 
-def count_features(rows: DataFrame) -> DataFrame:
-    """``(bucket, raw, target)``: documents that hold a feature, over all rows of ``labelled``."""
+def count_features(texts: DataFrame) -> DataFrame:
+    """``(bucket, raw, target)``: rows that hold a feature, over all rows ``(text, good)``; those with ``good`` are the target."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
@@ -94,22 +81,19 @@ def count_features(rows: DataFrame) -> DataFrame:
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(raw[part]), pa.array(target[part])], names=["bucket", "raw", "target"])
 
-    return (
-        rows.select("text", "good")
-        .mapInArrow(count, "bucket int, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    )
+    counts = texts.select("text", "good").mapInArrow(count, "bucket int, raw long, target long")
+    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def ratio_table(counts: pd.DataFrame, significance: float = 4.0, prior: float = 0.5, least: float = 2.3) -> np.ndarray:
+def ratio_table(counts: pa.Table, significance: float = 4.0, prior: float = 0.5, least: float = 2.3) -> np.ndarray:
     """Log ratio of the target's model to the raw one for each bucket, 0 where it is below ``least`` or not significant.
 
     The share of raw text that the target stands for is the median over
     features, weighted by raw counts, so that ordinary words weigh nothing.
     """
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+    at = counts["bucket"].to_numpy()
+    raw[at], target[at] = counts["raw"].to_numpy(), counts["target"].to_numpy()
     if not target.sum():
         return np.zeros(BUCKETS)
     ratio = np.divide(target, raw, out=np.zeros(BUCKETS), where=raw > 0)
@@ -126,18 +110,32 @@ def log_weight(text: str | None, table: np.ndarray) -> float:
     return float(np.round(table[features(text)].sum(), 6))
 
 
-def weighed(rows: DataFrame, table: np.ndarray, text_col: str, name: str = "log_weight") -> DataFrame:
-    """``rows`` with the log weight of ``text_col`` as a further, last column."""
-    table_b = rows.sparkSession.sparkContext.broadcast(table)  # fixed size: BUCKETS doubles
+def weighed(rows: DataFrame, text_col: str, labels: DataFrame, id_col: str, names: tuple[str, str]) -> tuple[DataFrame, float]:
+    """``rows``, written with each row's label (null: none) and log weight as further columns ``names``, and the cut.
+
+    Texts are hashed twice, once for the counts and once for the weights.  The
+    weights' table reaches the executors as a broadcast of fixed size, which is
+    given up once the rows are written.
+    """
+    good, weight = names
+    few = label_table(labels)
+    told = rows.join(F.broadcast(few), rows[id_col] == few["label_id"], "left").select(*[rows[c] for c in rows.columns], few["good"].alias(good))
+    counts = count_features(told.select(F.col(text_col).cast("string").alias("text"), F.col(good).alias("good")))
+    table = ratio_table(counts.toArrow())  # at most BUCKETS rows of three numbers
+    table_b = rows.sparkSession.sparkContext.broadcast(table)
     at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [log_weight(t.as_py(), table_b.value) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, weight])
 
-    schema = rows.schema
-    return rows.mapInArrow(run, type(schema)(list(schema)).add(name, "double"))
+    schema = told.schema
+    held = written(told.mapInArrow(run, type(schema)(list(schema)).add(weight, "double")), "weighed")
+    table_b.destroy()
+    # a row for each labelled id, however often it comes
+    known = held.filter(F.col(good).isNotNull()).groupBy(id_col).agg(F.min(good).alias("good"), F.min(weight).alias("weight")).select("good", "weight").toArrow()
+    return held, best_cut(known["weight"].to_numpy(), known["good"].to_numpy())
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -157,15 +155,6 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[best] + w[best + 1]) / 2) if best + 1 < len(w) else float(w[best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[Weights, DataFrame]:
-    """The weights, and ``(id, key_part, good, log_weight)`` of every document."""
-    rows = labelled(docs, labels, id_col, text_col)
-    table = ratio_table(count_features(rows).toPandas())  # at most BUCKETS rows
-    scored = checkpointed(weighed(rows, table, "text").select("id", F.xxhash64("text").alias("key_part"), "good", "log_weight"))
-    told = scored.filter("good is not null").select("good", "log_weight").limit(4 * LABEL_ROWS).toPandas()
-    return Weights(table, best_cut(told["log_weight"].to_numpy(dtype=float), told["good"].to_numpy(dtype=bool))), scored
-
-
 def gumbel(seed: int, *cols: Column) -> Column:
     """A standard Gumbel variate that is a function of ``cols``."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
@@ -204,47 +193,52 @@ def top_k_threshold(keys: DataFrame, name: str, k: int, fan: int = 4096) -> floa
     return low
 
 
-def resample_keys(scored: DataFrame, temperature: float, seed: int) -> DataFrame:
-    noise = gumbel(seed, F.col("id"), F.col("key_part")) * temperature
-    return scored.withColumn("gumbel_key", F.round(F.col("log_weight") + noise, 9))
+def _selection(held: DataFrame, names: tuple[str, str], key: Column, cut: float, keep: float | None) -> float | None:
+    """The least Gumbel key that is drawn; None if no row is."""
+    weight = F.col(names[1])
+    total, above = held.agg(F.count("*"), F.count(F.when(weight >= cut, 1))).first()
+    k = above if keep is None else round(keep * total)
+    return top_k_threshold(held.select(key.alias("gumbel_key")), "gumbel_key", k)
+
+
+def _key(held: DataFrame, id_col: str, text_col: str, weight: str, temperature: float, seed: int) -> Column:
+    return F.round(F.col(weight) + gumbel(seed, F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))) * temperature, 9)
 
 
 def select_documents(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.25, seed: int = 7
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.25, seed: int = 7, keep: float | None = None
 ) -> DataFrame:
     """One row per document row: ``doc_id, log_weight, gumbel_key, selected``.
 
-    selected: the key is among the k largest, k being the number of documents whose
-    log weight reaches the cut; rows equal to the k-th are all selected.
+    selected: the key is among the k largest, k being ``keep`` times the number of rows or, without it,
+    the number of rows whose log weight reaches the cut; rows equal to the k-th are all selected.
     ``temperature`` scales the Gumbel noise.  Null and empty texts have weight 0.
     Without labels of both kinds all documents are selected.  Labels with nulls
     are left out; a document labelled twice is good if all of its labels are.
+    Repeated rows stay repeated; columns of any other name are ignored.
     """
-    weights, scored = fit(docs, labels, id_col, text_col)
-    keys = resample_keys(scored, temperature, seed)
-    k = scored.filter(F.col("log_weight") >= weights.cut).count()
-    least = top_k_threshold(keys, "gumbel_key", k)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held, cut = weighed(rows, "text", labels, "doc_id", ("good", "log_weight"))
+    key = _key(held, "doc_id", "text", "log_weight", temperature, seed)
+    keys = checkpointed(held.select("doc_id", "log_weight", key.alias("gumbel_key")))
+    least = _selection(keys, ("", "log_weight"), F.col("gumbel_key"), cut, keep)
     chosen = F.lit(False) if least is None else F.col("gumbel_key") >= least
-    return keys.select(F.col("id").alias("doc_id"), "log_weight", "gumbel_key", chosen.alias("selected"))
+    return keys.select("*", chosen.alias("selected"))
 
 
 def keep_selected(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.25, seed: int = 7
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.25, seed: int = 7, keep: float | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that ``select_documents`` selects, all columns as they are.
 
-    Weights and keys are functions of the row, so they are worked out again beside
-    the text instead of being joined to it.
+    The rows are written once with their weights, so the texts meet the decision
+    without being hashed again or joined to it.
     """
-    weights, scored = fit(docs, labels, id_col, text_col)
-    k = scored.filter(F.col("log_weight") >= weights.cut).count()
-    least = top_k_threshold(resample_keys(scored, temperature, seed), "gumbel_key", k)
-    if least is None:
-        return docs.limit(0)
-    names = docs.columns
-    held = weighed(docs.withColumn("_text", F.col(text_col).cast("string")), weights.table, "_text", "_log_weight")
-    noise = gumbel(seed, F.col(id_col), F.xxhash64("_text")) * temperature
-    return held.filter(F.round(F.col("_log_weight") + noise, 9) >= least).select(*names)
+    names = free_name(docs, "good"), free_name(docs, "log_weight")
+    held, cut = weighed(docs, text_col, labels, id_col, names)
+    key = _key(held, id_col, text_col, names[1], temperature, seed)
+    least = _selection(held, names, key, cut, keep)
+    return held.filter(F.lit(False) if least is None else key >= least).select(*docs.columns)
 
 
 def op8_importance(spark, sf_dir: str) -> DataFrame:

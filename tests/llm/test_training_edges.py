@@ -9,7 +9,7 @@ from stratacast.llm import archives, decontaminate, embeddings, language, mixing
 from stratacast.llm.runtime import scratch_path
 
 LONG = "lorem ipsum dolor " * 20_000
-CLASH = ["fp", "words", "text_key", "least", "node", "component", "source_", "key", "start", "block", "held", "id", "good", "path", "digest", "unit", "cid"]
+CLASH = ["fp", "words", "text_key", "least", "node", "component", "source_", "key", "start", "block", "held", "id", "good", "path", "digest", "unit", "cid", "_text", "_nth", "nth", "good", "log_weight", "_log_weight", "label_id", "doc", "run", "starts", "mins", "token", "index"]
 
 
 def clashing(df):
