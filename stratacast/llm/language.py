@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import read_table
+from .runtime import checkpointed, free_name, read_table
 from .simhash import BYTE_BITS
 
 SIZES = (3, 4, 5)
@@ -76,12 +75,19 @@ def slots_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sampled(docs: DataFrame, lang_col: str, key: Column, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language at most, chosen by a hash of ``key``."""
-    sizes = docs.groupBy(lang_col).count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")))
-    rates = {r[lang_col]: r["rate"] for r in sizes.collect()}
-    rate = F.lit(0.0)
-    for lang, x in rates.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(x)).otherwise(rate)
-    return docs.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < rate * (1 << 30))
+    sizes = docs.groupBy(F.col(lang_col).alias("size_of")).agg(F.count("*").alias("size"))  # a row for each language
+    rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
+    chosen = docs.join(sizes, F.col(lang_col) == F.col("size_of")).filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < rate * (1 << 30))
+    return chosen.drop("size_of", "size")
+
+
+def held_grams(text: str) -> np.ndarray:
+    """The distinct n-grams of ``text``, worked out ``CHUNK`` characters at a time."""
+    found, points = np.zeros(0, dtype=np.uint64), code_points(text)
+    for start in range(0, len(points), CHUNK):
+        piece = points[start : start + CHUNK + max(SIZES) - 1]
+        found = np.unique(np.concatenate([found, *(h[at < CHUNK] for at, h in gram_hashes(piece))]))
+    return found
 
 
 def fit(
@@ -98,34 +104,50 @@ def fit(
     An n-gram belongs to a language if at least ``min_share`` of its documents (and
     two of them) hold it, and at least ``relative`` times the share of the
     language that holds it most.  Rows with a null text or language are left out.
+    Counts are compared in Spark; the driver gets the sizes of languages and the
+    filter's slots that are not empty, a table no larger than the filter.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     sample = sampled(known, "lang", F.col("text"), per_language)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, texts in batch.groupby("lang")["text"]:
-                held = [np.unique(np.concatenate([h for _, h in gram_hashes(code_points(t))] or [np.zeros(0, np.uint64)])) for t in texts]
+            texts: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts.setdefault(lang, []).append(held_grams(text.as_py()))
+            for lang, held in texts.items():
                 grams, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n.astype(np.int64)})
-                yield pd.DataFrame({"lang": [lang], "gram": [None], "n": [len(texts)]}).astype({"gram": "Int64"})
-
-    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1 or gram is null").toPandas()
-    sizes = counts[counts["gram"].isna()].set_index("lang")["n"].sort_index()
-    languages = list(sizes.index)
+                for i in range(0, len(grams), CHUNK):
+                    part = grams[i : i + CHUNK].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + CHUNK])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([len(held)])], names=["lang", "gram", "n"])
+
+    counts = checkpointed(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1 or gram is null"))
+    sizes = {r["lang"]: r["n"] for r in counts.filter("gram is null").collect()}
+    languages = sorted(sizes)
     planes = np.zeros((max(1, -(-len(languages) // 8)), 1 << bits), dtype=np.uint8)
-    grams = counts[counts["gram"].notna()].copy()
-    grams["share"] = grams["n"] / grams["lang"].map(sizes)
-    most = grams.groupby("gram")["share"].transform("max")
-    grams = grams[(grams["share"] >= min_share) & (grams["share"] >= relative * most)]
-    for i, lang in enumerate(languages):
-        hashes = grams.loc[grams["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64)
-        for slots in slots_of(hashes, bits):
-            planes[i // 8, slots.astype(np.int64)] |= np.uint8(1 << i % 8)
+    if languages:
+        numbers = counts.sparkSession.createDataFrame([(x, i, sizes[x]) for i, x in enumerate(languages)], "lang string, number int, size long")
+        shares = counts.filter("gram is not null").join(F.broadcast(numbers), "lang").withColumn("share", F.col("n") / F.col("size"))
+        most = shares.groupBy("gram").agg(F.collect_list(F.struct("number", "share")).alias("held"), F.max("share").alias("most"))  # an entry for each language
+        kept = most.select("gram", F.filter("held", lambda h: (h["share"] >= min_share) & (h["share"] >= relative * F.col("most"))).alias("held")).filter(F.size("held") > 0)
+        for start in range(0, len(languages), 8):
+            mask = F.aggregate("held", F.lit(0), lambda m, h: m.bitwiseOR(F.when(h["number"].between(start, start + 7), F.pow(F.lit(2), h["number"] - start).cast("int")).otherwise(0)))
+            rows = kept.select("gram", mask.alias("mask")).filter("mask <> 0")
+
+            def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    hashes = batch.column(0).to_numpy().view(np.uint64)
+                    both = np.concatenate([x.astype(np.int32) for x in slots_of(hashes, bits)])
+                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.concat_arrays([batch.column(1), batch.column(1)])], names=["slot", "mask"])
+
+            slots = rows.mapInArrow(place, "slot int, mask int").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+            planes[start // 8, slots["slot"].to_numpy()] = slots["mask"].to_numpy().astype(np.uint8)
     fill = np.array([(planes[i // 8] >> np.uint8(i % 8) & np.uint8(1)).mean() for i in range(len(languages))])
-    return Model(languages, planes, fill**2, int(np.argmax(sizes.to_numpy())) if languages else -1)
+    first = max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i), default=-1)
+    return Model(languages, planes, fill**2, first)
 
 
 def language_counts(text: str, model: Model, bits: int) -> tuple[np.ndarray, int]:
@@ -163,7 +185,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     score 0.  Repeated rows stay repeated.
     """
     model_b = docs.sparkSession.sparkContext.broadcast(tuple(model))  # fixed size: planes x slots bytes
-    cols = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    cols = docs.select(*keep, F.col(text_col).cast("string").alias(free_name(docs.select(*keep), "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*model_b.value)

@@ -12,7 +12,7 @@ import xxhash
 from conftest import same
 from pyspark.sql import functions as F
 
-from stratacast.llm import archives, components, decontaminate, embeddings, language, mixing, neardup, pagetext, quality, secrets, simhash
+from stratacast.llm import archives, components, decontaminate, embeddings, language, mixing, neardup, pagetext, quality, secrets, simhash, urls
 from stratacast.llm.queries import ORACLES, QUERIES
 from stratacast.llm.runtime import scratch_path
 
@@ -334,12 +334,49 @@ def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     assert out.where("score < 0 or score > 1").isEmpty()
 
 
+def test_language_equals_plain_sets(spark):
+    """Without Bloom filters: sets of n-grams of each language, counted in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    texts = [(r.doc_id, r.text[:3000], r.lang) for r in docs if r.text and r.lang]
+
+    def grams(text):
+        padded = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1) if " " not in padded[i + 1 : i + n - 1]]
+
+    held, sizes = {}, {}
+    for _, text, lang in texts:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        for g in set(grams(text)):
+            held.setdefault(g, {})[lang] = held.get(g, {}).get(lang, 0) + 1
+    sets = {lang: set() for lang in sizes}
+    for g, by in held.items():
+        most = max(by[x] / sizes[x] for x in by if by[x] > 1) if any(n > 1 for n in by.values()) else 1
+        for lang, n in by.items():
+            if n > 1 and n / sizes[lang] >= max(0.002, 0.1 * most):
+                sets[lang].add(g)
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language.fit(df, per_language=10**9, bits=23)
+    assert model.languages == sorted(sizes)
+    alike = 0
+    for r in language.identify(df, model).collect():
+        text = next(t for i, t, _ in texts if i == r.doc_id)
+        counts = {x: sum(g in sets[x] for g in grams(text)) for x in sizes}
+        if not sum(counts.values()):
+            continue
+        best = max(counts.values())
+        alike += counts[r.lang_pred] == best and abs(r.score - best / sum(counts.values())) < 0.02
+    assert alike >= 0.99 * len(texts)  # the filters' false positives are corrected on average only
+
+
 def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
     model = language.Model(["x"], np.full((1, 1 << 8), 1, dtype=np.uint8), np.zeros(1), 0)
     text = "abc defg hi " * 40
     whole = language.language_counts(text, model, 8)
     monkeypatch.setattr(language, "CHUNK", 17)
     assert language.language_counts(text, model, 8)[1] == whole[1] == whole[0][0]
+    pieces = language.held_grams(text)
+    monkeypatch.setattr(language, "CHUNK", 1 << 20)
+    assert (pieces == language.held_grams(text)).all()
 
 
 # quality
@@ -357,6 +394,37 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert sum(got[i] for i in bad) <= 0.05 * len(bad)
 
 
+def test_importance_weights_and_top_k_equal_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    told = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    raw, target = {}, {}
+    for i, text in docs:
+        for f in quality.features(text).tolist():
+            raw[f] = raw.get(f, 0) + 1
+            target[f] = target.get(f, 0) + told.get(i, False)
+    least = np.percentile(list(raw.values()), 75)
+    common = sorted((target[f] / raw[f], raw[f]) for f in raw if raw[f] >= least)
+    half, reached, share = sum(n for _, n in common) / 2, 0, 0.0
+    for share, n in common:
+        if (reached := reached + n) >= half:
+            break
+    weight = {}
+    for f in raw:
+        expected = raw[f] * share
+        log = np.log((target[f] + 0.5) / (expected + 0.5))
+        weight[f] = log if abs(target[f] - expected) >= 4 * np.sqrt(expected * (1 - share) + 1) and abs(log) > 2.3 else 0.0
+    want = {i: sum(weight[f] for f in quality.features(text).tolist()) for i, text in docs}
+    for keep in (None, 0.3, 1.0):
+        got = quality.select_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=keep).collect()
+        assert max(abs(r.log_weight - want[r.doc_id]) for r in got) < 1e-5
+        cut = quality.best_cut(np.array([want[i] for i in told]).round(6), np.array(list(told.values())))
+        k = sum(round(w, 6) >= cut for w in want.values()) if keep is None else round(keep * len(docs))
+        best = sorted((r.gumbel_key for r in got), reverse=True)[:k]
+        assert {r.doc_id for r in got if r.selected} == {r.doc_id for r in got if r.gumbel_key >= best[-1]}
+    noise = np.array([(r.gumbel_key - r.log_weight) / 0.25 for r in got])
+    assert abs(noise.mean() - 0.577) < 0.4 and abs(noise.std() - 1.28) < 0.4  # standard Gumbel
+
+
 def test_top_k_threshold_is_exact(spark):
     rng = np.random.default_rng(9)
     values = np.round(np.concatenate([rng.normal(size=500), np.full(200, 0.25), [1e9, -1e9]]), 3)
@@ -400,3 +468,32 @@ def test_contamination_is_linear_in_the_text(spark):
         took.append(time.perf_counter() - began)
         assert (row.n_words, row.n_hit, row.n_items) == (305_024 * copies, 5024 * copies, 2)
     assert took[1] < 4.5 * took[0] + 2
+
+
+# URL rules
+
+def test_rules_are_read_and_their_tokens_derived():
+    rules = urls.read_rules("! note\n\n||Example.com/a/b\n@@||net\n/^[^/]*ads[0-9]+\\.x-(y|z)-track/\nfree*gift-card\n@@fine")
+    assert [(r.verdict, r.name, r.tokens) for r in rules] == [
+        ("block", "example.com/a/b", ("example", "com", "a")), ("allow", "net", ("net",)), ("block", None, ("x",)), ("block", None, ("gift", "card")[1:]), ("allow", None, ("fine",))
+    ]
+    for regex, tokens in ((r"a|b", ()), (r"/foo/", ("foo",)), (r"/foo", ()), (r"^foo[./-]bar+", ("foo",)), (r"(?:/x/)?y", ()), (r"-(ab)-", ("ab",)), (r"\bQ7\b", ("q7",))):
+        assert urls.sure_tokens(regex) == tokens, regex
+
+
+def test_thousands_of_rules_equal_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(11)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    seen = sorted({t for p in pages for t in urls.tokens_in(p.url.partition("://")[2])})
+    lines = ["||com/en/", "@@||example.com/en/7", "/[0-9]{3}$/", "/-farm[.]/"]
+    for i in range(3000):
+        word = str(rng.choice(seen)) if i % 4 == 0 else f"absent{i}"
+        lines.append(("@@" if i % 7 == 0 else "") + (f"||{word}.example.org/{rng.choice(['', 'en/', 'de/1'])}", word, f"/[/.]{word}[/.]/", f"{word[:2]}*{word[-1:]}")[i % 3 if i % 40 else 3])
+    rules = urls.read_rules("\n".join(lines))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(pages), rules, default="none").collect()}
+    expressions = [(re.compile(r.regex), r) for r in rules]
+    for page in pages:
+        host, slash, path = re.match(r"([^/?#]*)(/?)([^?#]*)", page.url.partition("://")[2]).groups()
+        fits = [(r.rank, r.name or "", r.verdict) for e, r in expressions if e.search(host.lower() + slash + path)]
+        _, name, verdict = max(fits, default=(0, "", "none"))
+        assert got[page.page_id] == (name or None, verdict), page.url
