@@ -1,31 +1,22 @@
 """Shared-storage helpers: checkpoints and scratch tables that outlive lost executors.
 
 Everything written here goes below the folder named by ``spark.checkpoint.dir``,
-which driver and executors share.  A private temporary folder is set only where
-the session names none (tests on one machine).
+which driver and executors share, or below the warehouse where the session names none.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 #: Rows of a few numbers each that one broadcast may carry (well under 100 MB).
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and scratch tables."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="stratacast-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)

@@ -93,8 +93,10 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
     assert got >= want and len(got - want) <= 0.02 * len(links) + 1
 
 
-def test_block_boundaries_keep_links(monkeypatch, spark):
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
+@pytest.mark.parametrize(("rows_of_block", "shingles"), [(3, 1 << 20), (512, 200)])
+def test_block_boundaries_keep_links(monkeypatch, spark, rows_of_block, shingles):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_of_block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(i, base + f" x{i}") for i in range(10)] + [(99, "other words entirely " * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
