@@ -12,20 +12,34 @@ from pyspark.sql import functions as F
 from .runtime import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges from which least neighbours are materialised before they meet the edges.
+LARGE = 1_000_000
+
+
+def _met(edges: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """``edges`` with the least neighbour of each left end.
+
+    A hub can hold a third of all edges.  Between two tables that are there already the
+    join is one that the planner can split; an aggregation right below it would forbid that.
+    """
+    least = checkpointed(least) if large else least
+    return edges.join(least, edges.a == least.u)
+
+
+def _large_star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
     return (
-        both.join(least, both.a == least.u)
+        _met(both, least, large)
         .filter("b > a")
         .select(F.col("b").alias("a"), F.least("m", F.col("u")).alias("b"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, large: bool) -> DataFrame:
     least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    moved = edges.join(least, edges.a == least.u).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _met(edges, least, large).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
@@ -46,7 +60,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = checkpointed(_small_star(_large_star(now)))
+        large = state[0] > LARGE
+        stars = _large_star(now, large)
+        now = checkpointed(_small_star(checkpointed(stars) if large else stars, large))
         before, state = state, _state(now)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

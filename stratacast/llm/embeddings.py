@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import checkpointed, read_table, written
+from .runtime import broadcast_if_small, checkpointed, read_table, written
 from .simhash import _settle
 
 MAX_PIVOTS, PIVOT_BYTES = 4096, 64 << 20
@@ -194,8 +194,8 @@ def near_vectors(
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     parts = connected_components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "cid")
     members = checkpointed(classes.select("cid", "least").join(parts, "cid"))
-    roots = members.groupBy("component").agg(F.min("least").alias("root"))
-    rooted = members.join(roots, "component").select("cid", "root")
+    roots = written(members.groupBy("component").agg(F.min("least").alias("root")), "roots")
+    rooted = members.join(broadcast_if_small(roots), "component").select("cid", "root")
     table = checkpointed(
         classes.join(counts, "cid", "left")
         .join(rooted, "cid", "left")

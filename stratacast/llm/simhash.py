@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import checkpointed, read_table
+from .runtime import broadcast_if_small, checkpointed, read_table, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -220,8 +220,8 @@ def simhash_components(
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")))
     parts = checkpointed(connected_components(hamming_links(classes.select("fp"), radius, node_limit)))
     members = parts.join(classes, parts.node == classes.fp)
-    roots = members.groupBy("component").agg(F.min("least").alias("root"))
-    linked = members.join(roots, "component").select("fp", "root")
+    roots = written(members.groupBy("component").agg(F.min("least").alias("root")), "roots")
+    linked = members.join(broadcast_if_small(roots), "component").select("fp", "root")
     table = checkpointed(
         classes.join(linked, "fp", "left").select(
             "fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root")).alias("component_id"), "n_same"

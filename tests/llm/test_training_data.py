@@ -24,7 +24,9 @@ def test_matches_duckdb(spark, duck, sf_dir, name):
 
 # components
 
-def test_components(spark):
+@pytest.mark.parametrize("large", [0, 1_000_000])
+def test_components(monkeypatch, spark, large):
+    monkeypatch.setattr(components, "LARGE", large)
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 100), (100, 100), (None, 3), (7, 300)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in [*range(41), 300]} | {100: 100, 105: 100}
