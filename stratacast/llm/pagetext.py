@@ -5,6 +5,10 @@ text, and vote for their generalised path (tags with class words, digits
 masked).  Votes are summed per host in Spark.  Second pass: each page's text is
 taken from the containers on its host's winning path, or from the page's own
 best container where it has none on that path.
+
+Menus, notices and the like are told by their tags and roles, or where all that a class
+and id say points to them.  Where only a part of the words does, as in "notice-board", the
+host decides in the same vote: such a path is left out if its text is the same on several pages or is mostly links.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +40,21 @@ CONTAINERS = frozenset("html body main article section div td th table tbody tr
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd pre br hr address header footer nav aside form fieldset figcaption summary caption option select legend dialog menu thead tfoot".split()
 )
-BOILERPLATE_TAGS = frozenset("nav header footer aside form head button select svg math canvas audio video object dialog menu label input fieldset".split())
-#: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
+BOILERPLATE_TAGS = frozenset("nav header footer aside form head button select svg canvas audio video dialog menu label input fieldset".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: Words of a class or id that speak for menus, headers, footers, sidebars, notices, adverts, forms and comments,
+#: and words of layout that say nothing.
 BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead banner footer sidebar aside complementary contentinfo notice alert cookie cookies consent gdpr "
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion form search searchbox login signup subscribe subscription newsletter "
     "comment comments disqus respond reply replies share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay toolbar widget skip hidden".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "article area bar block body bottom box btn button buttons col column container content entry global group head holder inner item items js large left link links list "
+    "main outer page panel post posts primary right row secondary section site small text top unit wrap wrapper".split()
+)
+#: Share of the words that must speak for it for an element to be left out without asking the host.
+CERTAIN = 0.75
 #: What an opening tag closes that was left open, up to the nearest of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -58,10 +71,14 @@ FAVOURED = {"article": 3.0, "main": 2.0}
 class Page:
     """Blocks of text in page order, and the containers that hold ranges of them."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, left_out: frozenset[str] = frozenset()):
         self.blocks: list[str] = []
-        #: path, parent, first block, block after the last, score
-        self.nodes: list[list] = [["", -1, 0, 0, 0.0]]
+        #: path, parent, first block, block after the last, score, tag, whether its words are in doubt
+        self.nodes: list[list] = [["", -1, 0, 0, 0.0, "", False]]
+        #: characters within links, by block
+        self.linked: list[int] = []
+        self._left_out = left_out
+        self._depth: dict[str, int] = {}
         self._parts: list[str] = []
         self._link_chars = 0
         self._open: list[tuple[str, int, bool]] = [("", 0, False)]
@@ -109,8 +126,9 @@ class Page:
         links, self._parts, self._link_chars = self._link_chars, [], 0
         if text:
             self.blocks.append(text)
+            self.linked.append(min(links, len(text)))
             worth, node = len(text) - 2.0 * links, self._open[-1][1]
-            while node >= 0:
+            while node >= 0 and abs(worth) > 1e-9:
                 self.nodes[node][4] += worth
                 worth, node = worth / 2, self.nodes[node][1]
 
@@ -124,21 +142,47 @@ class Page:
         if tag in VOID:
             return
         _, node, dropped = self._open[-1]
-        words: list[str] = []
-        if attrs:
-            for m in filter(lambda m: NAMED.search(m[1]), ATTR.finditer(attrs)):
-                words += re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
-        if tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(words):
-            dropped = dropped or tag not in ("html", "body")
-        if tag in CONTAINERS and not dropped:
+        words, roles = self._named(attrs)
+        telling = [w for w in words if w not in NEUTRAL_WORDS]
+        share = sum(w in BOILERPLATE_WORDS for w in telling) / len(telling) if telling else 0.0
+        whole = tag in ("html", "body")
+        if tag in BOILERPLATE_TAGS or not whole and (share >= CERTAIN or not BOILERPLATE_ROLES.isdisjoint(roles)):
+            dropped = True
+        doubt = 0 < share < CERTAIN and not whole
+        if (tag in CONTAINERS or doubt) and not dropped:
             label = ".".join([tag, *(re.sub(r"\d+", "#", w) for w in words)])
-            self.nodes.append([f"{self.nodes[node][0]}>{label}", node, len(self.blocks), 0, 0.0])
-            node = len(self.nodes) - 1
+            # the path is named by a hash of the path above and its own label, so that deep nesting costs no more
+            path = xxhash.xxh64_hexdigest(f"{self.nodes[node][0]}>{label}")
+            if doubt and path in self._left_out:
+                dropped = True
+            else:
+                self.nodes.append([path, node, len(self.blocks), 0, 0.0, tag, doubt])
+                node = len(self.nodes) - 1
+                if tag not in BLOCKS:  # what stands before it is not its text
+                    self._flush()
+                    self.nodes[node][2] = len(self.blocks)
         if tag == "a":
             self._links += 1
         self._open.append((tag, node, dropped))
+        self._depth[tag] = self._depth.get(tag, 0) + 1
+
+    @staticmethod
+    def _named(attrs: str) -> tuple[list[str], list[str]]:
+        """Words of class and id, and roles."""
+        words: list[str] = []
+        roles: list[str] = []
+        for m in ATTR.finditer(attrs) if attrs else ():
+            if NAMED.search(m[1]):
+                found = re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
+                if m[1].lower() == "role":
+                    roles += found
+                else:
+                    words += found
+        return words, roles
 
     def _imply(self, closed: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self._depth.get(t) for t in closed):
+            return
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i][0] in closed:
                 while len(self._open) > i:
@@ -150,6 +194,8 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
+        if not self._depth.get(tag):
+            return
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i][0] == tag:
                 while len(self._open) > i:
@@ -159,7 +205,10 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, node, dropped = self._open.pop()
+        tag, node, _ = self._open.pop()
+        self._depth[tag] -= 1
+        if self.nodes[node][6] and node != self._open[-1][1]:
+            self._flush()
         if tag == "a":
             self._links -= 1
         if node != self._open[-1][1]:
@@ -167,9 +216,18 @@ class Page:
 
     def ranked(self) -> list[tuple[float, int]]:
         """``(score, node)`` of containers with text, best first; ties go to the outer one."""
-        scores = [(n[4] * FAVOURED.get(n[0].rpartition(">")[2].partition(".")[0], 1.0), -i) for i, n in enumerate(self.nodes) if n[3] > n[2]]
+        scores = [(n[4] * FAVOURED.get(n[5], 1.0), -i) for i, n in enumerate(self.nodes) if n[3] > n[2]]
         return [(s, -i) for s, i in sorted(scores, reverse=True)]
 
+    def doubts(self) -> list[tuple[str, int, int, int]]:
+        """``(path, hash of the text, characters, characters in links)`` of elements whose words are in doubt."""
+        out = []
+        for path, _, first, end, _, _, doubt in self.nodes:
+            if doubt and end > first:
+                text = "\n".join(self.blocks[first:end])
+                out.append((path, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, len(text), sum(self.linked[first:end])))
+        return out
+
     def text_at(self, path: str | None) -> str:
         """Text of the containers on ``path``, or of the best one if there is none."""
         ranges = [(n[2], n[3]) for n in self.nodes if n[0] == path and n[3] > n[2]] if path is not None else []
@@ -183,34 +241,37 @@ class Page:
         return "\n".join(out)
 
 
-def host_paths(pages: DataFrame, url_col: str, html_col: str, votes: int = 3) -> DataFrame:
-    """``(host, path)``: the path with most votes of each host's pages.
+def host_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``(host, path, left_out)``: the path with most votes of each host's pages, and the doubtful paths that the host leaves out.
 
-    A page gives its best ``votes`` containers their shares of those containers'
-    scores, in millionths; equal sums go to the later path in the alphabet.
+    A page gives its containers their shares of all positive scores, in millionths; equal sums go
+    to the later path.  A doubtful path is left out if several pages have it with
+    one text, or if most of its characters are in links.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("host", pa.string()), ("path", pa.string()), ("share", pa.int64()), ("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]
         for batch in batches:
             rows = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = Page(source.as_py() or "")
-                best = [(s, page.nodes[i][0]) for s, i in page.ranked()[:votes] if s > 0]
+                best = [(s, page.nodes[i][0]) for s, i in page.ranked() if s > 0]
                 total = sum(s for s, _ in best)
-                rows += [(host, path, int(1_000_000 * s / total)) for s, path in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "share"]
-            )
+                rows += [(host, path, int(1_000_000 * s / total), None, None, None) for s, path in best]
+                rows += [(host, path, None, text, chars, linked) for path, text, chars, linked in page.doubts()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    return (
-        cast.mapInArrow(vote, "host string, path string, share long")
+    sums = (
+        cast.mapInArrow(vote, "host string, path string, share long, text long, chars long, linked long")
         .groupBy("host", "path")
-        .agg(F.sum("share").alias("share"))
-        .groupBy("host")
-        .agg(F.max(F.struct("share", "path")).alias("best"))
-        .select("host", F.col("best.path").alias("path"))
+        .agg(F.sum("share").alias("share"), F.count("text").alias("pages"), F.min("text").alias("low"), F.max("text").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     )
+    alike = (F.col("pages") > 1) & (F.col("low") == F.col("high"))
+    out = (F.col("pages") > 0) & (alike | (2 * F.col("linked") > F.col("chars")))
+    return sums.groupBy("host").agg(
+        F.max(F.when(F.col("share").isNotNull() & ~out, F.struct("share", "path"))).alias("best"), F.collect_list(F.when(out, F.col("path"))).alias("left_out")
+    ).select("host", F.col("best.path").alias("path"), "left_out")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -219,13 +280,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Blocks are joined by a newline, white space inside one is a single space; a line
     break ends a block.  Null and empty pages, and pages without text outside
     menus and the like, have an empty text.  Pages without a host form one host.
-    Repeated rows stay repeated; other columns are ignored.
+    Repeated rows stay repeated; other columns are ignored; an empty table gives an empty result.
     """
     paths = written(host_paths(pages, url_col, html_col), "host_paths")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(s.as_py() or "").text_at(p) for s, p in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            given = zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            texts = [Page(s.as_py() or "", frozenset(out or ())).text_at(p) for s, p, out in given]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -235,7 +297,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host")
     ).join(paths, "host", "left")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "path").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "path", "left_out").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op5_page_text(spark, sf_dir: str) -> DataFrame:

@@ -248,13 +248,32 @@ def test_long_attribute_values_are_not_text(quote):
     inner = "<p class=menu>x > y</p> " * 1000
     page = f"<body><div data-state={quote}{inner}{quote} class=ad-box>Buy</div><article data-x = {quote}{inner}{quote}><p>Text</article></body>"
     got = pagetext.Page(page)
-    assert got.text_at(None) == "Text" and [n[0] for n in got.nodes] == ["", ">body", ">body>article"]
+    assert got.text_at(None) == "Text" and [n[5] for n in got.nodes] == ["", "body", "article"]
     for part in ('<x "="', "<x '=", "<x =\"' ", '<x ="', "=\"' ", 'a="" ', "a ", "a=' <x "):
         began = time.perf_counter()
         pagetext.Page("<a " + part * 20_000)
         assert time.perf_counter() - began < 5, part
 
 
+def test_doubtful_words_are_judged_by_the_host(spark):
+    story = "<p>" + "word " * 40 + "</p>"
+    one = f'<article><h1>T</h1><div id="how-to-share-files">{story}</div><p class="notice-board">On the board</p><math>x</math><object>seen</object><p>End</p></article>'
+    pages = [(1, "http://a.com/1", one)]
+    # the same words on every page of a host, and words that are mostly links
+    for i in range(3):
+        pages.append((10 + i, f"http://b.com/{i}", f'<article><h1>T{i}</h1>{story}<div class="notice-board">Always this</div><div class="share-files"><a href=x>All {i} of it</a></div></article>'))
+    out = {r.page_id: r.text for r in pagetext.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[1] == "\n".join(["T", ("word " * 40).strip(), "On the board", "xseen", "End"])
+    assert [out[10 + i] for i in range(3)] == [f"T{i}\n{('word ' * 40).strip()}" for i in range(3)]
+
+
+def test_deep_pages_are_linear():
+    for source in ("<div>" * 30_000 + "x", "<div class=note-ad>" * 8000 + "x", "<b>" * 20_000 + "<p>y" * 2000, "</i>" * 20_000, "<p>x" * 30_000):
+        began = time.perf_counter()
+        pagetext.Page(source)
+        assert time.perf_counter() - began < 5, source[:20]
+
+
 # secrets
 
 @pytest.mark.parametrize(
