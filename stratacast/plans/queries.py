@@ -647,6 +647,38 @@ def _recursive(spark, d):
     return out.select(F.col("value").alias("member"), day(), F.round("yhat", 6).alias("yhat"))
 
 
+TRIPS = hierarchy.Hierarchy.of([["station_group"], ["station"]], ["station_group", "station"])
+TRIP_LAGS, TRIP_WINDOWS = (1, 2, 3, 7), (7,)
+
+
+@query("mobility_errors")
+def _mobility(spark, d):
+    """Trips by station and day, two models, errors by level: one with the hierarchical loss, one with the plain one.
+
+    Events stand in for trips: a station is an event type with a number, and their 30
+    days allow lags up to 7 and a test of the last week.  Test rows are predicted from their features.
+    """
+    events = table(spark, d, "events").withColumn("station_id", F.concat_ws("-", "event_type", F.lpad((F.col("user_id") % 5).cast("string"), 2, "0")))
+    trips = events.groupBy(F.to_date("ts").alias("date"), X.replace_in_order(F.col("station_id"), X.STATION_NAMES).alias("station_id")).agg(F.count("value").alias("y"))
+    trips = trips.select("date", F.col("y").cast("double").alias("y"), X.part_of(F.col("station_id"), 1).alias("station_group"), X.part_of(F.col("station_id"), 2).alias("station"))
+    dense = features.dense_panel(trips, list(TRIPS.bottom), "date", "y")
+    panel = hierarchy.aggregate_levels(dense, TRIPS, ["date"], "y")
+    panel = features.add_rolling_means(features.add_lags(panel, lags=TRIP_LAGS), windows=TRIP_WINDOWS)
+    panel = cut_lineage(features.add_calendar(panel, parts=("dayofweek", "dayofmonth")).na.drop("any"))
+    first_test = panel.agg(F.date_sub(F.max("date"), 6)).first()[0]
+    bottom = panel.where("aggregation = 'bottom'").withColumnRenamed("value", "member")
+    train, test = bottom.where(F.col("date") < F.lit(first_test)), bottom.where(F.col("date") >= F.lit(first_test))
+    sc, names = membership(trips, TRIPS), [*(f"y_lag{k}" for k in TRIP_LAGS), "y_lag1_mavg7", "dayofweek", "dayofmonth"]
+    sums = []
+    for method, objective in (("hmse", boost.Objective.HIERARCHICAL), ("mse", boost.Objective.L2)):
+        model = boost.fit(train, names, boost.Params(objective=objective, rounds=8, rate=0.3, depth=3), sc)
+        sums.append(reconcile.bottom_up(model.predict(test).select("member", "date", "yhat"), sc, ["date"]).withColumn("method", F.lit(method)))
+    scored = sums[0].unionByName(sums[1]).join(panel.select("aggregation", "value", "date", "y"), ["aggregation", "value", "date"])
+    found = [evaluate.level_errors(scored, kind) for kind in ("rmse", "mae", "smape")]
+    wide = found[0].join(found[1], ["method", "aggregation"]).join(found[2], ["method", "aggregation"])
+    return wide.select("method", "aggregation", *[r6(k).alias(k) for k in ("rmse", "mae", "smape")])
+
+
 @query("tune_best")
 def _tune(spark, d):
     rows, days = _forecast_rows(spark, d)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratacast.functions import scalars
-from stratacast.operators import baselines, boost, features, hierarchy, loss, reconcile
+from stratacast.operators import baselines, boost, features, hierarchy, loss, prepare, reconcile
 from stratacast.sources import tables
 
 LEVELS = hierarchy.Hierarchy.of([["g"]], ["g", "i"])
@@ -269,6 +269,22 @@ def test_sinks_and_memo(spark, tmp_path):
     assert tables.read_csv(spark, f"file://{tmp_path}/csv", tables.FORECAST_SCHEMA).first()["yhat"] == 2.0
 
 
+def test_product_table(spark):
+    calendar = [(f"2020-01-0{i + 1}", f"d_{i + 1}", i // 2, None, "Sport" if i == 1 else None, None, None, int(i == 0), 0, 1) for i in range(6)]
+    calendar = spark.createDataFrame(calendar, "date string, d string, wm_yr_wk int, event_name_1 string, event_type_1 string, event_name_2 string, event_type_2 string, snap_CA int, snap_TX int, snap_WI int")
+    sales = spark.createDataFrame([("b_s", "b", "D", "C", "s", "X", 1, 2, 3, 4), ("a_s", "a", "D", "C", "s", "X", 0, 0, 5, 6)], "id string, item_id string, dept_id string, cat_id string, store_id string, state_id string, d_1 int, d_2 int, d_3 int, d_4 int")
+    prices = spark.createDataFrame([("s", "a", 1, 2.5), ("s", "a", 2, 3.0), ("s", "b", 1, 7.0)], "store_id string, item_id string, wm_yr_wk int, sell_price double")
+    out = prepare.product_table(calendar, sales, prices, horizon=2)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in tables.PRODUCT_SCHEMA]
+    got = {(r.id, str(r.date)[-1]): (r.sales, r.sell_price, r.weeks_on_sale) for r in out.collect()}
+    assert len(got) == 12
+    assert [got["a_s", str(i)] for i in range(1, 7)] == [(0, 2.5, 0), (0, 2.5, 0), (5, 2.5, 1), (6, 2.5, 1), (0, 3.0, 2), (0, 3.0, 2)]
+    # the last product has no later price
+    assert [got["b_s", str(i)] for i in range(1, 7)] == [(1, 7.0, 0), (2, 7.0, 0), (3, 7.0, 1), (4, 7.0, 1), (0, None, 0), (0, None, 0)]
+    first = out.where("id = 'b_s' and date = '2020-01-02'").first()
+    assert (first.id_enc, first.item_id_enc, first.snap_CA, first.snap_WI, first.event_type_1_enc, first.event_type_2_enc) == (1, 1, 0, 1, 0, 0)
+
+
 def test_product_reader_pushes_filters(spark, tmp_path):
     row = (1.0, dt.date(2020, 1, 2), "x", 0, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 1.5, 2)
     spark.createDataFrame([row], tables.PRODUCT_SCHEMA).write.parquet(f"file://{tmp_path}/p")
