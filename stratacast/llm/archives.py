@@ -16,7 +16,6 @@ own, as readers that seek to a record expect.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -159,10 +158,22 @@ def packed(record: bytes) -> bytes:
     return squeeze.compress(record) + squeeze.flush()
 
 
+def unpacked(data: bytes) -> bytes:
+    """The content of all gzip members, fed in small pieces, as what is left of a piece is copied for each member."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof and at < len(view):
+            piece = view[at : at + (1 << 14)]
+            out.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+    return b"".join(out)
+
+
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
     """The records of a WARC file, plain or gzipped, by their declared lengths."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unpacked(data)
     at = 0
     while at < len(data):
         if data.startswith(CRLF, at):
