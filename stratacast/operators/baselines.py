@@ -42,7 +42,7 @@ def croston(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return np.zeros(len(y)), np.zeros(horizon)
     best = None
-    for alpha in (0.05, 0.1, 0.2, 0.3):
+    for alpha in (0.02, 0.05, 0.1, 0.2, 0.3, 0.5):
         size, gap, since, fitted = y[at[0]], float(at[0] + 1), 1, np.zeros(len(y))
         for t in range(len(y)):
             fitted[t] = size / gap
@@ -57,23 +57,30 @@ def croston(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ets(y: np.ndarray, horizon: int, season: int = SEASON) -> tuple[np.ndarray, np.ndarray]:
-    """Additive exponential smoothing with or without trend and season, chosen by AIC."""
+    """Exponential smoothing: no, a linear or a damped trend; no, an additive or (of positive values) a multiplicative season; chosen by AIC."""
     best = None
-    seasonal = len(y) >= 2 * season
-    for trend, cyclic, a, g in itertools.product((False, True), (False, True) if seasonal else (False,), (0.1, 0.3, 0.6), (0.05, 0.2)):
-        level = y[:season].mean() if cyclic else y[0]
-        slope, cycle, fitted = 0.0, list(y[:season] - y[:season].mean()) if cyclic else [0.0] * season, np.zeros(len(y))
+    kinds = ("none", *(("add",) if len(y) >= 2 * season else ()), *(("mul",) if len(y) >= 2 * season and y.min() > 0 else ()))
+    for damp, kind, a, g in itertools.product((0.0, 0.9, 1.0), kinds, (0.1, 0.3, 0.6), (0.05, 0.2)):
+        if kind == "none" and g > 0.05:
+            continue  # the season's rate does not matter
+        first = y[:season].mean()
+        level, slope, fitted = y[0] if kind == "none" else first, 0.0, np.zeros(len(y))
+        cycle = list(y[:season] / first if kind == "mul" else y[:season] - first if kind == "add" else np.zeros(season))
         for t, value in enumerate(y):
-            s = cycle[t % season]
-            fitted[t] = level + slope + s
+            s, base = cycle[t % season], level + damp * slope
+            fitted[t] = base * s if kind == "mul" else base + s
             e = value - fitted[t]
-            level, slope = level + slope + a * e, slope + (a * 0.1 * e if trend else 0.0)
-            if cyclic:
+            rise = a * (e / max(s, 1e-6) if kind == "mul" else e)
+            level, slope = base + rise, damp * slope + (0.1 * rise if damp else 0.0)
+            if kind == "add":
                 cycle[t % season] = s + g * e
-        aic = len(y) * np.log(((y - fitted) ** 2).mean() + 1e-12) + 2 * (2 + trend + cyclic * (season + 1))
+            elif kind == "mul":
+                cycle[t % season] = s + g * e / max(abs(base), 1e-6)
+        aic = len(y) * np.log(((y - fitted) ** 2).mean() + 1e-12) + 2 * (2 + (damp > 0) + (0 < damp < 1) + (kind != "none") * (season + 1))
         if best is None or aic < best[0]:
-            steps = np.arange(1, horizon + 1)
-            ahead = level + slope * steps + np.array([cycle[(len(y) + h) % season] for h in range(horizon)])
+            rises = np.cumsum(damp ** np.arange(1, horizon + 1)) if damp else np.zeros(horizon)
+            again = np.array([cycle[(len(y) + h) % season] for h in range(horizon)])
+            ahead = (level + slope * rises) * again if kind == "mul" else level + slope * rises + again
             best = (aic, fitted, ahead)
     return best[1], best[2]
 
@@ -88,7 +95,7 @@ def theta(y: np.ndarray, horizon: int, season: int = SEASON) -> tuple[np.ndarray
     slope, base = np.polyfit(np.arange(n), x, 1) if n > 1 else (0.0, x[0])
     line = base + slope * np.arange(n + horizon)
     bent, best = 2 * x - line[:n], None
-    for alpha in (0.1, 0.2, 0.4, 0.8):
+    for alpha in (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 0.8, 0.95):
         level, fitted = bent[0], np.zeros(n)
         for t in range(n):
             fitted[t] = level
@@ -101,33 +108,50 @@ def theta(y: np.ndarray, horizon: int, season: int = SEASON) -> tuple[np.ndarray
 
 
 def arima(y: np.ndarray, horizon: int, season: int = SEASON) -> tuple[np.ndarray, np.ndarray]:
-    """Autoregression on recent and seasonal lags, of the values or their first differences, chosen by AIC."""
+    """Autoregression and moving averages, with a seasonal lag or not, of the values or their first differences, chosen by AIC.
+
+    Both parts are fitted by least squares, past shocks being taken from a long
+    autoregression first (the two-stage estimator of Hannan and Rissanen).
+    """
     best = None
-    for d, p, cyclic in itertools.product((0, 1), (0, 1, 2, 3), (False, True)):
+    for d, p, q, cyclic in itertools.product((0, 1), (0, 1, 2, 3), (0, 1, 2), (False, True)):
         z = np.diff(y, n=d)
         lags = sorted({*range(1, p + 1), *([season] if cyclic else [])})
-        deep = max(lags, default=0)
+        long = season + 3 if q else 0
+        deep = max([*lags, long + q if q else 0])
         if len(z) <= 2 * deep + 3:
             continue
-        grid = np.column_stack([np.ones(len(z) - deep), *[z[deep - k : len(z) - k] for k in lags]])
+        shocks = np.zeros(len(z))
+        if q:
+            wide = np.column_stack([np.ones(len(z) - long), *[z[long - k : len(z) - k] for k in range(1, long + 1)]])
+            shocks[long:] = z[long:] - wide @ np.linalg.lstsq(wide, z[long:], rcond=None)[0]
+        grid = np.column_stack([np.ones(len(z) - deep), *[z[deep - k : len(z) - k] for k in lags], *[shocks[deep - k : len(z) - k] for k in range(1, q + 1)]])
         coef = np.linalg.lstsq(grid, z[deep:], rcond=None)[0]
         rest = z[deep:] - grid @ coef
         aic = len(rest) * np.log((rest**2).mean() + 1e-12) + 2 * len(coef)
         aic *= len(y) / len(rest)
         if best is None or aic < best[0]:
-            best = (aic, d, lags, coef)
+            best = (aic, d, lags, q, coef)
     if best is None:
         return np.full(len(y), y.mean()), np.full(horizon, y.mean())
-    _, d, lags, coef = best
+    _, d, lags, q, coef = best
     z, fitted = list(np.diff(y, n=d)), np.array(y, dtype=float)
-    deep = max(lags, default=0)
+    deep, shocks = max([*lags, q]), [0.0] * len(z)
+    past, moving = coef[1 : 1 + len(lags)], coef[1 + len(lags) :]
+
+    def next_step(t: int) -> float:
+        return coef[0] + sum(c * z[t - k] for c, k in zip(past, lags, strict=True)) + sum(c * shocks[t - k] for k, c in enumerate(moving, 1))
+
     for t in range(deep, len(z)):
-        step = coef[0] + sum(c * z[t - k] for c, k in zip(coef[1:], lags, strict=True))
+        step = next_step(t)
+        # a model whose shocks do not die out is held in bounds
+        shocks[t] = float(np.clip(z[t] - step, -1e6, 1e6))
         fitted[t + d] = step + (y[t] if d else 0.0)
     ahead, level = [], y[-1]
     for _ in range(horizon):
-        step = coef[0] + sum(c * z[-k] for c, k in zip(coef[1:], lags, strict=True))
+        step = next_step(len(z))
         z.append(step)
+        shocks.append(0.0)
         level = level + step if d else step
         ahead.append(level)
     return fitted, np.array(ahead)

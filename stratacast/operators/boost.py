@@ -434,13 +434,13 @@ def run_experiment(
     date: str = "date",
     bottom: str = "bottom",
 ) -> tuple[DataFrame, dict[str, float]]:
-    """``(method, seed, aggregation, value, date, yhat, in_sample)`` of one experiment, and the seconds of its steps.
+    """``(method, seed, aggregation, value, date, yhat, in_sample, rounds, score)`` of one experiment, and the seconds of its steps.
 
     ``rows`` is the forecast set of all levels (``level``, ``key``, ``date``, ``y`` and ``features``).  Setting 1 fits one model
     to all of them, setting 2 one to each level; both predict the past from its features
     and the ``days`` ahead recursively.  Setting 3 fits the bottom level, predicts the days ahead
     and sums up.  With ``fold_rows`` (of ``folds``) the number of rounds is where the experiment's metric
-    is best on average over the folds.  ``models`` is a folder of saved models; found ones are used, with the
+    is best on average over the folds, and ``score`` is that metric.  ``models`` is a folder of saved models; found ones are used, with the
     time they took.  ``sc`` names members as ``member``, ``st`` dates as ``t``.
     """
     setting, params, sides = experiment(name, base)
@@ -457,10 +457,13 @@ def run_experiment(
         own = window if group is None else window.where(F.col(level) == group)
 
         def make(own: DataFrame = own) -> Booster:
-            chosen = params
+            chosen, score = params, []
             if fold_rows:
-                chosen = replace(params, rounds=max(1, tune(own, features, [params], fold_rows, own_sc, own_st, "member", date)[0][2]))
-            return fit(training_window(own, end_train, n_years, date), features, chosen, own_sc, own_st, "member", date)
+                _, best, rounds = tune(own, features, [params], fold_rows, own_sc, own_st, "member", date)[0]
+                chosen, score = replace(params, rounds=max(1, rounds)), [best]
+            made = fit(training_window(own, end_train, n_years, date), features, chosen, own_sc, own_st, "member", date)
+            made.scores = score
+            return made
 
         model = fit_or_load(rows.sparkSession, None if models is None else f"{models}/{name}/seed={params.seed}/{group or 'all'}", make)
         trained += model.t_train
@@ -468,7 +471,8 @@ def run_experiment(
         if setting != 3:
             back = model.predict(own).withColumn("yhat", clipped(F.col("yhat"))).select(level, key, date, "yhat", F.lit(True).alias("in_sample"))
             ahead = ahead.unionByName(back)
-        parts.append(ahead)
+        told = {"rounds": F.lit(len(model.trees)), "score": F.lit(model.scores[-1] if model.scores else None).cast("double")}
+        parts.append(ahead.withColumns(told))
     tuned = time.perf_counter() - began - trained
     began = time.perf_counter()
     out = parts[0]
@@ -476,8 +480,8 @@ def run_experiment(
         out = out.unionByName(p)
     if setting == 3:
         sums = bottom_up(out.select(F.col(key).alias("member"), date, "yhat"), sc, [date])
-        out = sums.select(F.col("aggregation").alias(level), F.col("value").alias(key), date, "yhat", F.lit(False).alias("in_sample"))
-    out = cut_lineage(out.select(F.lit(name).alias("method"), F.lit(params.seed).alias("seed"), level, key, date, "yhat", "in_sample"))
+        out = sums.select(F.col("aggregation").alias(level), F.col("value").alias(key), date, "yhat", F.lit(False).alias("in_sample")).withColumns(told)
+    out = cut_lineage(out.select(F.lit(name).alias("method"), F.lit(params.seed).alias("seed"), level, key, date, "yhat", "in_sample", "rounds", "score"))
     return out, {"t_tune": max(0.0, tuned), "t_train": trained, "t_predict": time.perf_counter() - began}
 
 

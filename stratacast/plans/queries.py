@@ -628,7 +628,7 @@ def _boosted(name):
         train = rows.where(F.col("date") <= F.lit(end))
         folds = boost.folds(train, N_FOLDS, HORIZON).collect()
         out, _ = boost.run_experiment(name, rows, FEATURES, ROUNDS, membership(facts, DAILY), time_membership(train), end, days, fold_rows=folds)
-        return out.select("method", "aggregation", "value", day(), "in_sample", F.round("yhat", 6).alias("yhat"))
+        return out.select("method", "aggregation", "value", day(), "in_sample", F.round("yhat", 6).alias("yhat"), "rounds", r6("score").alias("score"))
 
     return run
 

@@ -138,6 +138,17 @@ def test_classical_models_fall_back_and_repeat_a_season():
     assert np.allclose(baselines.croston(np.zeros(5), 3)[1], 0)
 
 
+def test_families_find_the_process_they_are_made_for():
+    rng = np.random.default_rng(2)
+    t = np.arange(210)
+    growing = (20 + 0.5 * t) * np.tile([0.5, 0.8, 1.0, 1.0, 1.1, 1.2, 1.4], 30)
+    assert np.abs(baselines.ets(growing, 7)[1] / ((20 + 0.5 * (210 + np.arange(7))) * np.array([0.5, 0.8, 1.0, 1.0, 1.1, 1.2, 1.4])) - 1).max() < 0.1
+    shocks = rng.normal(size=600)
+    moving = 10 + shocks[1:] + 0.8 * shocks[:-1]
+    fitted, ahead = baselines.arima(moving, 5)
+    assert ((fitted[20:] - moving[20:]) ** 2).mean() < 1.2 < moving.var() and np.abs(ahead[1:] - 10).max() < 1.0
+
+
 def test_random_gradient_matches_matrices(small):
     df, _, _, e, *_ = small
     drawn = loss.random_membership(df, 4, 5, seed=2, draw=3).toPandas()
