@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, free_name, read_table
+from .runtime import broadcast_if_small, checkpointed, free_name, read_table, written
 from .simhash import BYTE_BITS
 
 SIZES = (3, 4, 5)
@@ -75,7 +75,8 @@ def slots_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sampled(docs: DataFrame, lang_col: str, key: Column, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language at most, chosen by a hash of ``key``."""
-    sizes = docs.groupBy(F.col(lang_col).alias("size_of")).agg(F.count("*").alias("size"))  # a row for each language
+    sizes = docs.groupBy(F.col(lang_col).alias("size_of")).agg(F.count("*").alias("size"))
+    sizes = broadcast_if_small(written(sizes, "language_sizes"))  # a row for each language, so the texts are not shuffled
     rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
     chosen = docs.join(sizes, F.col(lang_col) == F.col("size_of")).filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < rate * (1 << 30))
     return chosen.drop("size_of", "size")
