@@ -110,9 +110,11 @@ def log_weight(text: str | None, table: np.ndarray) -> float:
     return float(np.round(table[features(text)].sum(), 6))
 
 
-def weighed(rows: DataFrame, text_col: str, labels: DataFrame, id_col: str, names: tuple[str, str]) -> tuple[DataFrame, float]:
+def weighed(rows: DataFrame, text_col: str, labels: DataFrame, id_col: str, names: tuple[str, str], with_text: bool = True) -> tuple[DataFrame, float]:
     """``rows``, written with each row's label (null: none) and log weight as further columns ``names``, and the cut.
 
+    Without ``with_text`` the text itself is not written.
+
     Texts are hashed twice, once for the counts and once for the weights.  The
     weights' table reaches the executors as a broadcast of fixed size, which is
     given up once the rows are written.
@@ -128,10 +130,12 @@ def weighed(rows: DataFrame, text_col: str, labels: DataFrame, id_col: str, name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [log_weight(t.as_py(), table_b.value) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, weight])
+            kept = [i for i in range(batch.num_columns) if with_text or i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, pa.float64())], names=[*(batch.schema.names[i] for i in kept), weight])
 
     schema = told.schema
-    held = written(told.mapInArrow(run, type(schema)(list(schema)).add(weight, "double")), "weighed")
+    fields = [f for i, f in enumerate(schema) if with_text or i != at]
+    held = written(told.mapInArrow(run, type(schema)(fields).add(weight, "double")), "weighed")
     table_b.destroy()
     # a row for each labelled id, however often it comes
     known = held.filter(F.col(good).isNotNull()).groupBy(id_col).agg(F.min(good).alias("good"), F.min(weight).alias("weight")).select("good", "weight").toArrow()
@@ -201,8 +205,12 @@ def _selection(held: DataFrame, names: tuple[str, str], key: Column, cut: float,
     return top_k_threshold(held.select(key.alias("gumbel_key")), "gumbel_key", k)
 
 
-def _key(held: DataFrame, id_col: str, text_col: str, weight: str, temperature: float, seed: int) -> Column:
-    return F.round(F.col(weight) + gumbel(seed, F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))) * temperature, 9)
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _key(id_col: str, text_hash: Column, weight: str, temperature: float, seed: int) -> Column:
+    return F.round(F.col(weight) + gumbel(seed, F.col(id_col), text_hash) * temperature, 9)
 
 
 def select_documents(
@@ -217,9 +225,9 @@ def select_documents(
     are left out; a document labelled twice is good if all of its labels are.
     Repeated rows stay repeated; columns of any other name are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held, cut = weighed(rows, "text", labels, "doc_id", ("good", "log_weight"))
-    key = _key(held, "doc_id", "text", "log_weight", temperature, seed)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash"))
+    held, cut = weighed(rows, "text", labels, "doc_id", ("good", "log_weight"), with_text=False)
+    key = _key("doc_id", F.col("text_hash"), "log_weight", temperature, seed)
     keys = checkpointed(held.select("doc_id", "log_weight", key.alias("gumbel_key")))
     least = _selection(keys, ("", "log_weight"), F.col("gumbel_key"), cut, keep)
     chosen = F.lit(False) if least is None else F.col("gumbel_key") >= least
@@ -236,7 +244,7 @@ def keep_selected(
     """
     names = free_name(docs, "good"), free_name(docs, "log_weight")
     held, cut = weighed(docs, text_col, labels, id_col, names)
-    key = _key(held, id_col, text_col, names[1], temperature, seed)
+    key = _key(id_col, _text_hash(text_col), names[1], temperature, seed)
     least = _selection(held, names, key, cut, keep)
     return held.filter(F.lit(False) if least is None else key >= least).select(*docs.columns)
 
