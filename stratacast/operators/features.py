@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_parts, price_change
+from ..sources.tables import written
 from .hierarchy import Hierarchy, aggregate_levels, mean_over_members, membership
+from .ranking import in_ranges, numbered
 
 #: Lags and windows of the features.
 LAGS = (1, 2, 3, 4, 5, 6, 7, 28, 56, 364)
@@ -52,15 +54,17 @@ def filled_both_ways(x: str, series: tuple[str, ...], date: str) -> Column:
 def backfilled(df: DataFrame, x: str, series: list[str], order: list[str], across: bool = False) -> DataFrame:
     """Backward fill per series; ``across`` lets a trailing gap take the next series' value.
 
-    Across series, only one value for each series is put in one order, not the rows.
+    Across series, rows are dealt into ranges of the whole order and filled inside each; a
+    range's first value, one for each range, is carried to the gap at the end of the ranges before it.
     """
-    own = df.withColumn(x, _forward(x, *[F.desc(c) for c in order], by=tuple(series)))
     if not across:
-        return own
-    first = own.groupBy(*series).agg(F.min_by(x, F.struct(*order)).alias("_first"))
-    after = Window.orderBy(*[F.desc(c) for c in series]).rowsBetween(Window.unboundedPreceding, -1)
-    following = first.select(*series, F.last("_first", True).over(after).alias("_next"))
-    return own.join(following, series).withColumn(x, F.coalesce(x, "_next")).drop("_next")
+        return df.withColumn(x, _forward(x, *[F.desc(c) for c in order], by=tuple(series)))
+    rows = in_ranges(df, [*series, *order])
+    first = rows.groupBy(F.col("_range").alias("_r")).agg(F.min_by(x, F.when(F.col(x).isNotNull(), F.col("_at"))).alias("_first"))
+    after = Window.partitionBy(F.lit(0)).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = written(first.select("_r", F.last("_first", True).over(after).alias("_next")), "carries")
+    own = rows.withColumn(x, _forward(x, F.desc("_at"), by=("_range",)))
+    return own.join(carried, F.col("_range") == F.col("_r")).withColumn(x, F.coalesce(x, "_next")).select(*df.columns)
 
 
 def add_calendar(panel: DataFrame, date: str = "date", parts: tuple[str, ...] = ("dayofweek", "dayofmonth", "weekofyear", "monthofyear")) -> DataFrame:
@@ -76,11 +80,12 @@ def first_per_date(df: DataFrame, date: str, order: list[str]) -> DataFrame:
 def label_encoded(df: DataFrame, columns: list[str]) -> DataFrame:
     """Codes from 0 in sorted order, nulls last, as ``<column>_enc``.
 
-    Codes come from the distinct values, which are few, and are joined to the rows.
+    The distinct values are numbered in ranges of their order, however many they are, and joined to the rows.
     """
     for c in columns:
-        codes = df.select(c).distinct().withColumn(f"{c}_enc", F.dense_rank().over(Window.orderBy(F.asc_nulls_last(c))) - 1)
-        df = df.join(codes.withColumnRenamed(c, "_code"), F.col(c).eqNullSafe(F.col("_code")), "left").drop("_code")
+        values = df.select(F.col(c).isNull().alias("_last"), F.col(c).alias("_code")).distinct()
+        codes = numbered(values, ["_last", "_code"], name=f"{c}_enc").select("_code", F.col(f"{c}_enc").cast("int"))
+        df = df.join(codes, F.col(c).eqNullSafe(F.col("_code")), "left").drop("_code")
     return df
 
 

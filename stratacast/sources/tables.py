@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,16 +67,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def complete_at(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end: its commit marker is there."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, made and written there first if it is missing."""
-    if not exists(spark, path):
-        make().write.parquet(path)
+    """The table at ``path``, made and written there first if it is missing or half-written."""
+    if not complete_at(spark, path):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def load_or_fit(spark: SparkSession, path: str, fit: Callable, load: Callable):
-    """A saved model, fitted and saved first if it is missing."""
-    if exists(spark, path):
+    """A saved model, fitted and saved first if it is missing or half-written; its metadata is written last but for its data."""
+    if complete_at(spark, f"{path}/metadata") and (complete_at(spark, f"{path}/data") or not exists(spark, f"{path}/data")):
         return load(path)
     model = fit()
     model.write().overwrite().save(path)
@@ -94,17 +98,47 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
     Where the session names none it is below the warehouse, which a cluster shares
-    too; a temporary folder serves only a session that runs in this one process.
+    too, and goes when the driver's JVM ends.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        alone = re.fullmatch(r"local(\[.*\])?", context.master)
-        named = "file://" + tempfile.mkdtemp(prefix="stratacast-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stratacast-checkpoints"
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stratacast-checkpoints"
         context.setCheckpointDir(named)
+        _deleted_at_exit(spark, named)
     return named
 
 
+def _deleted_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh shared path, deleted when the driver's JVM ends."""
+    parent = f"{shared_dir(spark).rstrip('/')}/stratacast-{uuid.uuid4().hex}"
+    _deleted_at_exit(spark, parent)
+    return f"{parent}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Unlike a checkpoint the result has file sizes, so the planner itself decides
+    from a known size whether a join may broadcast it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` has made and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def complete(df: DataFrame, *columns: str) -> DataFrame:
     """``df``, after a check that none of ``columns`` holds a null."""
     bad = F.lit(False)
