@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontaminate, embeddings, language, mixing, pagetext, quality, secrets, simhash, urls
+from . import archives, decontaminate, embeddings, language, merkle, mixing, pagetext, quality, secrets, simhash, trie, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_importance": quality.op8_importance,
     "op9_secrets": secrets.op9_secrets,
     "op10_language": language.op10_language,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_trie": trie.op12_trie,
 }
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
@@ -23,4 +25,6 @@ ORACLES = {
     "op5_page_text": pagetext.OP5_SQL,
     "op6_url_rules": urls.OP6_SQL,
     "op7_winnowing": decontaminate.OP7_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_trie": trie.OP12_SQL,
 }

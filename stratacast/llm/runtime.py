@@ -6,15 +6,16 @@ which driver and executors share, or below the warehouse where the session names
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.tables import scratch_path, shared_dir, written
 
-from ..sources.tables import shared_dir
+__all__ = ["broadcast_if_small", "checkpointed", "free_name", "read_table", "scratch_path", "written"]
 
-#: Rows of a few numbers each that one broadcast may carry (well under 100 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of values that one broadcast may carry.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -23,26 +24,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh shared path, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/stratacast-{uuid.uuid4().hex}/{name}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where.getParent())
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a checkpoint the result has file sizes, so the planner itself decides
-    from a known size whether a join may broadcast it.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -51,12 +32,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written table of narrow rows, marked for broadcast if it has ``rows`` rows at most.
+def value_bytes(df: DataFrame) -> int:
+    """Bytes that the values of ``df`` take, about: lengths of strings and arrays, 8 for anything else."""
+
+    def of(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(x, F.lit(16).cast("long"), lambda n, v: n + of(v, kind.elementType).cast("long")), F.lit(16).cast("long"))
+        return F.lit(8)
+
+    each = sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its values take ``most`` bytes at most.
 
     Beyond that it is returned as it is, and the planner shuffles both sides.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if value_bytes(df) <= most else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
