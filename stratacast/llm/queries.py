@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontaminate, embeddings, language, merkle, mixing, pagetext, quality, secrets, simhash, trie, urls
+from . import archives, decontaminate, embeddings, language, lm, merkle, mixing, pagetext, quality, secrets, simhash, trie, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op11_merkle": merkle.op11_merkle,
     "op12_trie": trie.op12_trie,
+    "op13_log_bilinear": lm.op13_log_bilinear,
 }
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
