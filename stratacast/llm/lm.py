@@ -36,7 +36,7 @@ CLASSES, WIDTH, SIZE, CONTEXT = 64, 256, 24, 2
 VOCABULARY = CLASSES * WIDTH
 #: Frequent tokens whose counts are broadcast; the vocabulary is the first of them.
 FREQUENT = 1 << 18
-ROUNDS, BATCH, NOISE, RATE = 2, 1 << 12, 16, 0.4
+ROUNDS, BATCH, NOISE, RATE, TURN_RATE = 2, 1 << 12, 32, 0.3, 0.1
 #: Tokens that are worked on at once, and values in a row of a model that is sent.
 CHUNK, PART = 1 << 18, 1 << 12
 #: The end of a text, a token that no word equals.
@@ -156,10 +156,10 @@ class Trainer:
         self.word_noise = words / words.sum(axis=1, keepdims=True)
         self.word_steps = self.word_noise.cumsum(axis=1)
 
-    def step(self, field: str, at, grad: np.ndarray) -> None:
+    def step(self, field: str, at, grad: np.ndarray, share: float = 1.0) -> None:
         values, squares = getattr(self.model, field), getattr(self.squares, field)
         squares[at] += grad * grad
-        values[at] -= self.rate * grad / np.sqrt(squares[at])
+        values[at] -= share * self.rate * grad / np.sqrt(squares[at])
 
     def contrast(self, hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray, noise: np.ndarray, chance: np.ndarray):
         """Gradients of one contrast of true ``at`` and drawn ``noise``: by hidden rows, by the true ones' score, by noise vectors and biases."""
@@ -200,7 +200,7 @@ class Trainer:
             self.step("word_vectors", at, sums[:, :-1] / n)
             self.step("word_bias", at, sums[:, -1] / n)
         by_word = [back @ turn.T for turn in m.turns]
-        self.step("turns", slice(None), np.stack([x.T @ back for x in inputs]) / n)
+        self.step("turns", slice(None), np.stack([x.T @ back for x in inputs]) / n, TURN_RATE)  # every token moves these
         at, sums = _summed(before.ravel(), np.concatenate(by_word))
         self.step("words", at, sums / n)
 

@@ -186,14 +186,14 @@ def test_context_helps_on_held_out_texts(monkeypatch, spark, frequent):
     """Two kinds of texts over words of their own: after one word the model knows which."""
     rng = np.random.default_rng(1)
     words = [[f"{k}{i}" for i in range(40)] for k in "ab"]
-    rows = [(i, " ".join(rng.choice(words[i % 2], 60))) for i in range(3000)]
-    rows += [(None, None), (None, ""), (4001, "A0 a0 Ä unseen"), (4001, "A0 a0 Ä unseen"), (4002, "b1 " * 50_000)]
+    rows = [(i, " ".join(rng.choice(words[i % 2], 60))) for i in range(6000)]
+    rows += [(None, None), (None, ""), (7001, "A0 a0 Ä unseen"), (7001, "A0 a0 Ä unseen")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "token", "n", "part", "rare", "known", "base")})
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     got = lm.score_texts(docs, held, frequent=frequent).collect()
     same_base([tuple(r[c] for c in COLUMNS) for r in got], plain_base(rows, crc_held))
     out = [r for r in got if r.held_out and r.n_tokens == 61]
-    assert sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
+    assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out), (sum(r.score for r in out), sum(r.base_score for r in out))
     assert lm.score_texts(docs.limit(0), held).count() == 0
     nothing = lm.score_texts(docs, F.lit(True)).collect()
     assert all(r.n_known == r.train_tokens == 0 and abs(r.base_score) < 1e-9 for r in nothing) and len(nothing) == len(rows)
@@ -203,7 +203,7 @@ def test_rare_tokens_meet_their_counts_in_a_join(monkeypatch, spark):
     monkeypatch.setattr(lm, "VOCABULARY", 8)
     monkeypatch.setattr(lm, "CLASSES", 2)
     monkeypatch.setattr(lm, "WIDTH", 4)
-    rows = [(i, f"common w{i % 30} w{i % 7} only{i}") for i in range(200)]
+    rows = [(i, f"common w{i % 30} w{i % 7} only{i}") for i in range(200)] + [(300, "b1 " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, frequent=20).collect()
     same_base([tuple(r[c] for c in COLUMNS) for r in got], plain_base(rows, crc_held))
