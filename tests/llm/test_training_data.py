@@ -95,6 +95,20 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
     assert got >= want and len(got - want) <= 0.02 * len(links) + 1
 
 
+def test_no_pair_of_short_texts_is_missed(spark):
+    """Sets of 1 to 20 shingles that share four fifths exactly, and some that share a little less."""
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(400):
+        n = int(rng.integers(5, 19))
+        base = [f"w{x}" for x in rng.integers(0, 10_000, n)]
+        rows += [base, base + [f"t{x}" for x in rng.integers(0, 10_000, int(rng.integers(0, 6)))], base[int(rng.integers(0, 3)) :]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = {i: set(neardup.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(_components(sets, links).values())
+
+
 @pytest.mark.parametrize(("rows_of_block", "shingles"), [(3, 1 << 20), (512, 200)])
 def test_block_boundaries_keep_links(monkeypatch, spark, rows_of_block, shingles):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_of_block)
