@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from .runtime import read_table, written
 from .urls import host_of
 
-#: A quoted value after ``=`` may be of any length; a stray quote, which may lack its partner, reaches 4000 characters at most.
+#: A quote opens a value after ``=`` only; any other is a character of its own, whatever follows.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[=\"'])*+)>",
+    r"<!--|<!\[CDATA\[|<[!?]|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?P<close>>?)",
     re.DOTALL,
 )
 #: Every attribute, so that what another one's value holds is not read as a class.
 ATTR = re.compile(r"(?<![^\s\"'/=])([^\s\"'/=]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+FOR = re.compile(r"(?<![^\s\"'/])for\s*=", re.IGNORECASE)
 NAMED = re.compile(r"\b(class|id|role)\Z", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
@@ -40,7 +40,7 @@ CONTAINERS = frozenset("html body main article section div td th table tbody tr
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd pre br hr address header footer nav aside form fieldset figcaption summary caption option select legend dialog menu thead tfoot".split()
 )
-BOILERPLATE_TAGS = frozenset("nav header footer aside form head button select svg canvas audio video dialog menu label input fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside head button select svg canvas audio video dialog menu input fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words of a class or id that speak for menus, headers, footers, sidebars, notices, adverts, forms and comments,
 #: and words of layout that say nothing.
@@ -66,12 +66,22 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 FAVOURED = {"article": 3.0, "main": 2.0}
+PROSE = ("p", "article", "main", "h1", "h2", "h3", "blockquote", "pre")
 
 
 class Page:
     """Blocks of text in page order, and the containers that hold ranges of them."""
 
     def __init__(self, source: str, left_out: frozenset[str] = frozenset()):
+        self._start_over(left_out, frozenset())
+        self._read(source)
+        # a form around the page's text is no form to fill in: with more prose than all the rest has text it is read as any other element
+        wide = frozenset(i for i, n in self._form_chars.items() if n > sum(map(len, self.blocks)))
+        if wide:
+            self._start_over(left_out, wide)
+            self._read(source)
+
+    def _start_over(self, left_out: frozenset[str], wide_forms: frozenset[int]) -> None:
         self.blocks: list[str] = []
         #: path, parent, first block, block after the last, score, tag, whether its words are in doubt
         self.nodes: list[list] = [["", -1, 0, 0, 0.0, "", False]]
@@ -81,12 +91,15 @@ class Page:
         self._depth: dict[str, int] = {}
         self._parts: list[str] = []
         self._link_chars = 0
-        self._open: list[tuple[str, int, bool]] = [("", 0, False)]
+        #: tag, node, and whether its text is kept (0), left out (1) or left out for its form alone (2)
+        self._open: list[tuple[str, int, int]] = [("", 0, 0)]
         self._links = 0
-        self._read(source)
+        self._wide_forms = wide_forms
+        self._forms = 0
+        self._form_chars: dict[int, int] = {}
 
     def _read(self, source: str) -> None:
-        at, n = 0, len(source)
+        at, n, last = 0, len(source), source.rfind(">")
         while at < n:
             found = TOKEN.search(source, at)
             if not found:
@@ -97,15 +110,25 @@ class Page:
             at = found.end()
             tag = found["tag"]
             if tag is None:
-                if found[0].startswith("<![CDATA["):
-                    self._text(found[0][9:].removesuffix("]]>"))
+                opening = found[0]
+                end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(opening, ">")
+                if end == ">" and at > last:  # nothing ends it
+                    self._text(opening)
+                    continue
+                to = source.find(end, at)
+                if end == "]]>":
+                    self._text(source[at : to if to >= 0 else n])
+                at = to + len(end) if to >= 0 else n
+                continue
+            if not found["close"]:  # no tag; what was read of it is text, so nothing is read twice
+                self._text(found[0])
                 continue
             tag = tag.lower()
             if found["end"]:
                 self._close(tag)
             elif tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                at = source.find(">", end.end()) + 1 if end and end.end() <= last else n
             else:
                 self._start(tag, found["attrs"])
         self._flush()
@@ -114,10 +137,13 @@ class Page:
         self.nodes[0][3] = len(self.blocks)
 
     def _text(self, text: str) -> None:
-        if not self._open[-1][2]:
+        dropped = self._open[-1][2]
+        if not dropped:
             self._parts.append(text)
             if self._links:
                 self._link_chars += len(text)
+        elif dropped == 2 and any(self._depth.get(t) for t in PROSE):
+            self._form_chars[self._forms] = self._form_chars.get(self._forms, 0) + sum(map(len, text.split()))
 
     def _flush(self) -> None:
         if not self._parts:
@@ -137,24 +163,29 @@ class Page:
             self._flush()
             if tag in IMPLIED:
                 self._imply(*IMPLIED[tag])
-            else:
+            elif tag != "br":
                 self._imply({"p"}, CONTAINERS)
         if tag in VOID:
             return
         _, node, dropped = self._open[-1]
         words, roles = self._named(attrs)
-        telling = [w for w in words if w not in NEUTRAL_WORDS]
+        telling = [w for w in words if w not in NEUTRAL_WORDS and w != tag]
         share = sum(w in BOILERPLATE_WORDS for w in telling) / len(telling) if telling else 0.0
         whole = tag in ("html", "body")
         if tag in BOILERPLATE_TAGS or not whole and (share >= CERTAIN or not BOILERPLATE_ROLES.isdisjoint(roles)):
-            dropped = True
+            dropped = 1
+        elif tag == "label" and (self._depth.get("form") or FOR.search(attrs)):  # of a control
+            dropped = 1
+        elif tag == "form" and not dropped:
+            self._forms += 1
+            dropped = 0 if self._forms in self._wide_forms else 2
         doubt = 0 < share < CERTAIN and not whole
         if (tag in CONTAINERS or doubt) and not dropped:
             label = ".".join([tag, *(re.sub(r"\d+", "#", w) for w in words)])
             # the path is named by a hash of the path above and its own label, so that deep nesting costs no more
             path = xxhash.xxh64_hexdigest(f"{self.nodes[node][0]}>{label}")
             if doubt and path in self._left_out:
-                dropped = True
+                dropped = 1
             else:
                 self.nodes.append([path, node, len(self.blocks), 0, 0.0, tag, doubt])
                 node = len(self.nodes) - 1

@@ -1,6 +1,7 @@
 """Operators against brute force, SQL, exact round trips and held-out accuracy."""
 
 import hashlib
+import html
 import itertools
 import re
 import time
@@ -281,6 +282,81 @@ def test_doubtful_words_are_judged_by_the_host(spark):
     assert [out[10 + i] for i in range(3)] == [f"T{i}\n{('word ' * 40).strip()}" for i in range(3)]
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<p class="cookie-notice">We use cookies.<br>Accept all of them.</p><p>Kept<br>too</p>', "Kept\ntoo"),
+        ('<p class="advert">Buy<br>now cheap</p><p>Kept</p>', "Kept"),
+        ("<p>One <a href='x'>two<br>three</a> four</p>", "One two\nthree four"),
+        ("<p>The <label>word</label> stays</p><p>Kept</p>", "The word stays\nKept"),
+        ('<p>Kept for long</p><form><label for="q">Find</label><p>Search here</p></form>', "Kept for long"),
+        ("<p>Kept</p><!a <!b <p>and this", "Kept\nand this"),
+        ("<p>Kept</p><!doctype x><p>and this", "Kept\nand this"),
+        ("""<p title=it's>Kept</p><p>isn't lost</p>""", "Kept\nisn't lost"),
+        ("<p>Kept</p><script>if (a</scripty>) b</script ><p>too</p>", "Kept\ntoo"),
+    ],
+)
+def test_page_text_of_broken_and_odd_markup(body, text):
+    assert pagetext.Page(f"<html><body><article>{body}</article></body></html>").text_at(None) == text
+
+
+def test_a_form_around_the_page_is_read():
+    menu = "<nav>Menu</nav><input value='x'><button>Go</button>"
+    page = f'<body><form id="aspnetForm" class="form">{menu}<div id="content"><p>First part of it.</p><p>Second part.</p></div><label>Remember me</label></form></body>'
+    assert pagetext.Page(page).text_at(None) == "First part of it.\nSecond part."
+    assert pagetext.Page("<body><form><label for='a'>Name</label><div>Log in to go on</div></form></body>").text_at(None) == ""
+
+
+@pytest.mark.parametrize("part", ["</script ", "<!a ", "<![CDATA[", "<!--", "<a b=\"", "<a b='", "<a \" ", "<p ' ", "<script>", "= \""])
+def test_odd_markup_is_read_in_linear_time(part):
+    began = time.perf_counter()
+    for head in ("", "<script>", "<p>x"):
+        pagetext.Page(head + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 15
+
+
+def plain_article(source):
+    """Blocks of the article of a page that closes all of its tags: a stack, and a list of what goes."""
+    out, stack, parts = [], [], []
+
+    def flush():
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            out.append(text)
+
+    for token in re.findall(r"<[^>]*>|[^<]+", source):
+        name = re.match(r"</?(\w+)", token)
+        if not name:
+            if "article" in [t for t, _ in stack] and not any(gone for _, gone in stack):
+                parts.append(html.unescape(token))
+        elif name[1] == "br":
+            flush()
+        elif token.startswith("</"):
+            if name[1] in ("p", "div", "article", "h1", "ul", "li", "nav", "form", "aside"):
+                flush()
+            stack.pop()
+        else:
+            if name[1] in ("p", "div", "article", "h1", "ul", "li", "nav", "form", "aside"):
+                flush()
+            stack.append((name[1], name[1] in ("nav", "form", "aside", "script") or bool(re.search(r'class="(advert|cookie-notice|share|comments)"', token))))
+    return "\n".join(out)
+
+
+def test_page_text_with_boilerplate_inside_the_article(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 999, n))
+    odd = ['<p class="advert">Buy<br>now</p>', "<aside><p>more</p></aside>", '<div class="share"><a href="/s">share it</a></div>', "<form><p>sign up</p></form>", '<ul class="comments"><li>first!</li></ul>', "<script>var x</script>", '<p class="cookie-notice">We use<br>cookies</p>']
+    rows = []
+    for i in range(60):
+        parts = [f"<p>{word(12)} <a href='/x'>{word(1)}</a> &amp; {word(8)}<br>{word(9)}</p>" for _ in range(4)]
+        for x in rng.choice(odd, 3, replace=False):
+            parts.insert(int(rng.integers(0, len(parts))), str(x))
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<html><body><nav><a>Home</a></nav><article><h1>{word(4)}</h1>{''.join(parts)}</article></body></html>"))
+    got = {r.page_id: r.text for r in pagetext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: plain_article(source) for i, _, source in rows}
+
+
 def test_deep_pages_are_linear():
     for source in ("<div>" * 30_000 + "x", "<div class=note-ad>" * 8000 + "x", "<b>" * 20_000 + "<p>y" * 2000, "</i>" * 20_000, "<p>x" * 30_000):
         began = time.perf_counter()
