@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import broadcast_if_small, checkpointed, free_name, read_table, written
@@ -73,13 +73,17 @@ def slots_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes >> np.uint64(64 - bits), (hashes * np.uint64(_MIX[2])) >> np.uint64(64 - bits)
 
 
-def sampled(docs: DataFrame, lang_col: str, key: Column, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language at most, chosen by a hash of ``key``."""
-    sizes = docs.groupBy(F.col(lang_col).alias("size_of")).agg(F.count("*").alias("size"))
+def sampled(docs: DataFrame, per_language: int) -> DataFrame:
+    """About ``per_language`` different texts of each language at most, of rows ``(lang, text)``, chosen by a hash of the text.
+
+    A text counts once in its language however often it comes, so copies neither fill the sample nor weigh in it.
+    """
+    rows = docs.withColumn("code", F.xxhash64("text"))
+    sizes = rows.groupBy(F.col("lang").alias("size_of")).agg(F.countDistinct("code").alias("size"))
     sizes = broadcast_if_small(written(sizes, "language_sizes"))  # a row for each language, so the texts are not shuffled
     rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
-    chosen = docs.join(sizes, F.col(lang_col) == F.col("size_of")).filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < rate * (1 << 30))
-    return chosen.drop("size_of", "size")
+    chosen = rows.join(sizes, F.col("lang") == F.col("size_of")).filter(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < rate * (1 << 30))
+    return chosen.groupBy("lang", "code").agg(F.any_value("text").alias("text")).select("lang", "text")
 
 
 def held_grams(text: str) -> np.ndarray:
@@ -100,7 +104,7 @@ def fit(
     relative: float = 0.1,
     bits: int = 21,
 ) -> Model:
-    """Fit on at most about ``per_language`` documents of each language of ``docs``.
+    """Fit on at most about ``per_language`` different texts of each language of ``docs``.
 
     An n-gram belongs to a language if at least ``min_share`` of its documents (and
     two of them) hold it, and at least ``relative`` times the share of the
@@ -111,7 +115,7 @@ def fit(
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    sample = sampled(known, "lang", F.col("text"), per_language)
+    sample = sampled(known, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

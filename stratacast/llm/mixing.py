@@ -96,7 +96,10 @@ def mix_sources(
     """
     base = checkpointed(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), count_words(F.col(text_col).cast("string")).alias("n_tokens")
+            F.col(id_col).alias("doc_id"),
+            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+            count_words(F.col(text_col).cast("string")).alias("n_tokens"),
+            F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("code"),  # spreads rows of one id, or none
         )
     )
     sources = checkpointed(base.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
@@ -115,10 +118,10 @@ def mix_sources(
     uses = (
         base.join(quotas, "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-        .withColumn("key", order_key(F.col("doc_id"), F.col("epoch"), F.lit(seed)))
+        .withColumn("key", order_key(F.col("doc_id"), F.col("epoch"), F.lit(seed), F.col("code")))
         .withColumn("bucket", F.substring("key", 1, 3))
     )
-    in_bucket = Window.partitionBy("source", "epoch", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "epoch", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = uses.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("held"))
     offsets = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
@@ -129,7 +132,7 @@ def mix_sources(
         .filter(F.col("start") < F.col("quota"))
         .withColumn("block", F.expr(f"cast(start as decimal(19, 0)) * cast({blocks} as decimal(18, 0)) div quota"))
     )
-    in_block = Window.partitionBy("block").orderBy(order_key(F.col("doc_id"), F.col("epoch"), F.col("block")), "doc_id", "n_tokens", "source")
+    in_block = Window.partitionBy("block").orderBy(order_key(F.col("doc_id"), F.col("epoch"), F.col("block"), F.col("code")), "doc_id", "source")
     return placed.select(
         "doc_id", "source", "n_tokens", F.col("epoch").cast("long").alias("epoch"), "block", F.row_number().over(in_block).cast("long").alias("position")
     )
@@ -142,7 +145,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH RECURSIVE base AS (
-  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS code FROM documents),
 src AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM base GROUP BY 1 HAVING sum(n_tokens) > 0),
 tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS t, count(*) AS n FROM src),
 par AS (SELECT t AS budget, greatest(1, (t + 999999) // 1000000) AS blocks, n FROM tot),
@@ -169,13 +172,13 @@ quotas AS (
                                        greatest(1, CAST(floor(tokens * 4.0::DOUBLE) AS BIGINT))) AS quota
   FROM shares, expo, norm, par),
 uses AS (
-  SELECT doc_id, source, n_tokens, tokens, quota, blocks, epoch,
-         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), '17')) AS key
+  SELECT doc_id, source, n_tokens, tokens, quota, blocks, epoch, code,
+         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), '17', code)) AS key
   FROM (SELECT *, unnest(range(0, CAST(ceil(quota / CAST(tokens AS DOUBLE)) AS BIGINT))) AS epoch FROM base JOIN quotas USING (source))),
 placed AS (
-  SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, n_tokens
+  SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id
                                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM uses)
 SELECT doc_id, source, n_tokens, epoch, block,
-       row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), CAST(block AS VARCHAR))), doc_id, n_tokens, source) AS position
+       row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(epoch AS VARCHAR), CAST(block AS VARCHAR), code)), doc_id, source) AS position
 FROM (SELECT *, CAST(CAST(start AS HUGEINT) * blocks // quota AS BIGINT) AS block FROM placed WHERE start < quota)
 """

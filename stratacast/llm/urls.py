@@ -77,7 +77,9 @@ def word_rule(text: str, verdict: str = "block") -> Rule:
 
 def sure_tokens(regex: str) -> tuple[str, ...]:
     """Literals that every match of ``regex`` holds as whole tokens: runs of letters and digits, outside of
-    choices and repeats, between two places where the expression itself has a boundary or another character."""
+    choices and repeats, between two places where the expression itself has a boundary or another character.
+
+    An expression that only Java's syntax knows has none, so it is tried on every URL."""
     out: list[str] = []
     run: str | None = None  # None: what came last may be a part of a token
 
@@ -90,7 +92,7 @@ def sure_tokens(regex: str) -> tuple[str, ...]:
             name = str(kind)
             if name == "LITERAL" and plain(value):
                 run = None if run is None else run + chr(value)
-            elif name == "LITERAL" or name == "AT" or name == "IN" and all(str(k) == "LITERAL" and not plain(v) for k, v in value):
+            elif name == "LITERAL" or name == "AT" and str(value) != "AT_NON_BOUNDARY" or name == "IN" and all(str(k) == "LITERAL" and not plain(v) for k, v in value):
                 if run:
                     out.append(run)
                 run = ""
@@ -99,7 +101,10 @@ def sure_tokens(regex: str) -> tuple[str, ...]:
             else:
                 run = None
 
-    parsed = syntax.parse(regex)
+    try:
+        parsed = syntax.parse(regex)
+    except (re.error, OverflowError, RecursionError):
+        return ()
     if not parsed.state.flags & re.VERBOSE:
         walk(parsed)
     return tuple(t.translate(str.maketrans(UPPER, LOWER)) for t in out)

@@ -282,6 +282,28 @@ def test_doubtful_words_are_judged_by_the_host(spark):
     assert [out[10 + i] for i in range(3)] == [f"T{i}\n{('word ' * 40).strip()}" for i in range(3)]
 
 
+def test_expressions_without_sure_tokens_are_tried_on_every_url(spark):
+    assert urls.sure_tokens(r"\Bfoo\B") == () and urls.sure_tokens(r"\bfoo\b") == ("foo",)
+    assert urls.sure_tokens(r"\p{L}+foo") == urls.sure_tokens(r"(?<host>a.b)/foo/") == ()
+    rules = [urls.expression_rule(r"\Bfoo\B"), urls.expression_rule(r"/\p{Lu}{3}/"), urls.expression_rule(r"(?<word>bar)baz")]
+    rows = [(1, "http://a.b/xfoox"), (2, "http://a.b/foo"), (3, "http://a.b/ABC/"), (4, "http://a.b/barbaz"), (5, "http://a.b/abc/")]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_copies_weigh_once_in_the_language_sample(spark):
+    docs = spark.createDataFrame([("xx", "one and the same")] * 500 + [("xx", f"text {i}") for i in range(40)] + [("yy", "other")], "lang string, text string")
+    got = [tuple(r) for r in language.sampled(docs, 1000).collect()]
+    assert len(got) == len(set(got)) == 42
+    assert language.sampled(docs, 5).filter("lang = 'xx'").count() < 20
+
+
+def test_rows_without_ids_are_spread_over_the_mix(spark):
+    docs = spark.createDataFrame([(None, f"some words of text {i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, block_tokens=100).toPandas()
+    assert len(got) == 200 and got.groupby("block").size().max() <= 21
+
+
 @pytest.mark.parametrize(
     ("body", "text"),
     [
