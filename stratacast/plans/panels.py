@@ -42,6 +42,12 @@ def monthly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(*keys).agg(F.sum("l_quantity").alias("y"))
 
 
+def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(region, nation, brand, member, date, y)`` by month, dense."""
+    keys = ["region", "nation", "brand"]
+    return dense_panel(monthly_facts(spark, sf_dir).withColumnRenamed("month", "date"), keys, "date", "y").withColumn("member", MONTHLY.key())
+
+
 def naive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily panel with the seasonal naive forecast of each row, and its error ``e``."""
     rows = in_sample_seasonal(daily_panel(spark, sf_dir), ["member"]).where("yhat is not null")

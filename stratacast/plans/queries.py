@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import baselines, boost, evaluate, features, hierarchy, loss, reconcile
 from ..operators.hierarchy import membership, node_sizes
-from ..sources.tables import cut_lineage, table
-from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, naive_errors, time_membership
+from ..sources.tables import cut_lineage, table, written
+from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, monthly_panel, naive_errors, time_membership
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,12 +110,12 @@ def _encode(spark, d):
     return coded.select("p_partkey", "p_brand", "p_type", F.col("p_brand_enc").cast("long"), F.col("event_enc").cast("long"))
 
 
-MONTHS = [f"{y}_{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]  # of the whole table
-
-
 def _wide(spark, d):
-    facts = monthly_facts(spark, d).withColumn("d", F.concat(F.lit("m_"), F.date_format("month", "yyyy_MM")))
-    return facts.groupBy("region", "nation", "brand").pivot("d", [f"m_{m}" for m in MONTHS]).agg(F.sum("y"))
+    """A column for each month between the first and the last of the table."""
+    facts = monthly_facts(spark, d).withColumn("d", F.date_format("month", "'m_'yyyy_MM"))
+    ends = facts.agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    months = [r[0] for r in ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")).select(F.date_format("m", "'m_'yyyy_MM")).collect()]
+    return facts.groupBy("region", "nation", "brand").pivot("d", months).agg(F.sum("y")), months
 
 
 MONTHLY_SQL = """f AS (SELECT n_regionkey AS region, n_nationkey AS nation, p_brand AS brand, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS y
@@ -124,14 +124,16 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 
 @query("unpivot_wide", f"WITH {MONTHLY_SQL} SELECT region, nation, brand, strftime(month, 'm_%Y_%m') AS d, y AS sales FROM f")
 def _unpivot(spark, d):
-    return features.unpivoted(_wide(spark, d), ["region", "nation", "brand"], [f"m_{m}" for m in MONTHS], "d", "sales")
+    wide, months = _wide(spark, d)
+    return features.unpivoted(wide, ["region", "nation", "brand"], months, "d", "sales")
 
 
-@query("pivot_fill", f"WITH {MONTHLY_SQL} SELECT region, nation, brand, " + ", ".join(
-    f"coalesce(sum(y) FILTER (strftime(month, '%Y_%m') = '{m}'), 0) AS m_{m}" for m in MONTHS
-) + " FROM f GROUP BY ALL")
+@query("pivot_fill", f"""WITH {MONTHLY_SQL}, g AS (SELECT region, nation, brand, strftime(m, 'm_%Y_%m') AS d, coalesce(y, 0) AS y FROM (SELECT DISTINCT region, nation, brand FROM f)
+CROSS JOIN (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS m FROM f) LEFT JOIN f USING (region, nation, brand) WHERE f.month = m OR f.month IS NULL
+UNION ALL SELECT DISTINCT region, nation, brand, strftime(m, 'm_%Y_%m'), 0 FROM f, (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS m FROM f))
+FROM (PIVOT g ON d USING sum(y) GROUP BY region, nation, brand)""")
 def _pivot(spark, d):
-    return _wide(spark, d).na.fill(0.0)
+    return _wide(spark, d)[0].na.fill(0.0)
 
 
 @query("extend_horizon", """WITH x AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), k AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem)
@@ -453,11 +455,12 @@ def _tree(spark, d):
 
 
 def _all_nodes(spark, d):
-    """Actuals and incoherent forecasts of every node: bottom seasonal naive, other levels their mean with the actual."""
-    e = naive_errors(spark, d)
-    sc = membership(e, DAILY)
+    """Actuals and incoherent forecasts of every node by month: bottom seasonal naive, other levels their mean with the actual."""
+    rows = monthly_panel(spark, d)
+    e = baselines.in_sample_seasonal(rows, ["member"], 12).where("yhat is not null")
+    sc = membership(rows, MONTHLY)
     sums = e.join(sc, "member").groupBy("level_id", "aggregation", "value", "date").agg(F.sum("y").alias("y"), F.sum("yhat").alias("yhat"))
-    return cut_lineage(sums.withColumn("yhat", F.when(F.col("level_id") == 3, F.col("yhat")).otherwise((F.col("yhat") + F.col("y")) / 2))), sc
+    return cut_lineage(sums.withColumn("yhat", F.when(F.col("level_id") == 4, F.col("yhat")).otherwise((F.col("yhat") + F.col("y")) / 2))), written(sc, "memberships")
 
 
 def _reconciled(method):
@@ -472,6 +475,29 @@ def _reconciled(method):
 for _m in reconcile.METHODS:
     query(f"reconcile_{_m}")(_reconciled(_m))
 
+#: The closed form of a tree of two levels: what a member takes of the gap between the total and the sum.
+_SHARES = {"ols": "1.0 / (1 + n)", "wls_struct": "1.0 / (n + n)", "wls_var": "w / (wt + ws)"}
+
+
+def _reconciled_tree(method):
+    def run(spark, d):
+        e = naive_errors(spark, d)
+        sc = written(membership(e, hierarchy.Hierarchy.of([], ["region", "flag", "status"])), "memberships")
+        sums = e.join(sc, "member").groupBy("level_id", "aggregation", "value", "date").agg(F.sum("y").alias("y"), F.sum("yhat").alias("yhat"))
+        nodes = cut_lineage(sums.withColumn("yhat", F.when(F.col("level_id") == 1, F.col("yhat")).otherwise((F.col("yhat") + F.col("y")) / 2)))
+        out = reconcile.reconcile(spark, nodes, sc, method, nodes)
+        return out.select("aggregation", "value", day(), off_ties("yhat").alias("yhat"))
+
+    return run
+
+
+for _m, _share in _SHARES.items():
+    query(f"reconcile_two_levels_{_m}", f"""WITH {ERRORS}, t AS (SELECT date, sum(yhat) AS s, (sum(yhat) + sum(y)) / 2 AS total, sum(y) AS y FROM e GROUP BY 1),
+k AS (SELECT count(DISTINCT member) AS n, (SELECT avg((total - y) ** 2) FROM t) AS wt, (SELECT sum(w) FROM (SELECT avg(e * e) AS w FROM e GROUP BY member)) AS ws FROM e),
+w AS (SELECT member, avg(e * e) AS w FROM e GROUP BY 1), b AS (SELECT member, date, yhat + (total - s) * {_share} AS yhat FROM e JOIN w USING (member) JOIN t USING (date), k)
+SELECT 'bottom' AS aggregation, member AS value, CAST(date AS VARCHAR) AS date, round(yhat + 1e-7, 4) AS yhat FROM b
+UNION ALL SELECT 'Total', 'Total', CAST(date AS VARCHAR), round(sum(yhat) + 1e-7, 4) FROM b GROUP BY date""")(_reconciled_tree(_m))
+
 
 # baselines
 

@@ -78,15 +78,87 @@ def test_both_aggregations_agree(small):
     assert rows[0] == rows[1] == rows[2]
 
 
+def plain_covariance(r):
+    """Covariance of residuals (times by nodes) shrunk to its diagonal, pair by pair."""
+    t, n = r.shape
+    x = r - r.mean(axis=0)
+    cov = x.T @ x / t
+    z = x / np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    corr, top, low = z.T @ z / t, 0.0, 0.0
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                top += ((z[:, i] * z[:, j] - corr[i, j]) ** 2).sum() / (t * (t - 1))
+                low += corr[i, j] ** 2
+    share = min(1.0, max(0.0, top / low))
+    return share * np.diag(np.diag(cov)) + (1 - share) * cov + 1e-9 * np.eye(n)
+
+
+def plain_projection(s, method, y, fitted):
+    """Members by nodes, by dense algebra."""
+    if method == "erm":
+        return y[:, len(s) - s.shape[1] :].T @ np.linalg.pinv(fitted, rcond=1e-5).T
+    e = y - fitted
+    w = {"ols": np.eye(len(s)), "wls_struct": np.diag(s.sum(axis=1)), "wls_var": np.diag(np.maximum((e**2).mean(axis=0), 1e-9)), "mint_shrink": plain_covariance(e)}[method]
+    inverse = np.linalg.inv(w)
+    return np.linalg.solve(s.T @ inverse @ s, s.T @ inverse)
+
+
+@pytest.fixture(scope="module")
+def incoherent(spark):
+    """Crossing levels over eight members, forecasts of all nodes that do not add up, in sample and ahead."""
+    rng = np.random.default_rng(3)
+    levels = hierarchy.Hierarchy.of([["a"], ["b"]], ["a", "b"])
+    members = spark.createDataFrame([(a, b) for a in "pq" for b in range(4)], "a string, b int")
+    sc = hierarchy.membership(members, levels).cache()
+    pairs = sc.collect()
+    nodes = sorted({(r.level_id, r.aggregation, r.value) for r in pairs})
+    names = [n[2] for n in nodes if n[1] == "bottom"]
+    s = np.array([[any(r.member == m and (r.aggregation, r.value) == n[1:] for r in pairs) for m in names] for n in nodes]).astype(float)
+    n_times, n_dates = 30, 5
+    y = np.round(rng.gamma(2, 4, (n_times, len(names))), 3) @ s.T
+    hat = y + rng.normal(size=y.shape) * rng.gamma(2, 1, len(nodes)) + rng.normal(size=(n_times, 1))
+    ahead = np.round(rng.gamma(2, 4, (n_dates, len(names))), 3) @ s.T + rng.normal(size=(n_dates, len(nodes))) * 4 - 3
+    start = dt.date(2020, 1, 1)
+    training = [(n[1], n[2], start + dt.timedelta(t), float(y[t, j]), float(hat[t, j])) for t in range(n_times) for j, n in enumerate(nodes)]
+    forecasts = [(n[1], n[2], start + dt.timedelta(40 + t), float(ahead[t, j])) for t in range(n_dates) for j, n in enumerate(nodes)]
+    training = spark.createDataFrame(training, "aggregation string, value string, date date, y double, yhat double")
+    forecasts = spark.createDataFrame(forecasts, "aggregation string, value string, date date, yhat double")
+    return sc, nodes, s, y, hat, ahead, training, forecasts
+
+
+@pytest.mark.parametrize("positive", [False, True])
 @pytest.mark.parametrize("method", reconcile.METHODS)
-def test_reconciled_forecasts_are_coherent(spark, small, method):
-    df, sc, *_ = small
-    nodes = hierarchy.aggregate_levels(df.withColumn("y", F.col("e") + 5), LEVELS, ["t"], "y").withColumn("yhat", F.col("y") + F.col("level_id") / 10)
-    nodes = nodes.withColumnRenamed("t", "date")
-    out = reconcile.reconcile(spark, nodes, sc, method, nodes).toPandas()
-    for _, day in out.groupby("date"):
-        sums = day.groupby("aggregation")["yhat"].sum()
-        assert np.allclose(sums, sums.iloc[0])
+def test_reconciled_forecasts_equal_dense_algebra(spark, incoherent, method, positive):
+    sc, nodes, s, y, hat, ahead, training, forecasts = incoherent
+    out = reconcile.reconcile(spark, forecasts, sc, method, training, positive).toPandas()
+    found = out.assign(node=list(zip(out["aggregation"], out["value"], strict=True))).pivot(index="date", columns="node", values="yhat")
+    bottom = plain_projection(s, method, y, hat) @ ahead.T
+    want = s @ (np.maximum(bottom, 0) if positive else bottom)
+    assert np.allclose(found[[n[1:] for n in nodes]].to_numpy(), want.T, rtol=1e-6, atol=1e-6)
+    assert not positive or (bottom < 0).any()
+
+
+def test_all_methods_side_by_side(spark, incoherent):
+    sc, _, _, _, _, _, training, forecasts = incoherent
+    out, seconds = reconcile.reconcile_all(spark, forecasts, sc, training, ("ols", "erm"))
+    assert {r["method"]: r["count"] for r in out.groupBy("method").count().collect()} == {"base": 75, "ols": 75, "erm": 75}
+    assert list(seconds) == ["ols", "erm"] and min(seconds.values()) > 0
+    with pytest.raises(ValueError):
+        reconcile.reconcile(spark, forecasts, sc, "mint_shrink")
+    with pytest.raises(ValueError):
+        reconcile.reconcile(spark, forecasts, sc, "other")
+
+
+def test_thousands_of_members_without_a_matrix(spark):
+    """30,000 members under three levels: a dense matrix would have 900 million cells."""
+    members = spark.range(30_000).select((F.col("id") % 10).cast("int").alias("a"), (F.col("id") % 300).cast("int").alias("b"), F.col("id").alias("c"))
+    levels = hierarchy.Hierarchy.of([["a"], ["b"]], ["a", "b", "c"])
+    sc = tables.written(hierarchy.membership(members, levels), "memberships")
+    bottom = members.select(levels.key().alias("member"), F.explode(F.array(F.lit(dt.date(2020, 1, 1)), F.lit(dt.date(2020, 1, 2)))).alias("date"), (F.col("c") % 7).cast("double").alias("y"))
+    nodes = hierarchy.aggregate_members(bottom, sc, ["date"], "y").withColumn("yhat", F.col("y") * (1 + F.col("level_id") / 100))
+    out = reconcile.reconcile(spark, nodes, sc, "wls_struct").groupBy("aggregation", "date").agg(F.sum("yhat").alias("s")).toPandas()
+    assert np.allclose(out.groupby("date")["s"].transform("max"), out["s"]) and len(out) == 8
 
 
 def test_tree_form_equals_the_solve():
