@@ -1,31 +1,34 @@
 """Newton boosting with hierarchical losses, validation, tuning and recursion.
 
-Each round takes gradient and hessian of the current predictions as DataFrame
-aggregations and fits one regression tree to ``-g / h`` weighted by ``h``; a leaf
-takes the regularised Newton step of its own sums.  Predictions are checkpointed
-each round, which cuts the lineage and survives lost executors.  Fitted trees are small
-arrays: a model of any number of trees is one vectorised function, and a table when saved.
+Features are binned once.  The state of a run is one narrow table (fold, key, date, y, bins, raw),
+written each round in the shared folder, which cuts the lineage and survives lost executors; the one before the last is deleted.
+A round takes gradient and hessian of the current predictions as DataFrame
+aggregations and grows a tree leaf by leaf (``trees``); a leaf takes the regularised Newton step
+of its own sums.  The folds of a validation are one run: they share bins, jobs and hierarchical sums, and
+each has trees of its own.  A model is small arrays: any number of trees is one vectorised function, and a table when saved.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from enum import Enum
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_parts, clipped, lag_number, window_number
-from ..sources.tables import cut_lineage, exists
+from ..sources.tables import complete_at, cut_lineage, discard, written
 from . import loss
 from .reconcile import bottom_up
+from .trees import Binner, Limits, Tree, binned, fit_binner, grow, matrix
 
 
 class Objective(Enum):
@@ -47,9 +50,10 @@ class Params:
     metric: Metric = Metric.L2
     rounds: int = 100
     rate: float = 0.1
-    depth: int = 4
+    leaves: int = 31
+    depth: int = 16
     min_rows: int = 5
-    bins: int = 32
+    bins: int = 64
     row_share: float = 1.0
     feature_share: float = 1.0
     l1: float = 0.0
@@ -63,49 +67,7 @@ class Params:
     seed: int = 0
 
 
-TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, value double"
-
-
-@dataclass
-class Tree:
-    """Nodes of a tree, the root first; ``feature`` is -1 at leaves, and rows up to the threshold go left."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=np.int64)
-        while (inner := np.flatnonzero(self.feature[at] >= 0)).size:
-            here = at[inner]
-            at[inner] = np.where(x[inner, self.feature[here]] <= self.threshold[here], self.left[here], self.right[here])
-        return self.value[at]
-
-
-def grown(fitted, used: list[int], leaves: dict[int, float]) -> Tree:
-    """The arrays of a fitted tree over the features numbered ``used``, with values for its leaves, which are numbered from the left."""
-    nodes: list[list[float]] = []
-
-    def add(node) -> int:
-        at = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, 0.0])
-        if node.subtreeDepth() == 0:
-            nodes[at][4] = leaves.get(sum(n[0] < 0 for n in nodes) - 1 - pending[0], 0.0)
-            return at
-        split = node.split()
-        pending[0] += 1  # an inner node looks like a leaf until both its sides are there
-        left = add(node.leftChild())
-        right = add(node.rightChild())
-        pending[0] -= 1
-        nodes[at] = [used[split.featureIndex()], split.threshold(), left, right, 0.0]
-        return at
-
-    pending = [0]
-    add(fitted._call_java("rootNode"))
-    columns = list(zip(*nodes, strict=True))
-    return Tree(*(np.array(c, dtype=k) for c, k in zip(columns, (np.int64, float, np.int64, np.int64, float), strict=True)))
+TREE_SCHEMA = "tree int, node int, feature int, left_bins binary, left int, right int, value double"
 
 
 @dataclass
@@ -115,20 +77,21 @@ class Booster:
     params: Params
     features: list[str]
     start: float
+    binner: Binner
     trees: list[Tree] = field(default_factory=list)
     scores: list[float] = field(default_factory=list)
     t_train: float = 0.0
 
     def values(self, x: np.ndarray, rounds: int | None = None) -> np.ndarray:
-        """Predictions of rows of features; missing ones count as -1."""
-        x = np.where(np.isnan(x), -1.0, x)
+        """Predictions of rows of features; missing ones have a bin of their own."""
+        bins = self.binner.bins(x)
         raw = np.full(len(x), self.start)
         for tree in self.trees[:rounds]:
-            raw += self.params.rate * tree.predict(x)
+            raw += self.params.rate * tree.predict(bins)
         return np.exp(raw) if self.params.objective is Objective.TWEEDIE else raw
 
     def predict(self, rows: DataFrame, name: str = "yhat", rounds: int | None = None) -> DataFrame:
-        """``rows`` with predictions; null features count as -1."""
+        """``rows`` with predictions."""
 
         @F.pandas_udf("double")
         def run(x: pd.DataFrame) -> pd.Series:
@@ -137,29 +100,35 @@ class Booster:
         return rows.withColumn(name, run(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """As a table of tree nodes and one of the rest."""
+        """As a table of tree nodes and one of the rest, which is written last."""
         rows = [
-            (t, n, int(x.feature[n]), float(x.threshold[n]), int(x.left[n]), int(x.right[n]), float(x.value[n])) for t, x in enumerate(self.trees) for n in range(len(x.value))
+            (t, n, int(x.feature[n]), np.packbits(x.left_bins[n]).tobytes(), int(x.left[n]), int(x.right[n]), float(x.value[n])) for t, x in enumerate(self.trees) for n in range(len(x.value))
         ]
         spark.createDataFrame(rows, TREE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
         params = asdict(self.params) | {"objective": self.params.objective.value, "metric": self.params.metric.value}
-        about = {"params": params, "features": self.features, "start": self.start, "scores": self.scores, "t_train": self.t_train}
+        bins = {"cuts": [c.tolist() for c in self.binner.cuts], "categorical": self.binner.categorical}
+        about = {"params": params, "features": self.features, "start": self.start, "bins": bins, "scores": self.scores, "t_train": self.t_train}
         spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Booster:
         about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
-        params = Params(**about["params"] | {"objective": Objective(about["params"]["objective"]), "metric": Metric(about["params"]["metric"])})
+        params = params_of(about["params"])
         trees: dict[int, list] = {}
         for r in spark.read.parquet(f"{path}/trees").orderBy("tree", "node").collect():
-            trees.setdefault(r["tree"], []).append(tuple(r)[2:])
-        arrays = [Tree(*(np.array(c, dtype=k) for c, k in zip(zip(*rows, strict=True), (np.int64, float, np.int64, np.int64, float), strict=True))) for rows in trees.values()]
-        return cls(params, about["features"], about["start"], arrays, about["scores"], about["t_train"])
+            trees.setdefault(r["tree"], []).append((r["feature"], np.unpackbits(np.frombuffer(r["left_bins"], dtype=np.uint8)).astype(bool), r["left"], r["right"], r["value"]))
+        arrays = [Tree(*(np.array(c) for c in zip(*rows, strict=True))) for rows in trees.values()]
+        binner = Binner([np.array(c) for c in about["bins"]["cuts"]], about["bins"]["categorical"])
+        return cls(params, about["features"], about["start"], binner, arrays, about["scores"], about["t_train"])
+
+
+def params_of(told: dict) -> Params:
+    return Params(**told | {"objective": Objective(told["objective"]), "metric": Metric(told["metric"])})
 
 
 def fit_or_load(spark: SparkSession, path: str | None, make) -> Booster:
-    """The model saved at ``path``, with the time its training took then; made and saved first if there is none."""
-    if path is not None and exists(spark, f"{path}/about"):
+    """The model saved at ``path``, with the time its training took then; made and saved first if there is none, or none to its end."""
+    if path is not None and complete_at(spark, f"{path}/about"):
         return Booster.load(spark, path)
     model = make()
     if path is not None:
@@ -167,10 +136,8 @@ def fit_or_load(spark: SparkSession, path: str | None, make) -> Booster:
     return model
 
 
-def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    filled = {f"_x_{f}": F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in features}
-    ready = VectorAssembler(inputCols=list(filled), outputCol="_f").transform(rows.withColumns(filled))
-    return ready.drop(*filled)
+#: Days that tell the folds' dates apart in one number.
+FOLD_DAYS = 1_000_000
 
 
 def fit(
@@ -183,92 +150,144 @@ def fit(
     date: str = "date",
     target: str = "y",
     valid: DataFrame | None = None,
+    categories: tuple[str, ...] = (),
 ) -> Booster:
     """Boost on ``rows`` (one per key and date).  With ``valid``, stop after ``patience`` rounds without gain.
 
     Hierarchical objectives take memberships of members (``sc``) and dates (``st``);
-    they use all features in every round.
+    they use all features in every round.  ``categories`` names the features whose numbers are codes without an order.
+    """
+    columns = list(dict.fromkeys([key, date, target, *features]))
+    marked = rows.select(*columns).withColumns({"_fold": F.lit(0), "_train": F.lit(True)})
+    if valid is not None:
+        marked = marked.unionByName(valid.select(*columns).withColumns({"_fold": F.lit(0), "_train": F.lit(False)}))
+    return fit_folds(marked, [0], features, params, sc, st, key, date, target, categories, valid is not None)[0]
+
+
+def fit_folds(
+    rows: DataFrame,
+    folds: list[int],
+    features: list[str],
+    params: Params,
+    sc: DataFrame | None = None,
+    st: DataFrame | None = None,
+    key: str = "member",
+    date: str = "date",
+    target: str = "y",
+    categories: tuple[str, ...] = (),
+    validate: bool = True,
+) -> dict[int, Booster]:
+    """A model for each of ``folds``, boosted in lockstep on ``rows`` with ``_fold`` and ``_train`` (false: rows that only scores are taken of).
+
+    A fold ends on its own when it has not gained for ``patience`` rounds.
     """
     if params.objective is Objective.HIERARCHICAL and sc is None and st is None:
         raise ValueError("the hierarchical objective needs sc or st")
     if params.objective in (Objective.HIERARCHICAL, Objective.RANDOM):
         params = replace(params, feature_share=1.0)
-    began = time.perf_counter()
-    mean = rows.agg(F.avg(target)).first()[0] or 0.0
-    start = float(np.log(max(mean, 1e-6))) if params.objective is Objective.TWEEDIE else float(mean)
-    model = Booster(params, features, start)
-    rng = np.random.default_rng(params.seed)
-    columns = [key, date, F.col(target).cast("double").alias("y"), *[f for f in features if f not in (key, date)], F.lit(start).alias("raw")]
-    data = cut_lineage(rows.select(*columns))
-    sc = None if sc is None else cut_lineage(loss.weighted(sc, key))
-    st = st.withColumnRenamed("t", date) if st is not None and "t" in st.columns else st
-    fixed = cut_lineage(loss.hessian(data, sc, _within(st, data, date), key, date)) if params.objective is Objective.HIERARCHICAL else None
-    check = None if valid is None else cut_lineage(valid.select(*columns))
-    own_st, check_st = _within(st, data, date), None if check is None else _within(st, check, date)
-    best, since = None, 0
+    began, spark = time.perf_counter(), rows.sparkSession
+    at = F.col("_fold") * F.lit(FOLD_DAYS) + F.unix_date(F.col(date).cast("date"))
+    named = rows.withColumns({"_key": F.col(key), "_at": at, "_y": F.col(target).cast("double")})
+    binner = fit_binner(named.where("_train"), features, categories, params.bins)
+    n_bins = max([2, *(len(c) + 2 for c in binner.cuts)])
+    means = {r[0]: r[1] for r in named.where("_train").groupBy("_fold").agg(F.avg("_y")).collect()}  # a row for each fold
+    starts = {f: float(np.log(max(means.get(f) or 0.0, 1e-6))) if params.objective is Objective.TWEEDIE else float(means.get(f) or 0.0) for f in folds}
+    models = {f: Booster(params, features, starts[f], binner) for f in folds}
+    start = F.element_at(F.create_map(*[x for f in folds for x in (F.lit(f), F.lit(starts[f]))]), F.col("_fold"))
+    narrow = binned(named, features, binner, ["_fold", "_train", "_key", "_at", "_y"])
+    data = written(narrow.withColumn("raw", start).select("_fold", "_train", "_key", "_at", F.col("_y").alias("y"), "bins", "raw"), "boost")
+    sc = None if sc is None else cut_lineage(loss.weighted(sc.withColumnRenamed(key, "_key") if key in sc.columns else sc, "_key"))
+    train_st, valid_st = (None if st is None else _within(st, data.where(F.col("_train") == own), date) for own in (True, False))
+    fixed = cut_lineage(loss.hessian(data.where("_train"), sc, train_st, "_key", "_at")) if params.objective is Objective.HIERARCHICAL else None
+    rng, active, best, since = np.random.default_rng(params.seed), list(folds), dict.fromkeys(folds, math.inf), dict.fromkeys(folds, 0)
+    limits = Limits(params.leaves, params.depth, params.min_rows, params.l1, params.l2)
     for number in range(params.rounds):
-        errors = data.select(key, date, (F.col("raw") - F.col("y")).alias("e"))
-        if params.objective is Objective.TWEEDIE:
-            step = loss.tweedie(data, params.power)
-        elif params.objective is Objective.HIERARCHICAL:
-            step = data.join(loss.gradient(errors, sc, own_st, key, date), [key, date]).join(fixed, [key, date])
-        elif params.objective is Objective.RANDOM:
-            drawn = loss.random_gradient(errors, params.max_levels, params.max_categories, params.hier_freq, params.seed, number, key, date)
-            step = data.join(drawn, [key, date])
-        else:
-            step = data.withColumn("grad", F.col("raw") - F.col("y")).withColumn("hess", F.lit(1.0))
+        step, made = _gradients(data.where(F.col("_train") & F.col("_fold").isin(active)), params, sc, train_st, fixed, number)
         used = sorted(rng.choice(len(features), max(1, round(params.feature_share * len(features))), replace=False).tolist())
         if params.row_share < 1:
             turn = number // max(1, params.bagging_freq)
-            kept = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(turn), F.col(key), F.col(date)), F.lit(1 << 20)) < int(params.row_share * (1 << 20))
+            kept = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(turn), "_key", "_at"), F.lit(1 << 20)) < int(params.row_share * (1 << 20))
             step = step.where(kept)
-        step = step.withColumn("weight", F.greatest(F.col("hess"), F.lit(1e-9))).withColumn("newton", -F.col("grad") / F.col("weight"))
-        names = [features[i] for i in used]
-        fitted = DecisionTreeRegressor(
-            labelCol="newton", featuresCol="_f", weightCol="weight", leafCol="_leaf", predictionCol="_p", maxDepth=params.depth, maxBins=params.bins, minInstancesPerNode=params.min_rows, seed=params.seed
-        ).fit(ready := cut_lineage(_assembled(step, names).select("_f", "newton", "weight", "grad")))
-        sums = fitted.transform(ready).groupBy("_leaf").agg(F.sum("grad").alias("g"), F.sum("weight").alias("h")).collect()  # a row for each leaf
-        leaves = {int(r["_leaf"]): newton_step(r["g"], r["h"], params.l1, params.l2) for r in sums}
-        model.trees.append(grown(fitted, used, leaves))
-        data = _advanced(data, fitted, names, leaves, params.rate)
-        if check is not None:
-            check = _advanced(check, fitted, names, leaves, params.rate)
-            model.scores.append(score(check, params, sc, check_st, key, date))
-            if best is None or model.scores[-1] < best:
-                best, since = model.scores[-1], 0
-            elif (since := since + 1) >= params.patience:
+        trees = grow(step.withColumnRenamed("_fold", "fold"), active, binner.categorical, used, limits, n_bins)
+        for f in active:
+            models[f].trees.append(trees[f])
+        before, data = data, written(_advanced(data.where(F.col("_fold").isin(active)), trees, params.rate, len(features)), "boost")
+        for old in (before, made):
+            if old is not None:
+                discard(spark, old)
+        if validate:
+            found = scores(data.where(~F.col("_train")), active, params, sc, valid_st)
+            for f in list(active):
+                models[f].scores.append(found[f])
+                since[f] = 0 if found[f] < best[f] else since[f] + 1
+                best[f] = min(best[f], found[f])
+                if since[f] >= params.patience:
+                    active.remove(f)
+            if not active:
                 break
-    model.t_train = time.perf_counter() - began
-    return model
-
-
-def newton_step(g: float, h: float, l1: float = 0.0, l2: float = 0.0) -> float:
-    """The regularised minimum of ``g x + h x^2 / 2`` over a leaf's sums."""
-    return -float(np.sign(g)) * max(abs(g) - l1, 0.0) / max(h + l2, 1e-12)
-
+    for model in models.values():
+        model.t_train = time.perf_counter() - began
+    return models
+
+
+def _gradients(data: DataFrame, params: Params, sc: DataFrame | None, st: DataFrame | None, fixed: DataFrame | None, number: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(_fold, _key, _at, bins, grad, hess)``, and the table that was written for it, if any."""
+    errors = data.select("_key", "_at", (F.col("raw") - F.col("y")).alias("e"))
+    columns = ["_fold", "_key", "_at", "bins", "grad", "hess"]
+    if params.objective is Objective.TWEEDIE:
+        return loss.tweedie(data, params.power).select(*columns), None
+    if params.objective is Objective.L2:
+        return data.withColumns({"grad": F.col("raw") - F.col("y"), "hess": F.lit(1.0)}).select(*columns), None
+    if params.objective is Objective.HIERARCHICAL:
+        moved = data.join(loss.gradient(errors, sc, st, "_key", "_at"), ["_key", "_at"]).join(fixed, ["_key", "_at"])
+    else:
+        drawn = loss.random_gradient(errors, params.max_levels, params.max_categories, params.hier_freq, params.seed, number, "_key", "_at")
+        moved = data.join(drawn, ["_key", "_at"])
+    made = written(moved.select(*columns), "gradients")  # read by every job of the tree
+    return made, made
+
+
+def _within(st: DataFrame, data: DataFrame, date: str) -> DataFrame:
+    """A temporal membership over the dates of ``data``, in each fold one of its own, with the weights that its nodes have there."""
+    times = data.select("_fold", "_at").distinct().withColumn("t", F.date_from_unix_date((F.col("_at") - F.col("_fold") * FOLD_DAYS).cast("int")))
+    own = st.withColumnRenamed(date, "t") if date in st.columns else st
+    rows = own.withColumn("t", F.col("t").cast("date")).join(times, "t")
+    return cut_lineage(loss.weighted(rows.select("level_id", "aggregation", F.concat_ws("\u0001", "_fold", "value").alias("value"), "_at"), "_at"))
+
+
+def _advanced(data: DataFrame, trees: dict[int, Tree], rate: float, width: int) -> DataFrame:
+    """``data`` with ``raw`` moved by the fold's new tree."""
+    at = data.columns.index("bins")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds, bins, raw = batch.column(0).to_numpy(), matrix(batch.column(at), width), batch.column(at + 1).to_numpy().copy()
+            for fold in np.unique(folds):
+                rows = folds == fold
+                raw[rows] += rate * trees[int(fold)].predict(bins[rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw)], schema=batch.schema)
 
-def _within(st: DataFrame | None, data: DataFrame, date: str) -> DataFrame | None:
-    """A temporal membership over the dates of ``data`` only, with the weights that its nodes have there."""
-    if st is None:
-        return None
-    return cut_lineage(loss.weighted(st.join(data.select(date).distinct(), date, "left_semi"), date))
+    return data.mapInArrow(run, data.schema)
 
 
-def _advanced(data: DataFrame, fitted, names: list[str], leaves: dict[int, float], rate: float) -> DataFrame:
-    steps = F.array([F.lit(leaves.get(i, 0.0)) for i in range(max(leaves, default=0) + 1)])
-    moved = fitted.transform(_assembled(data, names))
-    return cut_lineage(moved.withColumn("raw", F.col("raw") + F.lit(rate) * F.coalesce(F.get(steps, F.col("_leaf").cast("int")), F.lit(0.0))).drop("_p", "_f", "_leaf"))
+def scores(rows: DataFrame, folds: list[int], params: Params, sc: DataFrame | None, st: DataFrame | None) -> dict[int, float]:
+    """The metric of each fold's rows; one job."""
+    each = [score(rows.where(F.col("_fold") == f), params, sc, st).select(F.lit(f).alias("fold"), "score") for f in folds]
+    out = each[0]
+    for one in each[1:]:
+        out = out.unionByName(one)
+    return {r["fold"]: r["score"] for r in out.collect()}  # a row for each fold
 
 
-def score(rows: DataFrame, params: Params, sc: DataFrame | None, st: DataFrame | None, key: str, date: str) -> float:
-    """The metric of ``rows`` (key, date, y, raw); lower is better."""
+def score(rows: DataFrame, params: Params, sc: DataFrame | None, st: DataFrame | None) -> DataFrame:
+    """One row ``score``, the metric of ``rows`` (_key, _at, y, raw); lower is better."""
     yhat = F.exp("raw") if params.objective is Objective.TWEEDIE else F.col("raw")
     if params.metric is Metric.HIERARCHICAL:
-        return loss.metric(rows.select(key, date, (yhat - F.col("y")).alias("e")), sc, st, key, date).first()[0]
+        return loss.metric(rows.select("_key", "_at", (yhat - F.col("y")).alias("e")), sc, st, "_key", "_at").select(F.col("hmse").alias("score"))
     if params.metric is Metric.TWEEDIE:
         x, p = F.log(F.greatest(yhat, F.lit(1e-9))), params.power
-        return rows.agg(F.avg(F.exp((2 - p) * x) / (2 - p) - F.col("y") * F.exp((1 - p) * x) / (1 - p))).first()[0]
-    return rows.agg(F.avg(F.pow(yhat - F.col("y"), 2))).first()[0]
+        return rows.agg(F.avg(F.exp((2 - p) * x) / (2 - p) - F.col("y") * F.exp((1 - p) * x) / (1 - p)).alias("score"))
+    return rows.agg(F.avg(F.pow(yhat - F.col("y"), 2)).alias("score"))
 
 
 def folds(dates: DataFrame, n_splits: int = 6, n_days: int = 28, n_years: int = 3, date: str = "date") -> DataFrame:
@@ -282,39 +301,115 @@ def within(rows: DataFrame, first, last, date: str = "date") -> DataFrame:
     return rows.where(F.col(date).between(F.lit(first), F.lit(last)))
 
 
-def suggestions(n: int, base: Params, seed: int = 0) -> list[Params]:
-    """Random draws from the search space; what ``base`` fixes by objective stays."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(n):
-        draw = replace(
-            base,
-            l1=float(10 ** rng.uniform(-8, 1)),
-            l2=float(10 ** rng.uniform(-8, 1)),
-            depth=int(rng.integers(3, 11)),  # 8 to 1024 leaves
-            bagging_freq=int(rng.integers(1, 8)),
-            feature_share=float(rng.uniform(0.4, 1)),
-            row_share=float(rng.uniform(0.4, 1)),
-            min_rows=int(10 ** rng.uniform(np.log10(5), np.log10(5000))),
-        )
-        if base.objective is Objective.TWEEDIE:
-            draw = replace(draw, power=float(rng.uniform(1.1, 1.9)))
-        if base.objective is Objective.RANDOM:
-            draw = replace(draw, max_levels=int(rng.integers(2, 11)), max_categories=int(rng.integers(2, 1001)), hier_freq=int(rng.integers(1, 8)))
-        out.append(draw)
-    return out
-
-
-def tune(rows: DataFrame, features: list[str], trials: list[Params], fold_rows: list, sc=None, st=None, key: str = "member", date: str = "date") -> list[tuple[Params, float, int]]:
-    """``(params, mean score, mean best round)`` of each trial over the folds, best first."""
-    out = []
-    for params in trials:
-        scores, rounds = [], []
-        for f in fold_rows:
-            model = fit(within(rows, f["train_start"], f["train_end"], date), features, params, sc, st, key, date, valid=within(rows, f["test_start"], f["test_end"], date))
-            scores.append(min(model.scores))
-            rounds.append(int(np.argmin(model.scores)) + 1)
-        out.append((params, float(np.mean(scores)), round(float(np.mean(rounds)))))
-    return sorted(out, key=lambda x: x[1])
+#: Fixed values, the search space: name, least, greatest, whether whole, whether by logarithm.
+SPACE = [
+    ("l1", 1e-8, 10.0, False, True),
+    ("l2", 1e-8, 10.0, False, True),
+    ("leaves", 8, 1024, True, False),
+    ("feature_share", 0.4, 1.0, False, False),
+    ("row_share", 0.4, 1.0, False, False),
+    ("bagging_freq", 1, 7, True, False),
+    ("min_rows", 5, 5000, True, True),
+]
+TWEEDIE_SPACE = [("power", 1.1, 1.9, False, False)]
+RANDOM_SPACE = [("max_levels", 2, 10, True, False), ("max_categories", 2, 1000, True, False), ("hier_freq", 1, 7, True, False)]
+#: Trials that are drawn at random first; candidates that a later trial is chosen from.
+STARTERS, CANDIDATES = 10, 24
+
+
+def space_of(objective: Objective) -> list[tuple]:
+    return SPACE + (TWEEDIE_SPACE if objective is Objective.TWEEDIE else []) + (RANDOM_SPACE if objective is Objective.RANDOM else [])
+
+
+def suggestion(base: Params, done: list[tuple[Params, float]], number: int) -> Params:
+    """The parameters of trial ``number``, given finished trials and their scores: a tree-structured Parzen estimator.
+
+    Trials are cut at their best quarter (25 at most); of ``CANDIDATES`` drawn around the good ones, each parameter on its own, the
+    one is taken whose density among the good over that among the others is largest.
+    The first ``STARTERS`` are drawn evenly.  A trial depends on ``seed``, its number and the trials before it only.
+    """
+    rng = np.random.default_rng([base.seed, number])
+    drawn = {}
+    order = sorted(range(len(done)), key=lambda i: (done[i][1], i))
+    good = set(order[: min(25, math.ceil(0.25 * len(order)))])
+    for name, low, high, whole, logs in space_of(base.objective):
+        a, b = (math.log(low), math.log(high)) if logs else (float(low), float(high))
+        if len(done) < STARTERS:
+            x = float(rng.uniform(a, b))
+        else:
+            known = np.array([math.log(getattr(p, name)) if logs else float(getattr(p, name)) for p, _ in done])
+            best, rest = (np.array([v for i, v in enumerate(known) if (i in good) == side]) for side in (True, False))
+            centres = np.append(best, (a + b) / 2)
+            widths = np.append(np.full(len(best), max((b - a) / 20, (b - a) / (1 + len(best)))), b - a)
+            pick = rng.integers(0, len(centres), CANDIDATES)
+            tries = np.clip(rng.normal(centres[pick], widths[pick]), a, b)
+            x = float(tries[np.argmax(_density(tries, best, a, b) - _density(tries, rest, a, b))])
+        value = math.exp(x) if logs else x
+        drawn[name] = int(min(high, max(low, round(value)))) if whole else min(high, max(low, value))
+    return replace(base, **drawn)
+
+
+def _density(x: np.ndarray, points: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Logarithm of a mixture of normal kernels at ``points``, and a wide one over the range."""
+    centres = np.append(points, (a + b) / 2)
+    widths = np.append(np.full(len(points), max((b - a) / 20, (b - a) / (1 + len(points)))), b - a)
+    return np.log(np.mean(np.exp(-0.5 * ((x[:, None] - centres) / widths) ** 2) / widths, axis=1) + 1e-300)
+
+
+def over_folds(rows: DataFrame, fold_rows: list, date: str = "date") -> DataFrame:
+    """``rows`` once for each fold that has them, with ``_fold`` and ``_train``."""
+    spans = [F.struct(F.lit(f["fold"]).alias("fold"), *[F.lit(f[c]).alias(c) for c in ("train_start", "train_end", "test_start", "test_end")]) for f in fold_rows]
+    spread = rows.withColumn("_span", F.explode(F.array(*spans)))
+    train = F.col(date).between(F.col("_span.train_start"), F.col("_span.train_end"))
+    test = F.col(date).between(F.col("_span.test_start"), F.col("_span.test_end"))
+    return spread.where(train | test).withColumns({"_fold": F.col("_span.fold").cast("int"), "_train": train}).drop("_span")
+
+
+def trial_score(rows: DataFrame, features: list[str], params: Params, fold_rows: list, sc=None, st=None, key: str = "member", date: str = "date", categories: tuple[str, ...] = ()) -> tuple[float, int]:
+    """Mean best score and mean best round over the folds, which are boosted in lockstep."""
+    folds = [int(f["fold"]) for f in fold_rows]
+    models = fit_folds(over_folds(rows, fold_rows, date), folds, features, params, sc, st, key, date, categories=categories)
+    return float(np.mean([min(m.scores) for m in models.values()])), int(np.mean([int(np.argmin(m.scores)) + 1 for m in models.values()]))
+
+
+TRIAL_SCHEMA = "number int, params string, score double, best_round int"
+
+
+def study(
+    rows: DataFrame, features: list[str], base: Params, n_trials: int, fold_rows: list, sc=None, st=None, key: str = "member", date: str = "date",
+    path: str | None = None, categories: tuple[str, ...] = (),
+) -> list[tuple[Params, float, int]]:
+    """``(params, mean score, best round)`` of each trial, best first.
+
+    Trials come one after the other, each suggested by those before.  With ``path`` each is
+    written there as it ends (a row of a few numbers), and a study that was broken off goes on after its last whole trial.
+    """
+    spark, done = rows.sparkSession, []
+    rows = cut_lineage(rows)
+    for number in range(n_trials):
+        place = None if path is None else f"{path}/trial={number}"
+        if place is not None and complete_at(spark, place):
+            r = spark.read.schema(TRIAL_SCHEMA).parquet(place).first()
+            done.append((params_of(json.loads(r["params"])), r["score"], r["best_round"]))
+            continue
+        params = suggestion(base, [(p, s) for p, s, _ in done], number)
+        found = (params, *trial_score(rows, features, params, fold_rows, sc, st, key, date, categories))
+        done.append(found)
+        if place is not None:
+            told = json.dumps(asdict(params) | {"objective": params.objective.value, "metric": params.metric.value})
+            spark.createDataFrame([(number, told, found[1], found[2])], TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(place)
+    return sorted(done, key=lambda x: x[1])
+
+
+def tuned(trials: list[tuple[Params, float, int]], base: Params) -> Params:
+    """``base`` with the best trial's parameters, and its best round as the number of rounds; ``base`` itself without trials."""
+    return replace(trials[0][0], rounds=max(1, trials[0][2]), seed=base.seed) if trials else base
+
+
+def tune(rows: DataFrame, features: list[str], trials: list[Params], fold_rows: list, sc=None, st=None, key: str = "member", date: str = "date", categories: tuple[str, ...] = ()) -> list[tuple[Params, float, int]]:
+    """``(params, mean score, mean best round)`` of each of given trials over the folds, best first."""
+    rows = cut_lineage(rows)
+    return sorted(((p, *trial_score(rows, features, p, fold_rows, sc, st, key, date, categories)) for p in trials), key=lambda x: x[1])
 
 
 def recursive_predict(
@@ -429,6 +524,8 @@ def run_experiment(
     n_years: int = 3,
     fold_rows: list | None = None,
     models: str | None = None,
+    n_trials: int = 0,
+    categories: tuple[str, ...] = (),
     level: str = "aggregation",
     key: str = "value",
     date: str = "date",
@@ -440,7 +537,8 @@ def run_experiment(
     to all of them, setting 2 one to each level; both predict the past from its features
     and the ``days`` ahead recursively.  Setting 3 fits the bottom level, predicts the days ahead
     and sums up.  With ``fold_rows`` (of ``folds``) the number of rounds is where the experiment's metric
-    is best on average over the folds, and ``score`` is that metric.  ``models`` is a folder of saved models; found ones are used, with the
+    is best on average over the folds, and ``score`` is that metric; with ``n_trials`` a study over the folds comes first,
+    and its best trial's parameters are used.  ``models`` is a folder of saved models and trials; found ones are used, with the
     time they took.  ``sc`` names members as ``member``, ``st`` dates as ``t``.
     """
     setting, params, sides = experiment(name, base)
@@ -456,16 +554,21 @@ def run_experiment(
     for group in groups:
         own = window if group is None else window.where(F.col(level) == group)
 
-        def make(own: DataFrame = own) -> Booster:
+        place = None if models is None else f"{models}/{name}/seed={params.seed}/{group or 'all'}"
+
+        def make(own: DataFrame = own, place: str | None = place) -> Booster:
             chosen, score = params, []
-            if fold_rows:
-                _, best, rounds = tune(own, features, [params], fold_rows, own_sc, own_st, "member", date)[0]
+            if fold_rows and n_trials:
+                trials = study(own, features, params, n_trials, fold_rows, own_sc, own_st, "member", date, None if place is None else f"{place}/trials", categories)
+                chosen, score = tuned(trials, params), [trials[0][1]]
+            elif fold_rows:
+                _, best, rounds = tune(own, features, [params], fold_rows, own_sc, own_st, "member", date, categories)[0]
                 chosen, score = replace(params, rounds=max(1, rounds)), [best]
-            made = fit(training_window(own, end_train, n_years, date), features, chosen, own_sc, own_st, "member", date)
+            made = fit(training_window(own, end_train, n_years, date), features, chosen, own_sc, own_st, "member", date, categories=categories)
             made.scores = score
             return made
 
-        model = fit_or_load(rows.sparkSession, None if models is None else f"{models}/{name}/seed={params.seed}/{group or 'all'}", make)
+        model = fit_or_load(rows.sparkSession, place, make)
         trained += model.t_train
         ahead = recursive_predict(model, own, rows, days, [level, key], "y", date).withColumn("in_sample", F.lit(False))
         if setting != 3:
@@ -485,17 +588,30 @@ def run_experiment(
     return out, {"t_tune": max(0.0, tuned), "t_train": trained, "t_predict": time.perf_counter() - began}
 
 
-def run_grid(names: list[str], seeds: range, run, path: str, spark: SparkSession) -> DataFrame:
-    """Run experiments ``run(name, seed)`` for every name and seed, each an independent job; forecasts and times are written below ``path``.
+def run_grid(names: list[str], seeds: range, run: Callable, path: str, spark: SparkSession, parallel: int = 4) -> DataFrame:
+    """Run experiments ``run(name, seed)`` for every name and seed, ``parallel`` at a time; forecasts and times are written below ``path``.
 
-    What a scenario and seed has written is not run again.  Returns the forecasts.
+    Each run is independent, in a scheduler pool of its own (fair where the session schedules so), and its times, which are written last,
+    are its mark: what a scenario and seed has written to its end is not run again.  The first error is raised when the runs that
+    had begun are through.  Returns the forecasts.
     """
-    for name in names:
-        for seed in seeds:
-            place = f"scenario={name}/seed={seed}"
-            if exists(spark, f"{path}/timings/{place}"):
-                continue
-            out, times = run(name, seed)
-            out.drop("seed").write.mode("overwrite").parquet(f"{path}/forecasts/{place}")
-            spark.createDataFrame([tuple(map(float, times.values()))], ", ".join(f"{k} double" for k in times)).write.mode("overwrite").parquet(f"{path}/timings/{place}")
+
+    def one(name: str, seed: int) -> None:
+        place = f"scenario={name}/seed={seed}"
+        if complete_at(spark, f"{path}/timings/{place}"):
+            return
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{seed}")
+        out, times = run(name, seed)
+        out.drop("seed").write.mode("overwrite").parquet(f"{path}/forecasts/{place}")
+        spark.createDataFrame([tuple(map(float, times.values()))], ", ".join(f"{k} double" for k in times)).write.mode("overwrite").parquet(f"{path}/timings/{place}")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        waiting = [pool.submit(one, name, seed) for name in names for seed in seeds]
+        try:
+            for each in waiting:
+                each.result()
+        except BaseException:
+            for each in waiting:
+                each.cancel()
+            raise
     return spark.read.parquet(f"{path}/forecasts")

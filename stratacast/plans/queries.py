@@ -633,7 +633,7 @@ def _recursion(spark, d):
 FEATURES = [*(f"y_lag{k}" for k in features.LAGS), *(f"y_lag1_mavg{n}" for n in features.WINDOWS), "dayofweek", "dayofmonth", "weekofyear", "monthofyear"]
 HORIZON = 28
 #: The rounds and folds of the registered experiments; README states them beside the original's.
-ROUNDS = boost.Params(rounds=6, rate=0.3, depth=4, patience=2)
+ROUNDS = boost.Params(rounds=6, rate=0.3, leaves=31, patience=2)
 N_FOLDS = 1
 
 
@@ -709,6 +709,5 @@ def _mobility(spark, d):
 def _tune(spark, d):
     rows, days = _forecast_rows(spark, d)
     bottom = rows.where((F.col("aggregation") == "bottom") & (F.col("date") < F.lit(days[0])))
-    trials = [ROUNDS, *boost.suggestions(2, ROUNDS)]
-    found = boost.tune(bottom, FEATURES, trials, boost.folds(bottom, 2, HORIZON).collect(), key="value")
-    return spark.createDataFrame([(p.depth, p.l1, p.l2, s, r) for p, s, r in found], "depth int, l1 double, l2 double, score double, best_round int")
+    found = boost.study(bottom, FEATURES, ROUNDS, 3, boost.folds(bottom, 2, HORIZON).collect(), key="value")
+    return spark.createDataFrame([(p.leaves, p.l1, p.l2, s, r) for p, s, r in found], "leaves int, l1 double, l2 double, score double, best_round int")
