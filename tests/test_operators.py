@@ -1,13 +1,14 @@
 """Identities and small exact cases."""
 
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratacast.functions import scalars
-from stratacast.operators import baselines, boost, features, hierarchy, loss, prepare, reconcile
+from stratacast.operators import baselines, boost, features, hierarchy, loss, prepare, ranking, reconcile, trees
 from stratacast.sources import tables
 
 LEVELS = hierarchy.Hierarchy.of([["g"]], ["g", "i"])
@@ -386,3 +387,131 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.date), r.event_type, r.y) for r in spark.sql("select * from daily").collect()) == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1)]
+
+
+def plain_tree(bins, g, h, leaves, min_rows, l2):
+    """Best-first growth by brute force on whole rows; the sums of squared steps of its leaves' rows."""
+    def worth(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + l2)
+
+    def best(rows):
+        found = None
+        for j in range(bins.shape[1]):
+            for t in np.unique(bins[rows, j])[:-1]:
+                left, right = rows[bins[rows, j] <= t], rows[bins[rows, j] > t]
+                if min(len(left), len(right)) >= min_rows:
+                    gain = worth(left) + worth(right) - worth(rows)
+                    if gain > 1e-9 and (found is None or gain > found[0] + 1e-12):
+                        found = (gain, left, right)
+        return found
+
+    parts = [np.arange(len(bins))]
+    splits = [best(parts[0])]
+    while len(parts) < leaves and any(s is not None for s in splits):
+        at = max((i for i, s in enumerate(splits) if s is not None), key=lambda i: splits[i][0])
+        _, left, right = splits[at]
+        parts[at], splits[at] = left, best(left)
+        parts.append(right)
+        splits.append(best(right))
+    out = np.zeros(len(bins))
+    for rows in parts:
+        out[rows] = -g[rows].sum() / (h[rows].sum() + l2)
+    return out, len(parts)
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 12])
+def test_trees_grow_best_first(spark, leaves):
+    rng = np.random.default_rng(leaves)
+    bins = rng.integers(1, 8, (300, 3)).astype(np.uint8)
+    g, h = rng.normal(size=300) + (bins[:, 0] > 4) - 2.0 * (bins[:, 1] * bins[:, 2] > 20), rng.uniform(0.5, 2, 300)
+    rows = [(i % 2, bytes(b), float(x), float(y)) for i, (b, x, y) in enumerate(zip(bins, g, h, strict=True))]
+    step = spark.createDataFrame(rows, "fold int, bins binary, grad double, hess double").repartition(3)
+    made = trees.grow(step, [0, 1], [False] * 3, [0, 1, 2], trees.Limits(leaves, 16, 5, 0.0, 1.0), 10)
+    for fold in (0, 1):
+        own = slice(fold, None, 2)
+        want, n = plain_tree(bins[own], g[own], h[own], leaves, 5, 1.0)
+        assert np.allclose(made[fold].predict(bins[own]), want) and (made[fold].feature < 0).sum() == n
+
+
+def test_categories_split_by_their_steps_not_by_their_order(spark):
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(t), float(t % 6), 10.0 if t % 6 in (0, 3, 5) else 0.0) for t in range(120)]
+    df = spark.createDataFrame(rows, "member string, date date, code double, y double")
+    params = boost.Params(rounds=1, rate=1.0, leaves=2, min_rows=1)
+    found = boost.fit(df, ["code"], params, categories=("code",)).predict(df).toPandas()
+    assert np.allclose(found["yhat"], found["y"])
+    assert not np.allclose(*(boost.fit(df, ["code"], params).predict(df).toPandas()[c] for c in ("yhat", "y")))
+
+
+def test_folds_in_lockstep_equal_fits_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [("uvw"[i], dt.date(2020, 1, 1) + dt.timedelta(t), float(rng.integers(0, 5)), float(rng.normal() + i)) for i in range(3) for t in range(40)]
+    df = spark.createDataFrame(rows, "member string, date date, x double, y double")
+    sc = hierarchy.membership(df.withColumn("g", F.col("member") != "u"), hierarchy.Hierarchy.of([["g"]], ["g", "member"]), "name").withColumn("member", F.substring_index("name", "-", -1)).drop("name")
+    spans = [{"fold": f, "train_start": dt.date(2020, 1, 1), "train_end": dt.date(2020, 1, 20 + f), "test_start": dt.date(2020, 1, 21 + f), "test_end": dt.date(2020, 1, 25 + f)} for f in (1, 2)]
+    params = boost.Params(objective=boost.Objective.HIERARCHICAL, metric=boost.Metric.HIERARCHICAL, rounds=3, rate=0.5, leaves=4, min_rows=2)
+    both = boost.fit_folds(boost.over_folds(df, spans), [1, 2], ["x"], params, sc, key="member", categories=("x",))
+    for s in spans:
+        train, test = (boost.within(df, s[f"{k}_start"], s[f"{k}_end"]) for k in ("train", "test"))
+        own = boost.fit(train, ["x"], params, sc, key="member", valid=test, categories=("x",))
+        assert np.allclose(own.scores, both[s["fold"]].scores) and np.isclose(own.start, both[s["fold"]].start)
+
+
+def test_a_study_goes_on_where_it_was_broken_off(monkeypatch, spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(t), float(x := rng.integers(0, 9)), float(x % 3 + 0.1 * rng.normal())) for t in range(60)]
+    df = spark.createDataFrame(rows, "member string, date date, x double, y double")
+    spans = [{"fold": 1, "train_start": dt.date(2020, 1, 1), "train_end": dt.date(2020, 2, 10), "test_start": dt.date(2020, 2, 11), "test_end": dt.date(2020, 2, 25)}]
+    base, calls = boost.Params(rounds=2, rate=0.5, patience=1, seed=3), []
+    real = boost.trial_score
+    monkeypatch.setattr(boost, "trial_score", lambda *a, **k: calls.append(1) or real(*a, **k))
+    path = f"file://{tmp_path}/study"
+    boost.study(df, ["x"], base, 2, spans, path=path)
+    whole = boost.study(df, ["x"], base, 3, spans, path=path)
+    assert len(calls) == 3 and len(whole) == 3 and whole[0][1] == min(s for _, s, _ in whole)
+    best = boost.tuned(whole, base)
+    assert best.rounds == whole[0][2] and best.leaves == whole[0][0].leaves and best.seed == 3
+
+
+def test_later_trials_gather_near_good_ones():
+    """A score that is least at few leaves and a large l2: the suggestions move there."""
+    base, done = boost.Params(seed=1), []
+    for number in range(60):
+        p = boost.suggestion(base, done, number)
+        assert 8 <= p.leaves <= 1024 and 1e-8 <= p.l1 <= 10 and 0.4 <= p.row_share <= 1 and 5 <= p.min_rows <= 5000
+        done.append((p, abs(np.log(p.leaves / 100)) + abs(np.log10(p.l2) + 3)))
+    first, last = (np.mean([s for _, s in part]) for part in (done[:10], done[-15:]))
+    assert last < 0.7 * first
+    assert boost.suggestion(base, done[:20], 20) == boost.suggestion(base, done[:20], 20)
+
+
+def test_the_grid_runs_side_by_side_and_mends_what_is_half_written(spark, tmp_path):
+    barrier, path = threading.Barrier(2, timeout=60), f"file://{tmp_path}/grid"
+
+    def run(name, seed):
+        barrier.wait()  # only met if two runs are under way at once
+        return spark.createDataFrame([(name, seed, 1.5)], "method string, seed int, yhat double"), {"t_train": 1.0}
+
+    boost.run_grid(["a", "b"], range(1), run, path, spark, parallel=2)
+    (tmp_path / "grid/timings/scenario=a/seed=0/_SUCCESS").unlink()
+    calls = []
+
+    def again(name, seed):
+        calls.append(name)
+        return spark.createDataFrame([(name, seed, 2.5)], "method string, seed int, yhat double"), {"t_train": 1.0}
+
+    assert {r["scenario"]: r["yhat"] for r in boost.run_grid(["a", "b"], range(1), again, path, spark).collect()} == {"a": 2.5, "b": 1.5} and calls == ["a"]
+    with pytest.raises(ZeroDivisionError):
+        boost.run_grid(["c"], range(1), lambda n, s: 1 / 0, path, spark)
+
+
+def test_places_in_an_order_and_memo_of_half_written_tables(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i // 4, "x") for i in range(200)], "g int, v int, g0 string").repartition(5)
+    got = ranking.numbered(df, ["v"], ["g"]).toPandas()
+    for _, own in got.groupby("g", dropna=False):
+        own = own.sort_values("number")
+        assert own["number"].tolist() == list(range(len(own))) and own["v"].is_monotonic_increasing
+    assert sorted(r[0] for r in ranking.numbered(df, ["v"]).select("number").collect()) == list(range(200))
+    place = f"file://{tmp_path}/memo"
+    tables.memoised(spark, place, lambda: df)
+    (tmp_path / "memo/_SUCCESS").unlink()
+    assert tables.memoised(spark, place, lambda: df.limit(3)).count() == 3
