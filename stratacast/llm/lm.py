@@ -36,7 +36,7 @@ CLASSES, WIDTH, SIZE, CONTEXT = 64, 256, 24, 2
 VOCABULARY = CLASSES * WIDTH
 #: Frequent tokens whose counts are broadcast; the vocabulary is the first of them.
 FREQUENT = 1 << 18
-ROUNDS, BATCH, NOISE, RATE, TURN_RATE = 2, 1 << 12, 32, 0.3, 0.1
+ROUNDS, BATCH, NOISE, RATE, TURN_RATE = 2, 1 << 13, 16, 0.4, 0.1
 #: Tokens that are worked on at once, and values in a row of a model that is sent.
 CHUNK, PART = 1 << 18, 1 << 12
 #: The end of a text, a token that no word equals.
@@ -114,23 +114,32 @@ def class_spans(ids: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    chosen = scores[np.arange(len(at)), at] - top
-    scores -= top[:, None]
+    """Logarithms of the softmax of each row at one column; ``scores`` is overwritten."""
+    chosen = scores[np.arange(len(at)), at]
+    if scores.max(initial=0.0) > 60:  # beyond that the sum could overflow
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        chosen = chosen - top
     np.exp(scores, out=scores)
-    return chosen - np.log(scores.sum(axis=1))
+    return chosen - np.log(scores @ np.ones(scores.shape[1], dtype=scores.dtype))
 
 
-def log_probs(model: Model, ids: np.ndarray, before: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+def with_bias(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Vectors with their bias as one more component, so that a product holds it."""
+    return np.column_stack([vectors, bias])
+
+
+def log_probs(model: Model, ids: np.ndarray, before: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
     """Natural logarithms of each token's probability; for other tokens (id ``VOCABULARY``), of their class."""
-    out, order = np.empty(len(ids)), np.argsort(ids, kind="stable")
+    out, order = np.empty(len(ids)), np.argsort(ids.astype(np.int16 if VOCABULARY < 1 << 15 else np.int32), kind="stable")
+    classes, words = with_bias(model.class_vectors, model.class_bias), with_bias(model.word_vectors, model.word_bias)
     for a in range(0, len(ids), chunk):
         some = order[a : a + chunk]
         own, hidden = ids[some], predicted(model, before[:, some])
-        found = log_softmax_at(hidden @ model.class_vectors.T + model.class_bias, np.minimum(own // WIDTH, CLASSES))
+        hidden = np.column_stack([hidden, np.ones(len(own), dtype=hidden.dtype)])
+        found = log_softmax_at(hidden @ classes.T, np.minimum(own // WIDTH, CLASSES))
         for c, i, j in class_spans(own):
-            span = slice(c * WIDTH, (c + 1) * WIDTH)
-            found[i:j] += log_softmax_at(hidden[i:j] @ model.word_vectors[span].T + model.word_bias[span], own[i:j] - c * WIDTH)
+            found[i:j] += log_softmax_at(hidden[i:j] @ words[c * WIDTH : (c + 1) * WIDTH].T, own[i:j] - c * WIDTH)
         out[some] = found
     return out
 
@@ -164,9 +173,12 @@ class Trainer:
     def contrast(self, hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray, noise: np.ndarray, chance: np.ndarray):
         """Gradients of one contrast of true ``at`` and drawn ``noise``: by hidden rows, by the true ones' score, by noise vectors and biases."""
         shift = np.log(len(noise) * chance + 1e-30).astype(np.float32)
-        true = 1 / (1 + np.exp(-np.clip((hidden * vectors[at]).sum(axis=1) + bias[at] - shift[at], -30, 30))) - 1
-        false = 1 / (1 + np.exp(-np.clip(hidden @ vectors[noise].T + bias[noise] - shift[noise], -30, 30)))
-        return true[:, None] * vectors[at] + false @ vectors[noise], true, false.T @ hidden, false.sum(axis=0)
+        level, own, drawn = bias - shift, vectors[at], vectors[noise]
+        true = -1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, own) + level[at]))
+        false = 1 / (1 + np.exp(-level[noise] - hidden @ drawn.T))
+        own *= true[:, None]
+        own += false @ drawn
+        return own, true, false.T @ hidden, false.sum(axis=0)
 
     def batch(self, ids: np.ndarray, before: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
@@ -207,7 +219,8 @@ class Trainer:
     def learn(self, ids: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(ids))
         for a in range(0, len(ids), BATCH):
-            self.batch(ids[order[a : a + BATCH]], before[:, order[a : a + BATCH]])
+            with np.errstate(over="ignore"):  # a far score is a certain one
+                self.batch(ids[order[a : a + BATCH]], before[:, order[a : a + BATCH]])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, places: dict[bytes, int], chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
