@@ -68,6 +68,12 @@ def bucketed_rmse(pairs: DataFrame, history: DataFrame, bounds: tuple[int, ...]
     return series.join(weekly.withColumn("bucket", label), ["aggregation", "value"]).groupBy("method", "bucket").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("n"))
 
 
+def in_level_order(errors: DataFrame, levels: list[str]) -> DataFrame:
+    """Errors sorted by level, in the order of ``levels`` and then any others by name, and by method."""
+    place = F.array_position(F.array(*map(F.lit, levels)), F.col("aggregation"))
+    return errors.orderBy(F.when(place > 0, place).otherwise(len(levels) + 1), "aggregation", *[c for c in ("scenario", "method") if c in errors.columns])
+
+
 def by_level(errors: DataFrame, kind: str, levels: list[str], method: str = "method") -> DataFrame:
     """One row per method, one column per level."""
     return errors.groupBy(method).pivot("aggregation", levels).agg(F.first(kind))

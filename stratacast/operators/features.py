@@ -111,7 +111,7 @@ def forecast_set(
 ) -> DataFrame:
     """Targets and features of every node: lags, rolling means, calendar, prices and attributes of dates.
 
-    Price and weeks on sale are filled per member and averaged over members; the
+    Prices are filled both ways per member, missing weeks on sale are 0, and both are averaged over members; the
     price feature is the previous price over the current one, less one.
     """
     dense = dense_panel(facts.groupBy(*hierarchy.bottom, date).agg(F.sum(target).alias(target)), list(hierarchy.bottom), date, target)
@@ -121,7 +121,8 @@ def forecast_set(
     if extra:
         first = facts.groupBy(*hierarchy.bottom, date).agg(*[F.min(c).alias(c) for c in extra])  # of several rows, the least
         filled = dense.select(*hierarchy.bottom, date).join(first, [*hierarchy.bottom, date], "left")
-        filled = filled.withColumns({c: filled_both_ways(c, hierarchy.bottom, date) for c in extra}).withColumn("member", hierarchy.key())
+        fills = {c: filled_both_ways(c, hierarchy.bottom, date) if c == price else F.coalesce(c, F.lit(0)) for c in extra}
+        filled = filled.withColumns(fills).withColumn("member", hierarchy.key())
         means = mean_over_members(filled, membership(facts, hierarchy), [date], extra)
         if price:
             w = _over(SERIES, date)

@@ -35,3 +35,9 @@ def product_table(calendar: DataFrame, sales: DataFrame, prices: DataFrame, hori
     rows = rows.join(priced, ["item_id_enc", "store_id_enc", "wm_yr_wk"], "left")
     rows = backfilled(rows, "sell_price", ["id_enc"], ["date"], across=True).withColumn("weeks_on_sale", F.coalesce("weeks_on_sale", F.lit(0)))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PRODUCT_SCHEMA])
+
+
+def save_products(products: DataFrame, table: str, buckets: int = 64) -> None:
+    """Write products as a table in buckets of store and item, sorted within: joins and windows by these, and readers of one store, need no shuffle."""
+    by = ["store_id_enc", "item_id_enc"]
+    products.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, "date").saveAsTable(table)

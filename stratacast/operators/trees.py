@@ -171,7 +171,8 @@ def node_sums(step: DataFrame, trees: dict[int, Tree], asked: dict[int, list[int
 
     Each task adds up its own rows; what is shuffled is a row for each task, node and feature.
     """
-    shared = step.sparkSession.sparkContext.broadcast((trees, asked))
+    plain = {f: (t.feature, t.left_bins, t.left, t.right, t.value) for f, t in trees.items()}  # a broadcast knows no classes of this package
+    shared = step.sparkSession.sparkContext.broadcast((plain, asked))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wanted = shared.value
@@ -183,7 +184,7 @@ def node_sums(step: DataFrame, trees: dict[int, Tree], asked: dict[int, list[int
                 rows = np.flatnonzero(folds == fold)
                 if int(fold) not in wanted:
                     continue
-                at = held[int(fold)].leaves(bins[rows])
+                at = Tree(*held[int(fold)]).leaves(bins[rows])
                 for node in wanted[int(fold)]:
                     own = rows[at == node]
                     if not len(own):

@@ -16,7 +16,8 @@ MONTHLY = Hierarchy.of([["region"], ["nation"], ["brand"]], ["region", "nation",
 TIME = Hierarchy(tuple(map(tuple, TIME_LEVELS)), ("date",), "day")
 
 
-def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines with their supplier and nation."""
     return (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -26,7 +27,7 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.col("n_regionkey").alias("region"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.to_date("l_shipdate").alias("date")]
-    return _sales(spark, sf_dir).groupBy(*keys).agg(F.sum("l_quantity").alias("y"), (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity")).alias("price"))
+    return sales_rows(spark, sf_dir).groupBy(*keys).agg(F.sum("l_quantity").alias("y"), (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity")).alias("price"))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monthly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(region, nation, brand, month, y)``."""
-    joined = _sales(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = sales_rows(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     keys = [F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("p_brand").alias("brand"), F.trunc("l_shipdate", "month").alias("month")]
     return joined.groupBy(*keys).agg(F.sum("l_quantity").alias("y"))
 

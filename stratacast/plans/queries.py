@@ -5,14 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import baselines, boost, evaluate, features, hierarchy, loss, reconcile
+from ..operators import baselines, boost, evaluate, features, hierarchy, loss, prepare, reconcile, trees
 from ..operators.hierarchy import membership, node_sizes
 from ..sources.tables import cut_lineage, table, written
-from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, monthly_panel, naive_errors, time_membership
+from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, monthly_panel, naive_errors, sales_rows, time_membership
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,14 +150,16 @@ def _dense(spark, d):
     return daily_panel(spark, d).select("region", "flag", "status", "member", day(), "y")
 
 
-@query("replace_split", """SELECT x AS name, replace(replace(replace(x, 'Pronto shop 2', 'PS-2'), 'Pronto shop', 'PS-1'), '8D OPS 02', 'OPS-1') AS station,
-split_part(replace(replace(replace(x, 'Pronto shop 2', 'PS-2'), 'Pronto shop', 'PS-1'), '8D OPS 02', 'OPS-1'), '-', 1) AS station_group,
-CAST(split_part(replace(replace(replace(x, 'Pronto shop 2', 'PS-2'), 'Pronto shop', 'PS-1'), '8D OPS 02', 'OPS-1'), '-', 2) AS BIGINT) AS number
-FROM (VALUES ('BT-01'), ('CH-12'), ('Pronto shop'), ('Pronto shop 2'), ('8D OPS 02')) v(x)""")
+STATION = "CASE user_id % 4 WHEN 0 THEN 'Pronto shop 2' WHEN 1 THEN 'Pronto shop' WHEN 2 THEN '8D OPS 02' ELSE concat(event_type, '-0', CAST(user_id % 5 AS VARCHAR)) END"
+
+
+@query("replace_split", f"""SELECT name, station, split_part(station, '-', 1) AS station_group, TRY_CAST(split_part(station, '-', 2) AS BIGINT) AS number, count(*) AS trips
+FROM (SELECT name, replace(replace(replace(name, 'Pronto shop 2', 'PS-2'), 'Pronto shop', 'PS-1'), '8D OPS 02', 'OPS-1') AS station FROM (SELECT {STATION} AS name FROM events)) GROUP BY ALL""")
 def _replace(spark, d):
-    names = spark.createDataFrame([("BT-01",), ("CH-12",), ("Pronto shop",), ("Pronto shop 2",), ("8D OPS 02",)], "name string")
+    names = table(spark, d, "events").select(F.expr(STATION.replace("VARCHAR", "STRING")).alias("name"))
     new = names.withColumn("station", X.replace_in_order(F.col("name"), X.STATION_NAMES))
-    return new.select("name", "station", X.part_of(F.col("station"), 1).alias("station_group"), X.part_of(F.col("station"), 2).cast("long").alias("number"))
+    parts = new.select("name", "station", X.part_of(F.col("station"), 1).alias("station_group"), X.part_of(F.col("station"), 2).cast("long").alias("number"))
+    return parts.groupBy("name", "station", "station_group", "number").agg(F.count("*").alias("trips"))
 
 
 @query("calendar_parts", """SELECT CAST(date AS VARCHAR) AS date, isodow(date) AS dayofweek, day(date) AS dayofmonth, weekofyear(date) AS weekofyear, month(date) AS monthofyear,
@@ -235,6 +238,42 @@ def _extent(spark, d):
     return table(spark, d, "lineitem").agg(F.min(x).cast("string").alias("first"), F.max(x).cast("string").alias("last"), F.countDistinct(x).alias("n_dates"))
 
 
+PRODUCT_HORIZON = 3
+_QUARTER = "10 * year(month) + quarter(month)"
+
+
+@query("product_table", f"""WITH {MONTHLY_SQL}, ids AS (SELECT DISTINCT region, nation, brand, concat(brand, '_', nation) AS id, left(brand, 7) AS dept FROM f),
+c AS (SELECT *, dense_rank() OVER (ORDER BY id) - 1 AS id_enc, dense_rank() OVER (ORDER BY brand) - 1 AS item_id_enc, dense_rank() OVER (ORDER BY dept) - 1 AS dept_id_enc,
+  dense_rank() OVER (ORDER BY CAST(nation AS VARCHAR)) - 1 AS store_id_enc, dense_rank() OVER (ORDER BY CAST(region AS VARCHAR)) - 1 AS state_id_enc FROM ids),
+m AS (SELECT month, row_number() OVER (ORDER BY month DESC) <= {PRODUCT_HORIZON} AS ahead FROM (SELECT DISTINCT month FROM f)),
+q AS (SELECT nation, brand, wk, price, row_number() OVER (PARTITION BY nation, brand ORDER BY wk) AS weeks FROM (
+  SELECT n_nationkey AS nation, p_brand AS brand, {_QUARTER.replace("month", "l_shipdate")} AS wk, min(l_extendedprice) AS price
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)),
+r AS (SELECT c.*, m.month, m.ahead, CASE WHEN ahead THEN 0 ELSE coalesce(y, 0) END AS sales, q.price, coalesce(q.weeks, 0) AS weeks
+  FROM c CROSS JOIN m LEFT JOIN f USING (region, nation, brand, month) LEFT JOIN q ON q.nation = c.nation AND q.brand = c.brand AND q.wk = {_QUARTER.replace("month", "m.month")})
+SELECT sales, CAST(month AS VARCHAR) AS date, id, id_enc, item_id_enc, dept_id_enc, 0 AS cat_id_enc, store_id_enc, state_id_enc, CAST(month(month) % 2 = 0 AS INT) AS snap_CA, CAST(month(month) % 3 = 0 AS INT) AS snap_TX, 0 AS snap_WI,
+  CASE WHEN month(month) = 12 THEN 0 ELSE 1 END AS event_type_1_enc, 0 AS event_type_2_enc,
+  CAST(CAST(first_value(price IGNORE NULLS) OVER (ORDER BY id_enc, month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS FLOAT) AS DOUBLE) AS sell_price, weeks AS weeks_on_sale FROM r""")
+def _products(spark, d):
+    """The product table from stand-ins: months for days, quarters for weeks, brands for items and nations for stores."""
+    facts = monthly_facts(spark, d)
+    months = [r[0] for r in facts.select("month").distinct().orderBy("month").collect()]  # a row for each month
+    name = F.concat("brand", F.lit("_"), "nation")
+    ids = [name.alias("id"), F.col("brand").alias("item_id"), F.substring("brand", 1, 7).alias("dept_id"), F.lit("all").alias("cat_id"), F.col("nation").cast("string").alias("store_id"), F.col("region").cast("string").alias("state_id")]
+    told = facts.select(*ids, F.date_format("month", "'d_'yyyy_MM").alias("d"), "y")
+    wide = told.groupBy(*prepare.IDS).pivot("d", [f"d_{m:%Y_%m}" for m in months[:-PRODUCT_HORIZON]]).agg(F.sum("y")).na.fill(0.0)
+    none = F.lit(None).cast("string")
+    calendar = facts.select("month").distinct().select(
+        F.col("month").cast("string").alias("date"), F.date_format("month", "'d_'yyyy_MM").alias("d"), F.expr(_QUARTER).alias("wm_yr_wk"),
+        none.alias("event_name_1"), F.when(F.month("month") == 12, "Holiday").alias("event_type_1"), none.alias("event_name_2"), none.alias("event_type_2"),
+        (F.month("month") % 2 == 0).cast("int").alias("snap_CA"), (F.month("month") % 3 == 0).cast("int").alias("snap_TX"), F.lit(0).alias("snap_WI"),
+    )
+    prices = sales_rows(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("month", F.trunc("l_shipdate", "month"))
+    prices = prices.groupBy(F.col("n_nationkey").cast("string").alias("store_id"), F.col("p_brand").alias("item_id"), F.expr(_QUARTER).alias("wm_yr_wk")).agg(F.min("l_extendedprice").alias("sell_price"))
+    out = prepare.product_table(calendar, wide, prices, PRODUCT_HORIZON)
+    return out.withColumns({"date": F.col("date").cast("string"), "sell_price": F.col("sell_price").cast("double")})
+
+
 # hierarchies
 
 LEVELS_SQL = f"""WITH {MONTHLY_SQL}
@@ -292,7 +331,8 @@ def _sizes(spark, d):
     return cross.withColumn("side", F.lit("cross")).unionByName(time.withColumn("side", F.lit("time")))
 
 
-@query("level_counts", "SELECT 4::BIGINT AS n_levels, 'cross' AS side UNION ALL SELECT 5, 'time'")
+@query("level_counts", f"""WITH {PANEL}{CROSS}{time_side('p')} SELECT count(DISTINCT level_id) AS n_levels, 'cross' AS side FROM sc
+UNION ALL SELECT count(DISTINCT level_id), 'time' FROM st""")
 def _levels(spark, d):
     facts = daily_facts(spark, d)
     cross, time = hierarchy.level_count(membership(facts, DAILY)), hierarchy.level_count(time_membership(facts))
@@ -336,19 +376,31 @@ def _dropna(spark, d):
     return out.select("member", day(), "y", "y_lag1", "y_lag28", "y_lag364")
 
 
+def _featured(spark, d):
+    """All nodes of the daily panel with every kind of feature; weeks on sale count the weeks with sales, a flag marks the first ten days of a month."""
+    week = F.floor(F.date_diff("date", F.lit("1995-01-02").cast("date")) / 7)
+    weeks = F.dense_rank().over(Window.partitionBy("region", "flag", "status").orderBy(week))
+    facts = daily_facts(spark, d).withColumns({"weeks": weeks, "snap": (F.dayofmonth("date") <= 10).cast("int")})
+    return features.forecast_set(facts, DAILY, price="price", weeks="weeks", per_date=["snap"])
+
+
 @query("forecast_set", f"""WITH {PANEL}{CROSS}, a AS (SELECT level_id, aggregation, value, date, sum(y) AS y FROM p JOIN sc USING (member) GROUP BY ALL),
 q AS (SELECT p.member, p.date, coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY p.member ORDER BY p.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
 first_value(price IGNORE NULLS) OVER (PARTITION BY p.member ORDER BY p.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM p LEFT JOIN f USING (region, flag, status, date)),
 pr AS (SELECT level_id, aggregation, value, date, sum(price) / any_value(n) AS price_avg FROM q JOIN sc USING (member)
 JOIN (SELECT level_id, value, count(*) AS n FROM sc GROUP BY ALL) USING (level_id, value) GROUP BY ALL),
+fw AS (SELECT region, flag, status, date, dense_rank() OVER (PARTITION BY region, flag, status ORDER BY date_diff('day', DATE '1995-01-02', date) // 7) AS weeks FROM f),
+wk AS (SELECT level_id, value, date, sum(coalesce(weeks, 0)) / any_value(n) AS weeks_avg FROM p LEFT JOIN fw USING (region, flag, status, date) JOIN sc USING (member)
+JOIN (SELECT level_id, value, count(*) AS n FROM sc GROUP BY ALL) USING (level_id, value) GROUP BY ALL),
 pc AS (SELECT *, lag(price_avg) OVER (PARTITION BY aggregation, value ORDER BY date) / price_avg - 1 AS price_change FROM pr),
 x AS (SELECT a.*, lag(y, 1) OVER w AS y_lag1, lag(y, 364) OVER w AS y_lag364 FROM a WINDOW w AS (PARTITION BY aggregation, value ORDER BY date)),
 z AS (SELECT *, avg(y_lag1) OVER (PARTITION BY aggregation, value ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS m28 FROM x)
 SELECT level_id, aggregation, value, CAST(date AS VARCHAR) AS date, y, y_lag1, y_lag364, round(m28, 6) AS y_lag1_mavg28, weekofyear(date) AS weekofyear,
-round(price_avg + 1e-7, 4) AS price_avg, round(price_change, 6) AS price_change FROM z JOIN pc USING (level_id, aggregation, value, date) WHERE y_lag364 IS NOT NULL AND price_change IS NOT NULL""")
+round(price_avg + 1e-7, 4) AS price_avg, round(price_change, 6) AS price_change, round(weeks_avg + 1e-7, 4) AS weeks_avg, CAST(day(date) <= 10 AS INT) AS snap
+FROM z JOIN pc USING (level_id, aggregation, value, date) JOIN wk USING (level_id, value, date) WHERE y_lag364 IS NOT NULL AND price_change IS NOT NULL""")
 def _forecast_set(spark, d):
-    out = features.forecast_set(daily_facts(spark, d), DAILY, price="price")
-    return out.select("level_id", "aggregation", "value", day(), "y", "y_lag1", "y_lag364", r6("y_lag1_mavg28").alias("y_lag1_mavg28"), F.col("weekofyear").cast("long"), off_ties("price_avg").alias("price_avg"), r6("price_change").alias("price_change"))
+    out = _featured(spark, d)
+    return out.select("level_id", "aggregation", "value", day(), "y", "y_lag1", "y_lag364", r6("y_lag1_mavg28").alias("y_lag1_mavg28"), F.col("weekofyear").cast("long"), off_ties("price_avg").alias("price_avg"), r6("price_change").alias("price_change"), off_ties("weeks_avg").alias("weeks_avg"), "snap")
 
 
 # the loss
@@ -579,11 +631,13 @@ def _window(spark, d):
     return boost.training_window(rows, last, 1).select("member", day(), "y")
 
 
-@query("missing_seeds", "SELECT 'naive' AS scenario, 1990 AS seed")
+@query("missing_seeds", f"""WITH {SCORED} SELECT method AS scenario, CAST(seed AS INT) AS seed FROM (SELECT DISTINCT method FROM s), unnest(range(1990, 2010)) u(seed)
+EXCEPT SELECT method, year(date) FROM s""")
 def _missing(spark, d):
     rows = _scored(spark, d).withColumn("seed", F.year("date"))
     errors = evaluate.level_errors(rows, "rmse", ("method", "seed")).withColumnRenamed("method", "scenario")
-    return evaluate.missing_seeds(errors, spark.createDataFrame([("naive", 1990), ("naive", 1999)], "scenario string, seed int"))
+    expected = errors.select("scenario").distinct().select("scenario", F.explode(F.sequence(F.lit(1990), F.lit(2009))).alias("seed"))
+    return evaluate.missing_seeds(errors, expected)
 
 
 @query("daily_rmse_7d", f"""WITH {SCORED}, d AS (SELECT method, date, sqrt(avg((yhat - y) ** 2)) AS r FROM s GROUP BY ALL), x AS (SELECT date, dense_rank() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM s))
@@ -622,15 +676,38 @@ def _folds(spark, d):
     return found.select("fold", *[F.col(c).cast("string").alias(c) for c in found.columns[1:]])
 
 
-@query("lag_recursion", f"""WITH {PANEL}, b AS (SELECT member, y, row_number() OVER (PARTITION BY member ORDER BY date DESC) AS k FROM p)
-SELECT member, CAST(2002 AS INT) AS year, round(sum(y) / count(*), 6) AS next_mean7, round(sum(y) / count(*) - sum(y) / count(*) / 7 + max(y) FILTER (k = 1) / 7, 6) AS moved_mean7 FROM b WHERE k <= 7 GROUP BY 1""")
+@query("lag_recursion", f"""WITH {PANEL}, b AS (SELECT member, y, row_number() OVER (PARTITION BY member ORDER BY date DESC) AS k FROM p),
+d1 AS (SELECT member, sum(y) / count(*) AS m, max(y) FILTER (k = 1) AS last FROM b WHERE k <= 7 GROUP BY 1),
+e1 AS (SELECT *, CASE WHEN m <= 30 THEN 1.25 ELSE 40.0 END + CASE WHEN last <= 20 THEN 0.5 ELSE -0.25 END AS y1 FROM d1), d2 AS (SELECT *, m + (y1 - m) / 7 AS m2 FROM e1),
+e2 AS (SELECT *, CASE WHEN m2 <= 30 THEN 1.25 ELSE 40.0 END + CASE WHEN y1 <= 20 THEN 0.5 ELSE -0.25 END AS y2 FROM d2), d3 AS (SELECT *, m2 + (y2 - m2) / 7 AS m3 FROM e2),
+e3 AS (SELECT *, CASE WHEN m3 <= 30 THEN 1.25 ELSE 40.0 END + CASE WHEN y2 <= 20 THEN 0.5 ELSE -0.25 END AS y3 FROM d3)
+SELECT member, '2002-01-01' AS date, round(y1, 6) AS yhat FROM e1 UNION ALL SELECT member, '2002-01-02', round(y2, 6) FROM e2 UNION ALL SELECT member, '2002-01-03', round(y3, 6) FROM e3""")
 def _recursion(spark, d):
-    back = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("date")))
-    tail = daily_panel(spark, d).withColumn("k", back).where("k <= 7").groupBy("member").agg(F.avg("y").alias("m"), F.max(F.when(F.col("k") == 1, F.col("y"))).alias("last"))
-    return tail.select("member", F.lit(2002).alias("year"), r6("m").alias("next_mean7"), r6(F.col("m") - F.col("m") / 7 + F.col("last") / 7).alias("moved_mean7"))
-
-
-FEATURES = [*(f"y_lag{k}" for k in features.LAGS), *(f"y_lag1_mavg{n}" for n in features.WINDOWS), "dayofweek", "dayofmonth", "weekofyear", "monthofyear"]
+    """Three days of a model of two stumps, one on the recursive mean and one on the last value."""
+    stump = lambda j, low, high: trees.Tree(
+        np.array([j, -1, -1]), np.arange(trees.MOST_BINS)[None, :] <= np.array([[1], [-1], [-1]]), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.0, low, high])
+    )
+    binner = trees.Binner([np.array([30.0]), np.array([20.0])], [False, False])
+    model = boost.Booster(boost.Params(rate=1.0), ["y_lag1_mavg7", "y_lag1"], 0.0, binner, [stump(0, 1.25, 40.0), stump(1, 0.5, -0.25)])
+    days = [dt.date(2002, 1, i) for i in (1, 2, 3)]
+    return boost.recursive_predict(model, daily_panel(spark, d), None, days, ["member"]).select("member", day(), r6("yhat").alias("yhat"))
+
+
+@query("boost_bin_sums", f"""WITH {ERRORS}{CROSS}{GRAD_C}, g AS (SELECT sc.member, date, sum(s * d) AS grad, sum(d) AS hess FROM ea JOIN dc USING (level_id, value) JOIN sc USING (level_id, value) GROUP BY ALL)
+SELECT CAST(isodow(date) AS BIGINT) AS dayofweek, count(*) AS n, round(sum(grad), 4) + 0.0 AS grad, round(sum(hess), 6) AS hess FROM g GROUP BY ALL""")
+def _bin_sums(spark, d):
+    """What a boosting round sums up at the root: gradient and hessian of the hierarchical loss by bin of a categorical feature."""
+    e = features.add_calendar(naive_errors(spark, d), parts=("dayofweek",))
+    sc = membership(e, DAILY)
+    binner = trees.fit_binner(e, ["dayofweek"], ("dayofweek",), 16)
+    step = trees.binned(e, ["dayofweek"], binner, ["member", "date"]).join(loss.gradient(e, sc, None, time="date"), ["member", "date"]).join(loss.hessian(e, sc, None, time="date"), ["member", "date"])
+    sums = trees.node_sums(step.withColumn("fold", F.lit(0)), {0: trees.Growth().tree({})}, {0: [0]}, 1, 16)[0, 0][0]
+    rows = [(int(code), int(n), round(float(g), 4) + 0.0, round(float(h), 6)) for code, (n, g, h) in zip(binner.cuts[0], sums[1:], strict=False)]  # a row for each bin
+    return spark.createDataFrame(rows, "dayofweek long, n long, grad double, hess double")
+
+
+FEATURES = [*(f"y_lag{k}" for k in features.LAGS), *(f"y_lag1_mavg{n}" for n in features.WINDOWS), "dayofweek", "dayofmonth", "weekofyear", "monthofyear", "price_avg", "price_change", "weeks_avg", "snap", "aggregation_enc", "value_enc"]
+CATEGORIES = ("dayofweek", "dayofmonth", "weekofyear", "monthofyear", "snap", "aggregation_enc", "value_enc")
 HORIZON = 28
 #: The rounds and folds of the registered experiments; README states them beside the original's.
 ROUNDS = boost.Params(rounds=6, rate=0.3, leaves=31, patience=2)
@@ -639,7 +716,7 @@ N_FOLDS = 1
 
 def _forecast_rows(spark, d):
     """Targets and features of every node of the daily panel, the last day to train on, and the days ahead."""
-    rows = features.forecast_set(daily_facts(spark, d), DAILY)
+    rows = features.label_encoded(_featured(spark, d), ["aggregation", "value"])
     rows = cut_lineage(rows.withColumns({f: F.col(f).cast("double") for f in FEATURES}))
     last = rows.agg(F.max("date").alias("x")).first()["x"]
     days = [r[0] for r in spark.range(HORIZON).select(F.date_sub(F.lit(last), HORIZON - 1 - F.col("id").cast("int"))).collect()]
@@ -653,7 +730,7 @@ def _boosted(name):
         end = days[0] - dt.timedelta(days=1)
         train = rows.where(F.col("date") <= F.lit(end))
         folds = boost.folds(train, N_FOLDS, HORIZON).collect()
-        out, _ = boost.run_experiment(name, rows, FEATURES, ROUNDS, membership(facts, DAILY), time_membership(train), end, days, fold_rows=folds)
+        out, _ = boost.run_experiment(name, rows, FEATURES, ROUNDS, membership(facts, DAILY), time_membership(train), end, days, fold_rows=folds, categories=CATEGORIES)
         return out.select("method", "aggregation", "value", day(), "in_sample", F.round("yhat", 6).alias("yhat"), "rounds", r6("score").alias("score"))
 
     return run
@@ -668,7 +745,7 @@ def _recursive(spark, d):
     rows, days = _forecast_rows(spark, d)
     bottom = rows.where("aggregation = 'bottom'")
     train = bottom.where(F.col("date") < F.lit(days[0]))
-    model = boost.fit(boost.training_window(train, days[0]), FEATURES, ROUNDS, key="value")
+    model = boost.fit(boost.training_window(train, days[0]), FEATURES, ROUNDS, key="value", categories=CATEGORIES)
     out = boost.recursive_predict(model, train, bottom, days, ["value"])
     return out.select(F.col("value").alias("member"), day(), F.round("yhat", 6).alias("yhat"))
 
@@ -709,5 +786,5 @@ def _mobility(spark, d):
 def _tune(spark, d):
     rows, days = _forecast_rows(spark, d)
     bottom = rows.where((F.col("aggregation") == "bottom") & (F.col("date") < F.lit(days[0])))
-    found = boost.study(bottom, FEATURES, ROUNDS, 3, boost.folds(bottom, 2, HORIZON).collect(), key="value")
+    found = boost.study(bottom, FEATURES, ROUNDS, 3, boost.folds(bottom, 2, HORIZON).collect(), key="value", categories=CATEGORIES)
     return spark.createDataFrame([(p.leaves, p.l1, p.l2, s, r) for p, s, r in found], "leaves int, l1 double, l2 double, score double, best_round int")

@@ -36,11 +36,18 @@ def read_products(
     last_date: str,
     store_id: int | None = None,
     columns: list[str] | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Products on sale within two dates, both included; filters and columns reach the scan."""
-    found = spark.read.schema(PRODUCT_SCHEMA).parquet(path).where(F.col("date").between(first_date, last_date) & (F.col("weeks_on_sale") > 0))
+    """Products on sale within two dates, both included; filters and columns reach the scan.
+
+    ``path`` is a folder, or the name of a table.  ``ordered`` sorts by store, item and date.
+    """
+    rows = spark.read.schema(PRODUCT_SCHEMA).parquet(path) if "/" in path else spark.table(path)
+    found = rows.where(F.col("date").between(first_date, last_date) & (F.col("weeks_on_sale") > 0))
     if store_id is not None:
         found = found.where(F.col("store_id_enc") == store_id)
+    if ordered:
+        found = found.orderBy("store_id_enc", "item_id_enc", "date")
     return found.select(columns or [f.name for f in PRODUCT_SCHEMA if f.name not in ("id",)])
 
 
