@@ -710,7 +710,7 @@ FEATURES = [*(f"y_lag{k}" for k in features.LAGS), *(f"y_lag1_mavg{n}" for n in
 CATEGORIES = ("dayofweek", "dayofmonth", "weekofyear", "monthofyear", "snap", "aggregation_enc", "value_enc")
 HORIZON = 28
 #: The rounds and folds of the registered experiments; README states them beside the original's.
-ROUNDS = boost.Params(rounds=6, rate=0.3, leaves=31, patience=2)
+ROUNDS = boost.Params(rounds=6, rate=0.3, leaves=20, depth=5, patience=2)
 N_FOLDS = 1
 
 
