@@ -716,7 +716,7 @@ N_FOLDS = 1
 
 def _forecast_rows(spark, d):
     """Targets and features of every node of the daily panel, the last day to train on, and the days ahead."""
-    rows = features.label_encoded(_featured(spark, d), ["aggregation", "value"])
+    rows = features.label_encoded(cut_lineage(_featured(spark, d)), ["aggregation", "value"])
     rows = cut_lineage(rows.withColumns({f: F.col(f).cast("double") for f in FEATURES}))
     last = rows.agg(F.max("date").alias("x")).first()["x"]
     days = [r[0] for r in spark.range(HORIZON).select(F.date_sub(F.lit(last), HORIZON - 1 - F.col("id").cast("int"))).collect()]
