@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_parts, clipped, lag_number, window_number
-from ..sources.tables import complete_at, cut_lineage, discard, written
+from ..sources.tables import complete_at, cut_lineage, discard, write_csv, written
 from . import loss
-from .reconcile import bottom_up
+from .reconcile import METHODS, bottom_up, reconcile_all
 from .trees import Binner, Limits, Tree, binned, fit_binner, grow, matrix
 
 
@@ -588,12 +588,46 @@ def run_experiment(
     return out, {"t_tune": max(0.0, tuned), "t_train": trained, "t_predict": time.perf_counter() - began}
 
 
+def reconciled(
+    out: DataFrame,
+    times: dict[str, float],
+    actuals: DataFrame,
+    sc: DataFrame,
+    methods: tuple[str, ...] = METHODS,
+    positive: bool = True,
+    level: str = "aggregation",
+    key: str = "value",
+    date: str = "date",
+    member: str = "member",
+) -> tuple[DataFrame, dict[str, float]]:
+    """An experiment's days ahead as they are (``base``) and by each method: ``run_experiment``'s columns but for ``in_sample``, and ``reconciliation``.
+
+    Residuals are ``actuals`` (``level``, ``key``, ``date``, ``y``) less the experiment's own in-sample predictions.  An
+    experiment without these (setting 3) sums up to a coherent whole, so only ``base`` is returned.  The seconds of each method join ``times``.
+    """
+    node = [F.col(level).alias("aggregation"), F.col(key).alias("value")]
+    told = out.where("not in_sample").select("method", "seed", "rounds", "score", *node, date)
+    training = out.where("in_sample").select(*node, date, "yhat").join(actuals.select(*node, date, "y"), ["aggregation", "value", date])
+    training = written(training, "training")
+    ahead = written(out.where("not in_sample").select(*node, date, "yhat"), "ahead")
+    found, seconds = reconcile_all(out.sparkSession, ahead, sc, training, () if training.isEmpty() else methods, positive, member, date)
+    found = found.withColumnRenamed("method", "reconciliation").join(told, ["aggregation", "value", date])
+    found = found.select("method", "seed", "reconciliation", F.col("aggregation").alias(level), F.col("value").alias(key), date, "yhat", "rounds", "score")
+    return found, times | seconds
+
+
+def timings_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(scenario, seed, t_tune, t_train, t_predict, ...)`` of a grid's runs, a column for each reconciliation method, null where a scenario has none."""
+    found = spark.read.option("mergeSchema", True).parquet(f"{path}/timings")
+    return found.select("scenario", "seed", *[c for c in found.columns if c not in ("scenario", "seed")])
+
+
 def run_grid(names: list[str], seeds: range, run: Callable, path: str, spark: SparkSession, parallel: int = 4) -> DataFrame:
     """Run experiments ``run(name, seed)`` for every name and seed, ``parallel`` at a time; forecasts and times are written below ``path``.
 
     Each run is independent, in a scheduler pool of its own (fair where the session schedules so), and its times, which are written last,
     are its mark: what a scenario and seed has written to its end is not run again.  The first error is raised when the runs that
-    had begun are through.  Returns the forecasts.
+    had begun are through.  When all are through, ``timings_csv`` gets a file for each scenario with a row for each seed.  Returns the forecasts.
     """
 
     def one(name: str, seed: int) -> None:
@@ -614,4 +648,5 @@ def run_grid(names: list[str], seeds: range, run: Callable, path: str, spark: Sp
             for each in waiting:
                 each.cancel()
             raise
-    return spark.read.parquet(f"{path}/forecasts")
+    write_csv(timings_table(spark, path).repartition("scenario").sortWithinPartitions("scenario", "seed"), f"{path}/timings_csv", "scenario")
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/forecasts")

@@ -31,6 +31,17 @@ TIME_LEVELS = [["year"], ["year", "month"], ["year", "week"]]
 TOTAL, BOTTOM = "Total", "bottom"
 
 
+def joined(columns: list[str] | tuple[str, ...]) -> Column:
+    """Values of ``columns`` joined by ``-``, different for different values.
+
+    Of several parts a null is ``\\N``, and ``-`` and ``\\`` inside one have a ``\\`` in front; a single value stays as it is.
+    """
+    if len(columns) == 1:
+        return F.coalesce(F.col(columns[0]).cast("string"), F.lit("\\N"))
+    parts = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("-"), F.lit("\\-")) for c in columns]
+    return F.concat_ws("-", *[F.coalesce(p, F.lit("\\N")) for p in parts])
+
+
 @dataclass(frozen=True)
 class Hierarchy:
     """Levels between Total and bottom, and the columns of a bottom member."""
@@ -51,11 +62,11 @@ class Hierarchy:
     def levels(self) -> list[tuple[int, str, Column]]:
         """``(level id, name, value)`` from Total to bottom."""
         out = [(0, TOTAL, F.lit(TOTAL))]
-        out += [(i, "-".join(cols), F.concat_ws("-", *cols)) for i, cols in enumerate(self.middle, 1)]
+        out += [(i, "-".join(cols), joined(cols)) for i, cols in enumerate(self.middle, 1)]
         return [*out, (len(out), self.bottom_name, self.key())]
 
     def key(self) -> Column:
-        return F.concat_ws("-", *self.bottom)
+        return joined(self.bottom)
 
     @property
     def depth(self) -> int:

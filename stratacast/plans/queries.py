@@ -723,14 +723,18 @@ def _forecast_rows(spark, d):
     return rows, days
 
 
+def _experiment(spark, d, name):
+    """A named experiment's forecasts and seconds, the rows that it was given, and its cross-sectional membership."""
+    rows, days = _forecast_rows(spark, d)
+    end = days[0] - dt.timedelta(days=1)
+    train = rows.where(F.col("date") <= F.lit(end))
+    folds, sc = boost.folds(train, N_FOLDS, HORIZON).collect(), membership(daily_facts(spark, d), DAILY)
+    return *boost.run_experiment(name, rows, FEATURES, ROUNDS, sc, time_membership(train), end, days, fold_rows=folds, categories=CATEGORIES), rows, sc
+
+
 def _boosted(name):
     def run(spark, d):
-        rows, days = _forecast_rows(spark, d)
-        facts = daily_facts(spark, d)
-        end = days[0] - dt.timedelta(days=1)
-        train = rows.where(F.col("date") <= F.lit(end))
-        folds = boost.folds(train, N_FOLDS, HORIZON).collect()
-        out, _ = boost.run_experiment(name, rows, FEATURES, ROUNDS, membership(facts, DAILY), time_membership(train), end, days, fold_rows=folds, categories=CATEGORIES)
+        out = _experiment(spark, d, name)[0]
         return out.select("method", "aggregation", "value", day(), "in_sample", F.round("yhat", 6).alias("yhat"), "rounds", r6("score").alias("score"))
 
     return run
@@ -740,6 +744,14 @@ for _m in boost.EXPERIMENTS:
     query(f"boost_{_m}")(_boosted(_m))
 
 
+@query("reconciled_experiment")
+def _reconciled_experiment(spark, d):
+    """One model for all levels, its days ahead as they are and by every reconciliation method on its own residuals."""
+    out, times, rows, sc = _experiment(spark, d, "globalall_objse_evalmse")
+    found, _ = boost.reconciled(out, times, rows, written(sc, "memberships"))
+    return found.select("method", "reconciliation", "aggregation", "value", day(), F.round("yhat", 4).alias("yhat"), "rounds", r6("score").alias("score"))
+
+
 @query("recursive_forecast")
 def _recursive(spark, d):
     rows, days = _forecast_rows(spark, d)

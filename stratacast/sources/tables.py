@@ -65,8 +65,8 @@ def read_forecasts(spark: SparkSession, path: str, scenario: str | None = None)
     return found if scenario is None else found.where(F.col("scenario") == scenario)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, *by: str) -> None:
+    df.write.mode("overwrite").partitionBy(*by).csv(path, header=True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

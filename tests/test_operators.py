@@ -151,6 +151,49 @@ def test_all_methods_side_by_side(spark, incoherent):
         reconcile.reconcile(spark, forecasts, sc, "other")
 
 
+def test_experiments_are_reconciled_with_their_own_residuals(spark, incoherent, tmp_path):
+    """In-sample predictions and days ahead of one frame, as an experiment returns them; the grid's times get a column a method."""
+    sc, nodes, s, y, hat, ahead, training, forecasts = incoherent
+    rows = training.withColumn("in_sample", F.lit(True)).unionByName(forecasts.withColumn("in_sample", F.lit(False)), True)
+    told = {"method": F.lit("global"), "seed": F.lit(3), "rounds": F.lit(7), "score": F.lit(0.5)}
+    run = rows.drop("y").withColumns(told)
+    actuals = training.select("aggregation", "value", "date", "y")
+    times = {"t_tune": 0.0, "t_train": 1.0, "t_predict": 2.0}
+    methods = ("wls_var", "mint_shrink", "erm")
+    out, seconds = boost.reconciled(run, times, actuals, sc, methods)
+    out = out.toPandas()
+    assert set(out["reconciliation"]) == {"base", *methods} and len(out) == 4 * 75
+    assert set(out["rounds"]) == {7} and set(out["seed"]) == {3} and set(out["method"]) == {"global"}
+    for method in methods:
+        own = out[out["reconciliation"] == method]
+        found = own.assign(node=list(zip(own["aggregation"], own["value"], strict=True))).pivot(index="date", columns="node", values="yhat")
+        want = s @ np.maximum(plain_projection(s, method, y, hat) @ ahead.T, 0)
+        assert np.allclose(found[[n[1:] for n in nodes]].to_numpy(), want.T, rtol=1e-6, atol=1e-6)
+    alone, same_times = boost.reconciled(run.where("not in_sample"), times, actuals, sc, methods)  # setting 3: nothing in sample
+    assert {r[0] for r in alone.select("reconciliation").distinct().collect()} == {"base"} and same_times == times
+
+    def grid(name, seed):
+        frame = spark.createDataFrame([(name, seed, 1.5)], "method string, seed int, yhat double")
+        return (frame.withColumn("reconciliation", F.lit("erm")), seconds) if name == "a" else (frame, times)
+
+    found = boost.run_grid(["a", "b"], range(2), grid, f"file://{tmp_path}/grid", spark)
+    assert {(r.scenario, r.reconciliation) for r in found.collect()} == {("a", "erm"), ("b", None)}
+    held = {f.parent.name: f.read_text().splitlines() for f in (tmp_path / "grid/timings_csv").glob("scenario=*/part-*.csv")}
+    assert set(held) == {"scenario=a", "scenario=b"} and all(len(lines) == 3 for lines in held.values())
+    assert held["scenario=a"][0].split(",") == ["seed", "t_tune", "t_train", "t_predict", *methods]
+    assert held["scenario=b"][1].startswith("0,0.0,1.0,2.0")
+
+
+def test_keys_of_several_parts_are_different_for_different_parts(spark):
+    rows = [("a-b", "c"), ("a", "b-c"), ("a", None), ("a", "\\N"), (None, "a"), ("a\\", "b"), ("x", "y")]
+    df = spark.createDataFrame(rows, "g string, h string")
+    levels = hierarchy.Hierarchy.of([["g"]], ["g", "h"])
+    keys = {(r.g, r.h): r.k for r in df.select("g", "h", levels.key().alias("k")).collect()}
+    assert len(set(keys.values())) == len(rows) and keys["x", "y"] == "x-y"
+    sc = hierarchy.membership(df, levels).toPandas()
+    assert len(sc) == 3 * len(rows) and set(sc[sc["aggregation"] == "g"]["value"]) == {"a-b", "a", "\\N", "a\\", "x"}
+
+
 def test_thousands_of_members_without_a_matrix(spark):
     """30,000 members under three levels: a dense matrix would have 900 million cells."""
     members = spark.range(30_000).select((F.col("id") % 10).cast("int").alias("a"), (F.col("id") % 300).cast("int").alias("b"), F.col("id").alias("c"))

@@ -5,7 +5,7 @@ from conftest import same
 
 from stratacast.plans import queries as core
 
-SLOW = {n for n in core.QUERIES if n.startswith("boost_")} - {"boost_bu_objhse_evalhmse_withtemp", "boost_sepagg_objse_evalmse"}
+SLOW = {n for n in core.QUERIES if n.startswith("boost_")} - {"boost_bu_objhse_evalhmse_withtemp", "boost_sepagg_objse_evalmse"} | {"reconciled_experiment"}
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
