@@ -744,14 +744,6 @@ for _m in boost.EXPERIMENTS:
     query(f"boost_{_m}")(_boosted(_m))
 
 
-@query("reconciled_experiment")
-def _reconciled_experiment(spark, d):
-    """One model for all levels, its days ahead as they are and by every reconciliation method on its own residuals."""
-    out, times, rows, sc = _experiment(spark, d, "globalall_objse_evalmse")
-    found, _ = boost.reconciled(out, times, rows, written(sc, "memberships"))
-    return found.select("method", "reconciliation", "aggregation", "value", day(), F.round("yhat", 4).alias("yhat"), "rounds", r6("score").alias("score"))
-
-
 @query("recursive_forecast")
 def _recursive(spark, d):
     rows, days = _forecast_rows(spark, d)
