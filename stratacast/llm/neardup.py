@@ -5,7 +5,7 @@ Used where documents of similarity 0.8 or more must meet.  At that similarity a
 so each document has a 128-bit SimHash of its set of word shingles, and the
 index draws masks of ``bits`` positions at random: fingerprints that agree on a
 mask fall under one node, and inside a node those within ``radius`` differing
-bits are linked.  ``bits`` grows with the logarithm of the number of
+bits are linked by the Gray-order hierarchical index of ``simhash``.  ``bits`` grows with the logarithm of the number of
 fingerprints, so nodes stay small, and the number of masks is what the wanted
 recall at the similarity asks for.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runtime import broadcast_if_small, checkpointed, free_name, written
-from .simhash import _settle, majority, shingle_hashes
+from .simhash import _settle, linked_within, majority, shingle_hashes
 
 WORDS = 128
 #: Rows of one node, or of a block of a larger one, that are compared in one piece.
@@ -130,44 +130,11 @@ def masked_nodes(prints: DataFrame, bits: int, masks: int) -> DataFrame:
     return prints.select("fid", "f0", "f1").mapInArrow(run, "node long, fid long, f0 long, f1 long")
 
 
-def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions inside each run."""
-    left, right = [], []
-    for size in np.unique(sizes):
-        if size > 1:
-            a, b = np.triu_indices(size, 1)
-            at = starts[sizes == size][:, None]
-            left.append((at + a).ravel())
-            right.append((at + b).ravel())
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def near_components(f0: np.ndarray, f1: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint, the first of its component under links of ``radius`` bits.
-
-    Every row is compared with all that are not yet reached, so a dense group costs little more than its size.
-    """
-    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-    labels, left = np.full(len(f0), -1), np.arange(len(f0))
-    while len(left):
-        head, left = left[0], left[1:]
-        labels[head], edge = head, np.array([head])
-        while len(edge) and len(left):
-            now, edge = edge[:64], edge[64:]
-            near = np.zeros(len(left), dtype=bool)
-            for x, y in zip(f0[now], f1[now], strict=True):
-                near |= np.bitwise_count(f0[left] ^ x) + np.bitwise_count(f1[left] ^ y) <= radius
-            labels[left[near]] = head
-            edge, left = np.concatenate([edge, left[near]]), left[~near]
-    return labels
-
-
 def node_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Spanning links ``(a, b)`` of fingerprints under one node that differ in ``radius`` bits at most.
 
-    A partition is read in node order.  A node that two pieces of ``NODE_ROWS`` rows hold is compared whole, wherever
+    A node is an upper node of ``simhash``'s hierarchical index: inside it fingerprints are searched by a tree over their Gray
+    order (``gray_forest``).  A partition is read in node order.  A node that two pieces of ``NODE_ROWS`` rows hold is compared whole, wherever
     batches end; a larger one is passed on in blocks, and each two of its blocks are compared
     in a task of their own, so all pairs of a node are compared and memory is bounded.
     """
@@ -182,19 +149,7 @@ def node_links(nodes: DataFrame, radius: int) -> DataFrame:
 
     def whole(rows: np.ndarray) -> pa.RecordBatch:
         """Links of nodes that are complete in ``rows``."""
-        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-        sizes = np.diff(np.append(starts, len(rows)))
-        labels = np.arange(len(rows))
-        few = sizes <= 32
-        a, b = _pairs_within(starts[few], sizes[few])
-        for i in range(0, len(a), 1 << 20):
-            x, y = a[i : i + (1 << 20)], b[i : i + (1 << 20)]
-            bits = np.bitwise_count((rows[x, 2] ^ rows[y, 2]).view(np.uint64)) + np.bitwise_count((rows[x, 3] ^ rows[y, 3]).view(np.uint64))
-            near = bits <= radius
-            labels = _settle(labels, x[near], y[near])
-        for start, size in zip(starts[~few], sizes[~few], strict=True):
-            part = rows[start : start + size]
-            labels[start : start + size] = start + near_components(part[:, 2].copy(), part[:, 3].copy(), radius)
+        labels = linked_within(rows[:, 0], np.ascontiguousarray(rows[:, 2:4]).view(np.uint64), radius)
         moved = np.flatnonzero(labels != np.arange(len(rows)))
         return links(rows[moved, 1], rows[labels[moved], 1])
 
@@ -231,7 +186,7 @@ def node_links(nodes: DataFrame, radius: int) -> DataFrame:
 
         def compared() -> pa.RecordBatch:
             rows = np.concatenate(parts) if parts else np.zeros((0, 6), dtype=np.int64)
-            labels = near_components(rows[:, 4].copy(), rows[:, 5].copy(), radius)
+            labels = linked_within(np.zeros(len(rows), dtype=np.int64), np.ascontiguousarray(rows[:, 4:6]).view(np.uint64), radius)
             moved = np.flatnonzero(labels != np.arange(len(rows)))
             return pa.RecordBatch.from_arrays([pa.array(rows[moved, 3]), pa.array(rows[labels[moved], 3])], names=["a", "b"])
 

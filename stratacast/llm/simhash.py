@@ -38,6 +38,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 FAN = 4
 PAIR_CHUNK = 1 << 16
+#: Pairs of tree nodes of many trees that are compared at once.
+PAIRS_AT_ONCE = 1 << 14
 
 
 def shingle_hashes(raw: bytes | None, size: int, seed: int = 42) -> np.ndarray:
@@ -103,14 +105,15 @@ def _hierarchy(leaves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the sets of each linked pair; labels are least members."""
+    """Merge the sets of each linked pair; labels are least members, before and after.
+
+    Only labels of least members move, so what was one set before stays one.
+    """
     while True:
-        low = np.minimum(labels[a], labels[b])
-        if (labels[a] == low).all() and (labels[b] == low).all():
+        one, other = labels[a], labels[b]
+        if (one == other).all():
             return labels
-        for side in (a, b):
-            np.minimum.at(labels, labels[side], low)
-            np.minimum.at(labels, side, low)
+        np.minimum.at(labels, np.maximum(one, other), np.minimum(one, other))
         while not (labels == (up := labels[labels])).all():
             labels = up
 
@@ -145,6 +148,92 @@ def gray_components(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return values, labels
 
 
+def gray_order(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the rows by node, and inside a node by Gray rank of their ``words`` (rows by 64-bit words, the first one counts most)."""
+    ranks, flipped = [], np.zeros(len(words), dtype=bool)
+    for word in words.T:
+        rank = gray_rank(word)
+        ranks.append(np.where(flipped, ~rank, rank))  # behind an odd number of set bits the order is reflected
+        flipped ^= (np.bitwise_count(word) & 1).astype(bool)
+    return np.lexsort([*ranks[::-1], nodes])
+
+
+def _apart(words: np.ndarray, left: np.ndarray, right: np.ndarray, masks: np.ndarray | None = None) -> np.ndarray:
+    """Bits in which two columns of ``words`` (64-bit words by rows) differ, where both ``masks`` have them."""
+    total = np.zeros(len(left), dtype=np.int16)
+    for i, word in enumerate(words):
+        bits = word[left] ^ word[right]
+        if masks is not None:
+            bits &= masks[i][left] & masks[i][right]
+        total += np.bitwise_count(bits)
+    return total
+
+
+def gray_forest(nodes: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, the first row of its component under links of ``radius`` bits at most inside its node.
+
+    Rows come in ``gray_order``.  Each node has a tree of its own; all trees are searched against themselves at once.
+    A pair of tree nodes is dropped as soon as the differences accumulated on the bits that both share
+    exceed the radius, or all rows under both are known to be of one component.  Rows beside each other in the order are
+    linked first, so a dense group costs little more than its size.
+    """
+    n, words = len(nodes), np.ascontiguousarray(words.T)
+    # levels of (shared mask, pattern, first row, first child, last child + 1), rows first
+    at = np.arange(n)
+    levels, owner, ones, zeros, first = [(None, words, at, at, at)], nodes, words, ~words, at
+    while n and not (opens := np.append(True, owner[1:] != owner[:-1])).all():
+        starts = np.flatnonzero(opens)
+        place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.append(starts, len(owner))))
+        cuts = np.flatnonzero(place % FAN == 0)
+        ones, zeros = np.bitwise_and.reduceat(ones, cuts, axis=1), np.bitwise_and.reduceat(zeros, cuts, axis=1)
+        levels.append((ones | zeros, ones, first[cuts], cuts, np.append(cuts[1:], len(owner))))
+        owner, first = owner[cuts], first[cuts]
+    beside = np.flatnonzero(nodes[1:] == nodes[:-1])
+    beside = beside[_apart(words, beside, beside + 1) <= radius]
+    labels = _settle(np.arange(n), beside, beside + 1)
+
+    def components() -> list[np.ndarray]:
+        """The component of all rows under each tree node, -1 where there are several."""
+        out = []
+        for _, _, first, _, _ in levels:
+            low = np.minimum.reduceat(labels, first) if n else first
+            out.append(np.where(low == np.maximum.reduceat(labels, first), low, -1) if n else first)
+        return out
+
+    held, top, steps = components(), len(levels) - 1, np.arange(FAN)
+    stack = [(top, np.arange(len(levels[top][2])), np.arange(len(levels[top][2])))]
+    while stack:
+        depth, left, right = stack.pop()
+        if len(left) > PAIRS_AT_ONCE:
+            stack += [(depth, left[i : i + PAIRS_AT_ONCE], right[i : i + PAIRS_AT_ONCE]) for i in range(0, len(left), PAIRS_AT_ONCE)]
+            continue
+        masks, pattern, _, child, child_end = levels[depth]
+        open_ = (held[depth][left] < 0) | (held[depth][left] != held[depth][right])
+        left, right = left[open_], right[open_]
+        near = _apart(pattern, left, right, masks) <= radius
+        left, right = left[near], right[near]
+        if not len(left):
+            continue
+        if depth == 0:
+            labels = _settle(labels, left, right)
+            held = components()
+            continue
+        shape = (len(left), FAN, FAN)
+        to_left = np.broadcast_to(child[left][:, None, None] + steps[None, :, None], shape)
+        to_right = np.broadcast_to(child[right][:, None, None] + steps[None, None, :], shape)
+        keep = (to_left < child_end[left][:, None, None]) & (to_right < child_end[right][:, None, None]) & (to_left <= to_right)
+        stack.append((depth - 1, to_left[keep], to_right[keep]))
+    return labels
+
+
+def linked_within(nodes: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, one row of its component (of all its rows the same) under links of ``radius`` bits at most inside its node, by ``gray_forest``."""
+    order = gray_order(nodes, words)
+    labels = np.empty(len(nodes), dtype=np.int64)
+    labels[order] = order[gray_forest(nodes[order], words[order], radius)]
+    return labels
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 

@@ -135,6 +135,42 @@ def test_nodes_keep_the_links_of_a_chain(monkeypatch, spark, rows_of_node):
     assert {fid: got.get(fid, fid) for fid in rows} == want and len(set(want.values())) < len(rows)
 
 
+def test_sets_stay_whole_when_links_come_in_parts():
+    labels = simhash._settle(np.arange(12), np.array([10]), np.array([11]))
+    labels = simhash._settle(labels, np.array([11, 10]), np.array([5, 3]))
+    assert labels[[3, 5, 10, 11]].tolist() == [3, 3, 3, 3]
+
+
+def test_near_dedup_searches_gray_order_trees(spark, monkeypatch):
+    rng, radius = np.random.default_rng(4), 24
+    heads = rng.integers(0, 1 << 63, (40, 2), dtype=np.int64)
+    prints = heads[rng.integers(0, 40, 1500)]
+    for _ in range(14):  # chains and dense groups: up to 14 bits of each row turned over
+        flip, at = np.zeros_like(prints), rng.integers(0, 63, 1500)
+        flip[np.arange(1500), rng.integers(0, 2, 1500)] = np.left_shift(1, at)
+        prints = np.where(rng.random((1500, 1)) < 0.9, prints ^ flip, prints)
+    nodes = rng.integers(0, 30, 1500) * (rng.random(1500) < 0.5)  # one node of half the rows
+    labels = simhash.linked_within(nodes, prints.view(np.uint64), radius)
+    x = prints.view(np.uint64)
+    want = np.arange(1500)
+    bits = sum(np.bitwise_count(x[:, None, w] ^ x[None, :, w]).astype(int) for w in (0, 1))
+    a, b = np.nonzero((bits <= radius) & (nodes[:, None] == nodes[None, :]))
+    want = simhash._settle(want, a, b)
+    assert len(set(zip(labels, want, strict=True))) == len(set(want)) == len(set(labels)) and (labels[labels] == labels).all()
+    order = simhash.gray_order(np.zeros(16, dtype=int), np.array([[i >> 2, i & 3] for i in range(16)], dtype=np.uint64))
+    steps = np.array([[i >> 2, i & 3] for i in range(16)])[order]
+    assert all(bin(p[0] ^ q[0]).count("1") <= 1 for p, q in zip(steps, steps[1:], strict=False))
+    # every link of the stage comes from the index: none is left where it links nothing
+    df = spark.createDataFrame([(0, i, i & 1, 0) for i in range(50)], "node long, fid long, f0 long, f1 long")
+    assert neardup.node_links(df, 3).count() == 49
+
+    def no_links(nodes, words, radius):
+        return np.arange(len(nodes))
+
+    monkeypatch.setattr(neardup, "linked_within", no_links)
+    assert neardup.node_links(df, 3).count() == 0
+
+
 # mixing
 
 def test_mixing_of_unequal_sources_matches_sql(spark, duck):
