@@ -13,7 +13,7 @@ from ..functions import scalars as X
 from ..operators import baselines, boost, evaluate, features, hierarchy, loss, prepare, reconcile, trees
 from ..operators.hierarchy import membership, node_sizes
 from ..sources.tables import cut_lineage, table, written
-from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, monthly_panel, naive_errors, sales_rows, time_membership
+from .panels import DAILY, MONTHLY, daily_facts, daily_panel, monthly_facts, monthly_panel, naive_errors, time_membership
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -256,7 +256,7 @@ SELECT sales, CAST(month AS VARCHAR) AS date, id, id_enc, item_id_enc, dept_id_e
   CAST(CAST(first_value(price IGNORE NULLS) OVER (ORDER BY id_enc, month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS FLOAT) AS DOUBLE) AS sell_price, weeks AS weeks_on_sale FROM r""")
 def _products(spark, d):
     """The product table from stand-ins: months for days, quarters for weeks, brands for items and nations for stores."""
-    facts = monthly_facts(spark, d)
+    facts = monthly_facts(spark, d, F.min("l_extendedprice").alias("price"))
     months = [r[0] for r in facts.select("month").distinct().orderBy("month").collect()]  # a row for each month
     name = F.concat("brand", F.lit("_"), "nation")
     ids = [name.alias("id"), F.col("brand").alias("item_id"), F.substring("brand", 1, 7).alias("dept_id"), F.lit("all").alias("cat_id"), F.col("nation").cast("string").alias("store_id"), F.col("region").cast("string").alias("state_id")]
@@ -268,8 +268,8 @@ def _products(spark, d):
         none.alias("event_name_1"), F.when(F.month("month") == 12, "Holiday").alias("event_type_1"), none.alias("event_name_2"), none.alias("event_type_2"),
         (F.month("month") % 2 == 0).cast("int").alias("snap_CA"), (F.month("month") % 3 == 0).cast("int").alias("snap_TX"), F.lit(0).alias("snap_WI"),
     )
-    prices = sales_rows(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("month", F.trunc("l_shipdate", "month"))
-    prices = prices.groupBy(F.col("n_nationkey").cast("string").alias("store_id"), F.col("p_brand").alias("item_id"), F.expr(_QUARTER).alias("wm_yr_wk")).agg(F.min("l_extendedprice").alias("sell_price"))
+    # a quarter's least price is the least of its months'
+    prices = facts.groupBy(F.col("nation").cast("string").alias("store_id"), F.col("brand").alias("item_id"), F.expr(_QUARTER).alias("wm_yr_wk")).agg(F.min("price").alias("sell_price"))
     out = prepare.product_table(calendar, wide, prices, PRODUCT_HORIZON)
     return out.withColumns({"date": F.col("date").cast("string"), "sell_price": F.col("sell_price").cast("double")})
 
@@ -376,11 +376,11 @@ def _dropna(spark, d):
     return out.select("member", day(), "y", "y_lag1", "y_lag28", "y_lag364")
 
 
-def _featured(spark, d):
+def _featured(facts):
     """All nodes of the daily panel with every kind of feature; weeks on sale count the weeks with sales, a flag marks the first ten days of a month."""
     week = F.floor(F.date_diff("date", F.lit("1995-01-02").cast("date")) / 7)
     weeks = F.dense_rank().over(Window.partitionBy("region", "flag", "status").orderBy(week))
-    facts = daily_facts(spark, d).withColumns({"weeks": weeks, "snap": (F.dayofmonth("date") <= 10).cast("int")})
+    facts = facts.withColumns({"weeks": weeks, "snap": (F.dayofmonth("date") <= 10).cast("int")})
     return features.forecast_set(facts, DAILY, price="price", weeks="weeks", per_date=["snap"])
 
 
@@ -399,7 +399,7 @@ SELECT level_id, aggregation, value, CAST(date AS VARCHAR) AS date, y, y_lag1, y
 round(price_avg + 1e-7, 4) AS price_avg, round(price_change, 6) AS price_change, round(weeks_avg + 1e-7, 4) AS weeks_avg, CAST(day(date) <= 10 AS INT) AS snap
 FROM z JOIN pc USING (level_id, aggregation, value, date) JOIN wk USING (level_id, value, date) WHERE y_lag364 IS NOT NULL AND price_change IS NOT NULL""")
 def _forecast_set(spark, d):
-    out = _featured(spark, d)
+    out = _featured(daily_facts(spark, d))
     return out.select("level_id", "aggregation", "value", day(), "y", "y_lag1", "y_lag364", r6("y_lag1_mavg28").alias("y_lag1_mavg28"), F.col("weekofyear").cast("long"), off_ties("price_avg").alias("price_avg"), r6("price_change").alias("price_change"), off_ties("weeks_avg").alias("weeks_avg"), "snap")
 
 
@@ -714,9 +714,10 @@ ROUNDS = boost.Params(rounds=6, rate=0.3, leaves=20, depth=5, patience=2)
 N_FOLDS = 1
 
 
-def _forecast_rows(spark, d):
+def _forecast_rows(facts):
     """Targets and features of every node of the daily panel, the last day to train on, and the days ahead."""
-    rows = features.label_encoded(cut_lineage(_featured(spark, d)), ["aggregation", "value"])
+    spark = facts.sparkSession
+    rows = features.label_encoded(cut_lineage(_featured(facts)), ["aggregation", "value"])
     rows = cut_lineage(rows.withColumns({f: F.col(f).cast("double") for f in FEATURES}))
     last = rows.agg(F.max("date").alias("x")).first()["x"]
     days = [r[0] for r in spark.range(HORIZON).select(F.date_sub(F.lit(last), HORIZON - 1 - F.col("id").cast("int"))).collect()]
@@ -725,10 +726,11 @@ def _forecast_rows(spark, d):
 
 def _experiment(spark, d, name):
     """A named experiment's forecasts and seconds, the rows that it was given, and its cross-sectional membership."""
-    rows, days = _forecast_rows(spark, d)
+    facts = daily_facts(spark, d)
+    rows, days = _forecast_rows(facts)
     end = days[0] - dt.timedelta(days=1)
     train = rows.where(F.col("date") <= F.lit(end))
-    folds, sc = boost.folds(train, N_FOLDS, HORIZON).collect(), membership(daily_facts(spark, d), DAILY)
+    folds, sc = boost.folds(train, N_FOLDS, HORIZON).collect(), membership(facts, DAILY)
     return *boost.run_experiment(name, rows, FEATURES, ROUNDS, sc, time_membership(train), end, days, fold_rows=folds, categories=CATEGORIES), rows, sc
 
 
@@ -746,7 +748,7 @@ for _m in boost.EXPERIMENTS:
 
 @query("recursive_forecast")
 def _recursive(spark, d):
-    rows, days = _forecast_rows(spark, d)
+    rows, days = _forecast_rows(daily_facts(spark, d))
     bottom = rows.where("aggregation = 'bottom'")
     train = bottom.where(F.col("date") < F.lit(days[0]))
     model = boost.fit(boost.training_window(train, days[0]), FEATURES, ROUNDS, key="value", categories=CATEGORIES)
@@ -788,7 +790,7 @@ def _mobility(spark, d):
 
 @query("tune_best")
 def _tune(spark, d):
-    rows, days = _forecast_rows(spark, d)
+    rows, days = _forecast_rows(daily_facts(spark, d))
     bottom = rows.where((F.col("aggregation") == "bottom") & (F.col("date") < F.lit(days[0])))
     found = boost.study(bottom, FEATURES, ROUNDS, 3, boost.folds(bottom, 2, HORIZON).collect(), key="value", categories=CATEGORIES)
     return spark.createDataFrame([(p.leaves, p.l1, p.l2, s, r) for p, s, r in found], "leaves int, l1 double, l2 double, score double, best_round int")
