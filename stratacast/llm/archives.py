@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, read_table, scratch_path, written
+from .runtime import broadcast_if_small, checkpointed, discard, read_table, scratch_path, small_batches, spooled, written
 
 FILE_BYTES = 8 << 20
 #: Header-line fields of both versions of the format.
@@ -37,6 +37,9 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 NO_URL = "about:blank"
+#: For tables of archives and of records: Parquet else gathers 100 rows at least in a row group, which writers and readers hold whole.
+ARCHIVE_GROUPS = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False}
+RECORD_GROUPS = {"parquet.block.size": FILE_BYTES, "parquet.page.size.row.check.min": 1, "compression": "zstd"}
 CRLF = b"\r\n"
 
 
@@ -158,35 +161,42 @@ def packed(record: bytes) -> bytes:
     return squeeze.compress(record) + squeeze.flush()
 
 
-def unpacked(data: bytes) -> bytes:
-    """The content of all gzip members, fed in small pieces, as what is left of a piece is copied for each member."""
-    view, at, out = memoryview(data), 0, []
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of the gzip members in turn, fed in small pieces, as what is left of a piece is copied for each member."""
+    view, at = memoryview(data), 0
     while at < len(view):
-        unpack = zlib.decompressobj(31)
+        unpack, out = zlib.decompressobj(31), []
         while not unpack.eof and at < len(view):
             piece = view[at : at + (1 << 14)]
             out.append(unpack.decompress(piece))
             at += len(piece) - len(unpack.unused_data)
-    return b"".join(out)
+        yield b"".join(out)
 
 
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a WARC file, plain or gzipped, by their declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = unpacked(data)
-    at = 0
-    while at < len(data):
-        if data.startswith(CRLF, at):
-            at += 2
-            continue
-        end = data.find(CRLF + CRLF, at)
-        lines = data[at:end].split(CRLF)
-        if end < 0 or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.decode("utf-8", "surrogatepass").split(": ", 1) for x in lines[1:])
-        length = int(headers.pop("Content-Length"))
-        yield WarcRecord(headers, data[end + 4 : end + 4 + length])
-        at = end + 4 + length + 4
+    """The records of a WARC file, plain or gzipped, by their declared lengths; of a gzipped file a record's members are unpacked at once, not the whole."""
+    parts = unpacked(data) if data[:2] == b"\x1f\x8b" else iter([data])
+    held, passed, ended = b"", 0, False
+    while not ended:
+        part = next(parts, None)
+        ended, held, at = part is None, held + (part or b""), 0
+        while at < len(held):
+            if held.startswith(CRLF, at):
+                at += 2
+                continue
+            end = held.find(CRLF + CRLF, at)
+            if end < 0 and not ended:
+                break
+            lines = held[at:end].split(CRLF)
+            if end < 0 or not lines[0].startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at byte {passed + at}")
+            headers = dict(x.decode("utf-8", "surrogatepass").split(": ", 1) for x in lines[1:])
+            length = int(headers.pop("Content-Length"))
+            if end + 4 + length > len(held) and not ended:
+                break
+            yield WarcRecord(headers, held[end + 4 : end + 4 + length])
+            at = end + 4 + length
+        held, passed = held[at:], passed + at
 
 
 def http_header(block: bytes, name: bytes) -> str | None:
@@ -219,11 +229,11 @@ def arc_files(pages: DataFrame, id_col: str, url_col: str, html_col: str, versio
 
     return pages.select(
         F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").cast("binary").alias("html")
-    ).mapInArrow(run, "arc binary")
+    ).mapInArrow(spooled(run), "arc binary")
 
 
-def converted(arcs: DataFrame, with_blocks: bool) -> DataFrame:
-    """The WARC records of ARC files as rows; without blocks, only what describes them."""
+def converted(arcs: DataFrame) -> DataFrame:
+    """The WARC records of ARC files as rows: what describes them, their headers and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,14 +255,11 @@ def converted(arcs: DataFrame, with_blocks: bool) -> DataFrame:
     def table(rows: list) -> pa.RecordBatch:
         cols = [pa.array([None if r[0] is None else int(r[0]) for r in rows], pa.int64())]
         cols += [pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.string()), (2, pa.string()), (3, pa.int64()))]
-        names = ["page_id", "record_id", "digest", "payload_bytes"]
-        if with_blocks:
-            cols.append(pa.array([list(r[4].headers.items()) for r in rows], pa.map_(pa.string(), pa.string())))
-            cols.append(pa.array([r[4].block for r in rows], pa.binary()))
-            names += ["headers", "block"]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        cols.append(pa.array([list(r[4].headers.items()) for r in rows], pa.map_(pa.string(), pa.string())))
+        cols.append(pa.array([r[4].block for r in rows], pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, names=["page_id", "record_id", "digest", "payload_bytes", "headers", "block"])
 
-    return arcs.mapInArrow(run, CONVERTED if with_blocks else CONVERTED.rpartition(", headers")[0])
+    return arcs.mapInArrow(spooled(run), CONVERTED)
 
 
 def write_warcs(records: DataFrame, path: str, gzipped: bool) -> None:
@@ -283,7 +290,7 @@ def write_warcs(records: DataFrame, path: str, gzipped: bool) -> None:
         if len(held) > 1:
             yield flush()
 
-    files = records.select("headers", "block", "refers_to_id").mapInArrow(run, "value binary")
+    files = records.select("headers", "block", "refers_to_id").mapInArrow(spooled(run), "value binary")
     lines = files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
     lines.option("lineSep", line_end.decode()).option("compression", "none").text(path)
 
@@ -341,20 +348,22 @@ def archive_pages(
     is a page's.  An empty table writes no records and gives an empty result.
     """
     spark = pages.sparkSession
-    arcs = written(arc_files(pages, id_col, url_col, html_col), "arcs")  # read twice, so the same records both times
-    first = (
-        converted(arcs, with_blocks=False)
-        .filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy("digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest", F.col("first.record_id").alias("first_id"))
-    )
-    shared = written(first, "shared_payloads")
-    records = converted(arcs, with_blocks=True).join(shared, "digest", "left")
-    again = (F.col("first_id") != F.col("record_id")) & (F.col("payload_bytes") >= min_bytes)
-    write_warcs(records.withColumn("refers_to_id", F.when(again, F.col("first_id"))), path, gzipped)
-    back = checkpointed(read_warcs(spark, path))
+    with small_batches(spark):
+        arcs = written(arc_files(pages, id_col, url_col, html_col), "arcs", ARCHIVE_GROUPS)
+        records = written(converted(arcs), "records", RECORD_GROUPS)  # read twice, so the same records both times
+        discard(spark, arcs)
+        first = (
+            records.filter(F.col("payload_bytes") >= min_bytes)
+            .groupBy("digest")
+            .agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")).alias("first"), F.count("*").alias("n"))
+            .filter("n > 1")
+            .select("digest", F.col("first.record_id").alias("first_id"))
+        )
+        again = (F.col("first_id") != F.col("record_id")) & (F.col("payload_bytes") >= min_bytes)
+        known = records.join(broadcast_if_small(written(first, "shared_payloads")), "digest", "left")
+        write_warcs(known.withColumn("refers_to_id", F.when(again, F.col("first_id"))), path, gzipped)
+        discard(spark, records)
+        back = checkpointed(read_warcs(spark, path))
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     plain = back.filter("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")).select(out)
     targets = back.filter("record_type = 'response'").select(

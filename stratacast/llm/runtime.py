@@ -6,16 +6,24 @@ which driver and executors share, or below the warehouse where the session names
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import scratch_path, shared_dir, written
+from ..sources.tables import discard, scratch_path, shared_dir, written
 
-__all__ = ["broadcast_if_small", "checkpointed", "free_name", "read_table", "scratch_path", "written"]
+__all__ = ["broadcast_if_small", "checkpointed", "discard", "free_name", "read_table", "scratch_path", "small_batches", "spooled", "written"]
 
 #: Bytes of values that one broadcast may carry.
 BROADCAST_BYTES = 32 << 20
+#: Bytes beyond which ``small_batches`` ends an Arrow batch, and rows that a Parquet reader decodes at once.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 64
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,6 +32,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """For large rows: what runs within decodes few of them at once and sends them to Python in batches of about ``most`` bytes, of one row at least."""
+    within = {"spark.sql.execution.arrow.maxBytesPerBatch": most, "spark.sql.parquet.columnarReaderBatchSize": BATCH_ROWS}
+    before = {k: spark.conf.get(k, None) for k in within}
+    try:
+        for k, v in within.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def spooled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, for ``mapInArrow``, with its batches kept in a temporary file of the task until the input has ended.
+
+    Where much goes both ways, JVM and worker could else each wait to send to the other over one socket.
+    """
+
+    def after_input(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+            writer = None
+            for batch in run(batches):
+                writer = writer or pa.ipc.new_stream(file, batch.schema)
+                writer.write_batch(batch)
+            if writer:
+                writer.close()
+                file.seek(0)
+                yield from pa.ipc.open_stream(file)
+
+    return after_input
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -5,9 +5,12 @@ import html
 import itertools
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from conftest import same
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stratacast.llm import archives, components, decontaminate, embeddings, language, mixing, neardup, pagetext, quality, secrets, simhash, urls
 from stratacast.llm.queries import ORACLES, QUERIES
-from stratacast.llm.runtime import scratch_path
+from stratacast.llm.runtime import scratch_path, small_batches, spooled, written
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -261,6 +264,70 @@ def test_a_changed_payload_is_found(spark):
         archives.read_warcs(spark, path).collect()
 
 
+def test_archive_tables_have_small_row_groups(spark, monkeypatch):
+    """A row group, which a task holds whole, has one archive, or about as many bytes of records."""
+    groups = {}
+
+    def noting(df, name, *options):
+        out = written(df, name, *options)
+        groups[name] = [m.row_group(i).total_byte_size for p in out.inputFiles() for m in [pq.read_metadata(p.removeprefix("file://"))] for i in range(m.num_row_groups)]
+        return out
+
+    monkeypatch.setattr(archives, "written", noting)
+    noise = F.expr("array_join(transform(sequence(1, 65536), i -> sha2(concat(id, '-', i), 256)), '')")
+    pages = spark.range(0, 24, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), noise.alias("html"))
+    out = archives.archive_pages(pages, scratch_path(spark, "groups"))
+    assert sorted((r.page_id, r.payload_bytes) for r in out.collect()) == [(i, 4 << 20) for i in range(24)]
+    assert sum(groups["arcs"]) > 24 * (4 << 20)
+    assert all(x < 3 * archives.FILE_BYTES for sizes in groups.values() for x in sizes)
+
+
+def test_arrow_batches_are_small_within(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def largest():
+        return spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("x")).mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+    before = largest()
+    with small_batches(spark, 1 << 20):
+        assert largest() < 1.3 * (1 << 20)
+    assert largest() == before > 10 << 20
+
+
+def test_spooled_batches_come_after_the_input():
+    said = []
+
+    def batches():
+        for n in range(3):
+            said.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+        said.append("end")
+
+    out = []
+    for b in spooled(lambda found: found)(batches()):
+        assert said[-1] == "end"
+        out += b.column(0).to_pylist()
+    assert out == [0, 1, 2] and list(spooled(lambda found: found)(iter([]))) == []
+
+
+def test_gzipped_archives_are_read_by_members():
+    record = archives.WarcRecord({"WARC-Type": "resource"}, bytes(1 << 20))
+    data = archives.packed(archives.warc_bytes(record)) * 40
+    tracemalloc.start()
+    read = sum(r == record for r in archives.read_warc(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == 40 and peak < 10 << 20
+    few = [archives.WarcRecord({"WARC-Type": "resource", "n": str(n)}, b"a\r\n\r\nb" * n) for n in range(3)]
+    plain = b"".join(map(archives.warc_bytes, few))
+    for cut in range(len(plain) + 1):  # members that hold several records, or end within one
+        assert list(archives.read_warc(archives.packed(plain[:cut]) + archives.packed(plain[cut:]))) == few
+    with pytest.raises(ValueError):
+        list(archives.read_warc(archives.packed(plain) + archives.packed(b"no record")))
+
+
 # embeddings
 
 def test_embedding_recall(spark):
